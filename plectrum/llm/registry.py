@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plectrum.llm import chat, oracle, quality
+from plectrum.llm import bpe, chat, media, oracle, packing, quality, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,7 +14,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": chat.query,
+        "op2_media_columns": media.query,
         "op3_quality_rules": quality.query,
+        "op4_token_files": token_files.query,
+        "op6_packing": packing.query,
+        "op8_bpe_lexicon": bpe.query,
     }
 
 
