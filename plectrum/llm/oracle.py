@@ -2,6 +2,32 @@
 
 from __future__ import annotations
 
+from plectrum.llm.lines import MIN_PAGES, RATIO
+
+#: A line with a character other than space and the ASCII line and tab controls.
+_REAL = r"regexp_matches(l, '[^\x20\x09-\x0D]')"
+
+LINES = f"""
+with pages as (
+  select row_number() over () as page, doc_id, source, coalesce(source, chr(1)) as host, text,
+         string_split(text, chr(10)) as lines
+  from documents),
+each as (
+  select distinct page, host, l from (select page, host, unnest(lines) as l from pages) where {_REAL}),
+counted as (select host, l, count(*) as n from each group by host, l),
+totals as (select host, count(*) as total from pages group by host),
+bad as (
+  select host, list(l) as drops from counted join totals using (host)
+  where n >= {MIN_PAGES} and n > {RATIO} * total group by host)
+select doc_id, source,
+       case when text is null or drops is null then text
+            else array_to_string(list_filter(lines, lambda l: not list_contains(drops, l)), chr(10)) end as text,
+       coalesce(len(lines), 0) as n_lines,
+       case when text is null or drops is null then 0
+            else len(lines) - len(list_filter(lines, lambda l: not list_contains(drops, l))) end as n_dropped
+from pages left join bad using (host)
+"""
+
 
 def sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": LINES}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plectrum.llm import bpe, chat, media, oracle, packing, quality, token_files
+from plectrum.llm import bpe, chat, lines, media, oracle, packing, quality, sharding, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +17,9 @@ def queries() -> dict[str, Query]:
         "op2_media_columns": media.query,
         "op3_quality_rules": quality.query,
         "op4_token_files": token_files.query,
+        "op5_resharding": sharding.query,
         "op6_packing": packing.query,
+        "op7_line_dedup": lines.query,
         "op8_bpe_lexicon": bpe.query,
     }
 
