@@ -24,22 +24,26 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def made(spark: SparkSession) -> list[str]:
+    """The scratch folders of this session, in order."""
+    found = getattr(spark, "_plectrum_scratch", None)
+    if found is None:
+        found = spark._plectrum_scratch = []
+    return found
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one; listed in the session so that a pipeline can drop it."""
+    """A fresh folder below the shared one."""
     path = f"{shared_dir(spark)}/plectrum/{name}-{uuid.uuid4().hex}"
-    made = getattr(spark, "_plectrum_scratch", None)
-    if made is None:
-        made = spark._plectrum_scratch = []
-    made.append(path)
+    made(spark).append(path)
     return path
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete every scratch folder made so far in this session."""
-    made = getattr(spark, "_plectrum_scratch", None) or []
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch folders that nothing reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while made:
-        path = jvm.org.apache.hadoop.fs.Path(made.pop())
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
 

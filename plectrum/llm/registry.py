@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plectrum.llm import bpe, chat, lines, media, oracle, packing, quality, sharding, token_files
+from plectrum.llm import bpe, chat, jaccard, lines, media, oracle, packing, quality, sharding, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "pipeline": _pipeline,
         "op1_chat_format": chat.query,
         "op2_media_columns": media.query,
         "op3_quality_rules": quality.query,
@@ -21,6 +28,8 @@ def queries() -> dict[str, Query]:
         "op6_packing": packing.query,
         "op7_line_dedup": lines.query,
         "op8_bpe_lexicon": bpe.query,
+        "op9_toxicity": toxicity.query,
+        "op10_ngram_jaccard": jaccard.query,
     }
 
 
