@@ -152,8 +152,9 @@ def judge(metrics: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def filter_quality(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of df that pass every rule, with df's own columns."""
     boxed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(text).alias("_text"))
-    kept = judge(measure(boxed, "_row", text="_text"), rules).where("kept")
-    return kept.select("_row.*")
+    judged = judge(measure(boxed, "_row", text="_text"), rules).withColumn("_once", F.monotonically_increasing_id())
+    # a predicate does not move below a non-deterministic column: the metrics are computed once, not inlined into it
+    return judged.where("kept AND _once >= 0").select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
