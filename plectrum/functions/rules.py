@@ -17,6 +17,7 @@ from plectrum.functions import spanish as es
 from plectrum.functions.text import LEFT, RIGHT, SPACE, WORD_START
 
 S = f"[{SPACE}]"
+RULES_A_STEP = 3
 RECORD = "array<struct<rule:string,source:string,replacement:string>>"
 
 
@@ -177,27 +178,43 @@ def _record(rule: Rule) -> Callable[[Column, Column], Column]:
     return lambda hit, new: F.struct(F.lit(rule.id).alias("rule"), hit.alias("source"), new.alias("replacement"))
 
 
+def _step(rule: Rule, state: Column) -> Column:
+    """The state (spoken, records) after one rule."""
+
+    def on(before: Column) -> Column:
+        hits = F.regexp_extract_all(before["spoken"], F.lit(rule.pattern), 0)
+        if rule.gate:
+            hits = F.when(before["spoken"].rlike(rule.gate), hits)
+
+        def rewritten(found: Column) -> Column:
+            def after(new: Column) -> Column:
+                gaps = F.split(before["spoken"], rule.pattern, -1)
+                spoken = F.array_join(F.zip_with(gaps, new, lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
+                told = F.filter(F.zip_with(found, new, _record(rule)), lambda x: x["source"] != x["replacement"])
+                if rule.in_order:
+                    told = es.let(told, lambda all_told: F.concat(*[F.filter(all_told, _from(source)) for source in rule.in_order]))
+                return F.struct(spoken.alias("spoken"), F.concat(before["records"], told).alias("records"))
+
+            return F.when(F.size(found) > 0, es.let(F.transform(found, _changed(rule)), after)).otherwise(before)
+
+        return es.let(hits, rewritten)
+
+    return es.let(state, on)
+
+
 def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """df with ``spoken`` (the rewritten text) and ``records`` (rule, source, replacement in order)."""
+    """df with ``spoken`` (the rewritten text) and ``records`` (rule, source, replacement in order).
+
+    Values are bound, not repeated, so the plan grows linearly with the rules, and a text without a hit of
+    a rule passes it with one regex scan.  A few rules share each projection: one projection a rule takes
+    long to analyse, one for all nests too deep.
+    """
     keep = [F.col(f"`{c}`") for c in df.columns]
-    step = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("spoken"), F.array().cast(RECORD).alias("records"))
-    for rule in rules:
-        hits = F.regexp_extract_all("spoken", F.lit(rule.pattern), 0)
-        if rule.gate:
-            hits = F.when(F.col("spoken").rlike(rule.gate), hits).otherwise(F.array().cast("array<string>"))
-        step = step.select(*keep, "spoken", "records", hits.alias("_hits"))
-        new = F.when(F.size("_hits") > 0, F.transform("_hits", _changed(rule)))
-        step = step.select(*keep, "spoken", "records", "_hits", new.alias("_new"))
-        joined = F.array_join(F.zip_with(F.split("spoken", rule.pattern, -1), F.col("_new"), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
-        told = F.filter(
-            F.zip_with("_hits", "_new", _record(rule)),
-            lambda x: x["source"] != x["replacement"],
-        )
-        if rule.in_order:
-            told = F.concat(*[F.filter(told, _from(source)) for source in rule.in_order])
-        step = step.select(
-            *keep,
-            F.when(F.col("_new").isNull(), F.col("spoken")).otherwise(joined).alias("spoken"),
-            F.when(F.col("_new").isNull(), F.col("records")).otherwise(F.concat("records", told)).alias("records"),
-        )
-    return step
+    state = F.struct(F.coalesce(F.col(text), F.lit("")).alias("spoken"), F.array().cast(RECORD).alias("records"))
+    step = df.select(*keep, state.alias("_state"))
+    for at in range(0, len(rules), RULES_A_STEP):
+        state = F.col("_state")
+        for rule in rules[at : at + RULES_A_STEP]:
+            state = _step(rule, state)
+        step = step.select(*keep, state.alias("_state"))
+    return step.select(*keep, F.col("_state.spoken").alias("spoken"), F.col("_state.records").alias("records"))
