@@ -30,7 +30,7 @@ from plectrum.llm.bytewise import LETTERS, Words
 from plectrum.llm.common import documents
 from plectrum.llm.tokens import text_slices
 
-SAMPLE, MAX_FEATURES, RIDGE, SWAP_PENALTY = 3000, 1024, 0.1, 50.0
+SAMPLE, MAX_FEATURES, RIDGE, SWAP_PENALTY = 2000, 1024, 0.1, 50.0
 #: Bytes of the word beginnings that are features beside whole words (None).
 BEGINNINGS = (None, 4, 5, 6)
 
@@ -88,21 +88,32 @@ def present(texts: pa.Array, features: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (pairs // len(features), pairs % len(features)) if len(features) else (pairs, pairs)
 
 
+def _runs(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """The texts in runs of about ``most`` bytes with the place of each run: bounds the driver's memory."""
+    at = 0
+    for run in text_slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), most=most):
+        yield at, run.column("text")
+        at += run.num_rows
+
+
 def select(texts: pa.Array, toxic: np.ndarray, most: int = MAX_FEATURES) -> np.ndarray:
     """Features whose share of texts differs between the classes, clearly and by three times or more."""
-    words = Words(texts, LETTERS)
-    found: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-    for h in _hashed(words):
-        order = np.lexsort((words.owner, h))
-        h, owner = h[order], words.owner[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-        h, bad = h[new], toxic[owner[new]] == 1
-        values, at = np.unique(h, return_inverse=True)
-        found.append(values)
-        counts.append(np.stack([np.bincount(at, ~bad, len(values)), np.bincount(at, bad, len(values))]))
-    values, n = np.concatenate(found), np.concatenate(counts, axis=1)
+    values, n = np.zeros(0, "u8"), np.zeros((2, 0))
+    for place, run in _runs(texts):
+        words, found = Words(run, LETTERS), [values]
+        counts = [n]
+        for h in _hashed(words):
+            order = np.lexsort((words.owner, h))
+            h, owner = h[order], words.owner[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+            h, bad = h[new], toxic[place + owner[new]] == 1
+            own, at = np.unique(h, return_inverse=True)
+            found.append(own)
+            counts.append(np.stack([np.bincount(at, ~bad, len(own)), np.bincount(at, bad, len(own))]))
+        values, at = np.unique(np.concatenate(found), return_inverse=True)
+        flat = np.concatenate(counts, axis=1)
+        n = np.stack([np.bincount(at, row, len(values)) for row in flat])
     total = np.array([[(toxic == 0).sum()], [(toxic == 1).sum()]])
     share, pooled = (n + 0.5) / (total + 1), n.sum(0) / total.sum()
     z = (share[1] - share[0]) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / total).sum())
@@ -155,9 +166,10 @@ def fit(texts: list[str], toxic: list[int], penalty: float = SWAP_PENALTY, ridge
 
 
 def _dense(texts: pa.Array, features: np.ndarray) -> np.ndarray:
-    rows, columns = present(texts, features)
-    out = np.zeros((len(texts), len(features)))
-    out[rows, columns] = 1
+    out = np.zeros((len(texts), len(features)), "f4")
+    for at, run in _runs(texts):
+        rows, columns = present(run, features)
+        out[at + rows, columns] = 1
     return out
 
 
