@@ -202,6 +202,11 @@ def _step(rule: Rule, state: Column) -> Column:
     return es.let(state, on)
 
 
+def fenced(df: DataFrame) -> DataFrame:
+    """df behind a one-row generator: predicates on its columns are not inlined into what computes them."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with ``spoken`` (the rewritten text) and ``records`` (rule, source, replacement in order).
 
@@ -217,4 +222,4 @@ def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
         for rule in rules[at : at + RULES_A_STEP]:
             state = _step(rule, state)
         step = step.select(*keep, state.alias("_state"))
-    return step.select(*keep, F.col("_state.spoken").alias("spoken"), F.col("_state.records").alias("records"))
+    return fenced(step.select(*keep, F.col("_state.spoken").alias("spoken"), F.col("_state.records").alias("records")))

@@ -1,7 +1,5 @@
 """Provider-sized speech chunks: greedy packing of segments, long ones split at sentences."""
 
-from __future__ import annotations
-
 import re
 from collections.abc import Iterator
 

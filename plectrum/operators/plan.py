@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plectrum.functions.fidelity import critical_tokens, fidelity
-from plectrum.functions.rules import RULES, apply_rules
+from plectrum.functions.rules import RULES, apply_rules, fenced
 from plectrum.functions.text import SPACE, normalized, trim, units
 
 #: Block types that a parser has already classified as page furniture (fixed values).
@@ -71,13 +71,14 @@ def listen_plan(blocks: DataFrame, detect_chrome: bool = True, rules=RULES) -> D
     # an unchanged text keeps its literals
     step = step.withColumn("_ok", F.when(changed, fidelity(F.coalesce("_in", F.lit("")), F.col("spoken"), F.col("records"))["ok"]).otherwise(F.lit(True)))
     mute = F.array(F.struct(F.lit("layout-noise").alias("rule"), F.col("text").alias("source"), F.lit("").alias("replacement")))
-    return step.select(
+    out = step.select(
         "doc_id", "segment_id", "ord", "type", "page", F.col("text").alias("source_text"),
         F.when(F.col("_noise"), F.lit("")).when(~F.col("_ok"), F.col("text")).otherwise(F.col("spoken")).alias("spoken_text"),
         F.when(F.col("_noise"), mute).otherwise(F.col("records")).alias("transformations"),
         F.col("_ok").alias("fidelity_ok"), (~F.col("_ok")).alias("fallback"), F.col("_noise").alias("muted"),
         F.when(typed, F.lit("layout-classification")).when(F.col("_noise"), F.lit("repeat-detector")).alias("muted_by"),
     )
+    return fenced(out)
 
 
 def gold_plan(gold: DataFrame, blocks: DataFrame) -> DataFrame:

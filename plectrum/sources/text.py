@@ -1,22 +1,20 @@
 """Plain text: decoding by byte order mark, and blocks between blank lines."""
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plectrum.functions.text import SPACE
 
 
-def decoded(content: Column) -> Column:
-    """Text of binary content: a UTF-16 or UTF-8 mark decides, else UTF-8 if valid, else Windows-1252."""
-    import pandas as pd
+def _western(raw: pd.Series) -> pd.Series:
+    # the five unassigned bytes are the controls of the same number
+    return raw.map(lambda b: "".join(chr(c) if c in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([c]).decode("cp1252") for c in b))
 
-    @F.pandas_udf("string")
-    def western(raw: pd.Series) -> pd.Series:
-        # the five unassigned bytes are the controls of the same number
-        return raw.map(lambda b: "".join(chr(c) if c in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([c]).decode("cp1252") for c in b))
 
+def decoded(content: Column) -> Column:
+    """Text of binary content: a UTF-16 or UTF-8 mark decides, else UTF-8 if valid, else Windows-1252."""
+    western = F.pandas_udf(_western, "string")
     head = F.hex(F.substring(content, 1, 3))
     rest = lambda n: F.substring(content, n, 2_000_000_000)
     return (
