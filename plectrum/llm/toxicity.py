@@ -192,7 +192,7 @@ def score(df: DataFrame, model: Model, *keep: str) -> DataFrame:
     schema = df.select(*keep).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, most=2 << 20):
             scores = pa.array(model.scores(batch.column("text")), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), scores], names=[*keep, "score"])
 
