@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from itertools import islice
@@ -20,6 +21,27 @@ _RARE_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u202
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
+#: Code points below this have the same classes in every Unicode version in use.
+SETTLED = 0x250
+
+
+def _class(letter: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(SETTLED) if unicodedata.category(chr(c))[0] == letter)
+
+
+#: The byte-level pretoken pattern (fixed value), with its letter and number classes below SETTLED.
+PRETOKEN = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+".replace("{L}", _class("L")).replace("{N}", _class("N"))
+)
+#: Separator controls, which are white space to Python alone.
+_CONTROLS = re.compile("[\x1c-\x1f]")
+
+
+def settled(text: str) -> bool:
+    """Whether PRETOKEN splits this text as the library does."""
+    return (text.isascii() or ord(max(text)) < SETTLED) and not _CONTROLS.search(text)
+
+
 def byte_alphabet() -> list[str]:
     """The character that stands for each byte value in byte-level vocabularies."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -45,26 +67,31 @@ def pieces(text: str) -> list[str]:
 class PieceEncoder:
     """Encodes texts by pieces; subclasses encode what the memory lacks.  limit bounds the memory."""
 
-    limit = 400_000
+    limit = 450_000
 
     def __init__(self) -> None:
         self._memory: dict[str, bytes] = {}  # of pieces after a space
 
-    def encode_new(self, texts: list[str]) -> list[bytes]:
+    #: The starts of the tokenizer's own special strings.
+    _marks: list[str] = []
+
+    def encode_new(self, texts: list[str], plain: bool = False) -> list[bytes]:
+        """The ids of texts; plain: they hold no special string and no white space but spaces and line feeds."""
         raise NotImplementedError
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native unsigned 32-bit integers."""
         memory, cut = self._memory, [pieces(t) for t in texts]
+        plain = not any(_RARE_SPACE.search(t) or any(m in t for m in self._marks) for t in texts)
         heads = [c[0] for c in cut]
         first = dict(zip(once := list(dict.fromkeys(heads)), self.encode_new(once), strict=True))
         wanted = set().union(*[c[1:] for c in cut]) if cut else set()
         if fresh := [w for w in wanted if w not in memory]:
-            memory.update(zip(fresh, self.encode_new([" " + w for w in fresh]), strict=True))
+            memory.update(zip(fresh, self.encode_new([" " + w for w in fresh], plain), strict=True))
         get = memory.__getitem__
         out = [first[c[0]] + b"".join(map(get, c[1:])) for c in cut]
         if len(memory) > self.limit:  # the oldest entries are the frequent words
-            self._memory = dict(islice(memory.items(), self.limit // 4))
+            self._memory = dict(islice(memory.items(), self.limit // 2))
         return out
 
 
@@ -79,23 +106,36 @@ class LibraryEncoder(PieceEncoder):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self._letters = dict(enumerate(byte_alphabet()))
+        self._shown = dict(enumerate(byte_alphabet()))
+        self._words: dict[str, bytes] = {}
+        self._marks = [x.content[:2] for x in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def encode_new(self, texts: list[str]) -> list[bytes]:
+    def encode_new(self, texts: list[str], plain: bool = False) -> list[bytes]:
+        """Pretokens go to the library's model one by one; odd texts go to the library whole."""
         out: list[bytes | None] = [None] * len(texts)
-        rest, tokenize, letters = [], self.tokenizer.model.tokenize, self._letters
+        rest, words, word, known, tokenize = [], self._words, self._word, self._memory, self.tokenizer.model.tokenize
+        space, end = self._shown[0x20], chr(SETTLED)
         for i, t in enumerate(texts):
-            word = t[1:] if t[:1] == " " else t
-            if word.isalpha() and max(word) < "\u0250":  # one pretoken: only the model has work to do
-                shown = t.encode().decode("latin-1").translate(letters)
+            low = t.isascii() or max(t) < end
+            if plain and low and t[:1] == " " and t[1:].isalpha():  # one pretoken
+                shown = space + t[1:] if t.isascii() else t.encode().decode("latin-1").translate(self._shown)
                 out[i] = array("I", [x.id for x in tokenize(shown)]).tobytes()
+            elif low and t and (plain or (settled(t) and not any(m in t for m in self._marks))):
+                out[i] = b"".join([words.get(p) or known.get(p[1:] if p[0] == " " else None) or word(p) for p in PRETOKEN.findall(t)])
             else:
                 rest.append(i)
         if rest:
             for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
                 out[i] = array("I", e.ids).tobytes()
+        if len(words) > self.limit // 2:
+            self._words = dict(islice(words.items(), self.limit // 4))
         return out
 
+    def _word(self, word: str) -> bytes:
+        shown = word.encode().decode("latin-1").translate(self._shown)
+        got = self._words[word] = array("I", [x.id for x in self.tokenizer.model.tokenize(shown)]).tobytes()
+        return got
+
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
 
@@ -113,7 +153,7 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of at most about ``most`` bytes of text, one row at least."""
     import numpy as np
     import pyarrow.compute as pc
