@@ -20,9 +20,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,22 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plectrum.llm.common import documents, open_for_write, read_or_map, scratch
-from plectrum.llm.tokens import PieceEncoder, byte_alphabet, default_path, pieces, text_slices, texts_of
+from plectrum.llm.tokens import PRETOKEN, PieceEncoder, byte_alphabet, default_path, pieces, settled, text_slices, texts_of
 
-#: Code points below this have the same classes in every Unicode version in use.
-SETTLED = 0x250
 
-
-def _class(letter: str) -> str:
-    return "".join(re.escape(chr(c)) for c in range(SETTLED) if unicodedata.category(chr(c))[0] == letter)
-
-
-#: The byte-level pretoken pattern (fixed value), with its letter and number classes below SETTLED.
-PRETOKEN = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+".replace("{L}", _class("L")).replace("{N}", _class("N"))
-)
-#: Separator controls, which are white space to Python alone.
-_CONTROLS = re.compile("[\x1c-\x1f]")
+#: Ids are below 2 ** ID_BITS; NO_PAIR is above every rank.
+ID_BITS, NO_PAIR = 20, 1 << 60
 
 
 class Lexicon:
@@ -156,10 +146,11 @@ class Merger:
         vocab = told["model"]["vocab"]
         value = {c: b for b, c in enumerate(byte_alphabet())}
         self.single = [vocab[c] for c in byte_alphabet()]
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        #: For two ids as one integer: the rank and the merged id as one integer.
+        self.rank: dict[int, int] = {}
         for rank, pair in enumerate(told["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.rank.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.rank.setdefault(vocab[a] << ID_BITS | vocab[b], rank << ID_BITS | vocab[a + b])
         self.special = {x["content"]: x["id"] for x in told["added_tokens"]}
         size = max([*vocab.values(), *self.special.values()]) + 1
         strings = [b""] * size
@@ -170,25 +161,23 @@ class Merger:
         self.strings = strings
 
     def merge(self, word: bytes) -> list[int]:
-        """Merges the pair of the lowest rank until none is left."""
-        ids, rank = [self.single[b] for b in word], self.rank.get
-        pairs = [rank(p) for p in zip(ids, ids[1:], strict=False)]
-        while True:
-            best = min((p for p in pairs if p), default=None)
-            if best is None:
-                return ids
+        """Merges the pair of the lowest rank, the leftmost first, until none is left."""
+        single, rank, low = self.single, self.rank.get, (1 << ID_BITS) - 1
+        ids = [single[b] for b in word]
+        pairs = [rank(a << ID_BITS | b, NO_PAIR) for a, b in zip(ids, ids[1:], strict=False)]
+        while pairs:
+            best = min(pairs)
+            if best == NO_PAIR:
+                break
             i = pairs.index(best)
-            while True:  # all places of this pair, left to right
-                ids[i : i + 2] = [best[1]]
-                del pairs[i]
-                if i:
-                    pairs[i - 1] = rank((ids[i - 1], best[1]))
-                if i < len(pairs):
-                    pairs[i] = rank((best[1], ids[i + 1]))
-                try:
-                    i = pairs.index(best, i)
-                except ValueError:
-                    break
+            new = best & low
+            ids[i : i + 2] = (new,)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank(ids[i - 1] << ID_BITS | new, NO_PAIR)
+            if i < len(pairs):
+                pairs[i] = rank(new << ID_BITS | ids[i + 1], NO_PAIR)
+        return ids
 
 
 class LexiconEncoder(PieceEncoder):
@@ -206,7 +195,7 @@ class LexiconEncoder(PieceEncoder):
     def pretokens(self, text: str) -> list[str]:
         if not text:
             return []
-        if (text.isascii() or ord(max(text)) < SETTLED) and not _CONTROLS.search(text):
+        if settled(text):
             return PRETOKEN.findall(text)
         if self._library is None:
             from tokenizers import Tokenizer
@@ -219,20 +208,20 @@ class LexiconEncoder(PieceEncoder):
         if got is None:
             raw = word.encode()
             number = self.lexicon.find(raw) if self.lexicon else -1
-            got = self.lexicon.ids(number) if number >= 0 else np.array(self.merger.merge(raw), "<u4").tobytes()
-            if len(self._words) > self.limit // 2:
-                self._words.clear()
+            got = self.lexicon.ids(number) if number >= 0 else array("I", self.merger.merge(raw)).tobytes()
             self._words[word] = got
         return got
 
-    def encode_new(self, texts: list[str]) -> list[bytes]:
-        out = []
+    def encode_new(self, texts: list[str], plain: bool = False) -> list[bytes]:
+        out, words, word = [], self._words, self.word
+        if len(words) > self.limit // 2:
+            words = self._words = dict(islice(words.items(), self.limit // 8))
         for text in texts:
-            if any(m in text for m in self._marks):
+            if not plain and any(m in text for m in self._marks):
                 parts = self._special.split(text)
                 out.append(b"".join(np.uint32(self.merger.special[p]).tobytes() if k % 2 else b"".join(map(self.word, self.pretokens(p))) for k, p in enumerate(parts) if p))
             else:
-                out.append(b"".join(map(self.word, self.pretokens(text))))
+                out.append(b"".join([words.get(p) or word(p) for p in (PRETOKEN.findall(text) if plain and text.isascii() else self.pretokens(text))]))
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
