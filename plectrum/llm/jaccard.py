@@ -248,7 +248,7 @@ def links_in_unit(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCE
             others = block[x:y]
             rest = 1 + np.minimum(size[i] - place - 1, size[others] - p_place[a + x : a + y] - 1)
             near = (100 + percent) * rest >= percent * (size[i] + size[others])
-            if near.sum() > 1:  # the set itself is one
+            if (near & (others != i)).any():  # the set itself may be out of its own bound where a smaller one is in
                 possible = True
                 break
         if not possible:

@@ -261,6 +261,36 @@ def test_jaccard_against_brute_force(docs, budget):
     assert got == brute_groups(odd_rows())
 
 
+@pytest.mark.parametrize("base_id", [0, 9])
+@pytest.mark.parametrize("own", [7, 11])
+def test_jaccard_links_a_text_with_its_longer_variants(spark, base_id, own):
+    base = [f"w{j}" for j in range(102)]  # 100 shingles; each variant has `own` more
+    rows = [(base_id, " ".join(base))] + [(i, " ".join(base + [f"own{i}x{j}" for j in range(own)])) for i in (3, 4, 5)]
+    rows += [(6, " ".join(f"z{j}" for j in range(40)))]
+    want = brute_groups(rows)
+    assert want[base_id][2] == 3 and [want[i][2] for i in (3, 4, 5)] == [1, 1, 1]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in got} == want
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_jaccard_links_in_a_unit_against_brute_force(percent):
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        base = rng.integers(0, 1 << 60, 100, "u8")
+        sets = [np.unique(np.append(rng.choice(base, rng.integers(88, 101), replace=False), rng.integers(0, 1 << 60, rng.integers(0, 25), "u8"))) for _ in range(12)]
+        sets.append(base)
+        side = rng.integers(0, 2, len(sets))
+        for sides in (np.zeros(len(sets), "i8"), side):
+            got = {(i, int(j)) for i, found in jaccard.links_in_unit(sets, sides, percent) for j in found}
+            both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+            want = {
+                (i, j) for i in range(len(sets)) for j in range(len(sets))
+                if i != j and (sides.max() == sides.min() or sides[i] != sides[j]) and 100 * both(i, j) >= percent * (len(sets[i]) + len(sets[j]) - both(i, j))
+            }
+            assert got == want
+
+
 def test_jaccard_keeps_one_of_each_group(spark, docs, none):
     groups = brute_groups(odd_rows())
     assert {r["doc_id"] for r in jaccard.keep_one(docs).collect()} == {i for i, (_, c, _) in groups.items() if c == i}
