@@ -51,6 +51,13 @@ def brute_kept(docs, toxic_ids):
     return {i: text for i, text in fine if groups[i][1] == i}
 
 
+def test_a_group_of_copies_keeps_its_text_up_to_the_jaccard_stage(spark):
+    page = "a clean page\nof two lines"
+    docs = [(i, page, "en", "s", len(page)) for i in range(12)] + [(i, f"banner\nown {i}", "en", "s", 9) for i in range(12, 80)]
+    clean = corpus_pipeline.site_lines(spark, spark.createDataFrame(docs, DOCS).repartition(3), "").collect()
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in clean} == {i: (page, len(page)) if i < 12 else (f"own {i}", 6) for i in range(80)}
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     library = pytest.importorskip("tokenizers").Tokenizer.from_file(default_path())
     docs = spark.createDataFrame(rows(), DOCS).repartition(3)
