@@ -52,7 +52,10 @@ def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_own_scratch
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays."""
+    """Of each group of linked documents the one with the least doc_id stays.
+
+    The stage takes the contract of op10: shingles of three words at a similarity of 0.9.
+    """
     return jaccard.keep_one(docs)
 
 

@@ -18,8 +18,8 @@
 Sets are compared by 64-bit hashes of shingles; a pair's result can differ from the words' own only if
 two different shingles of that pair collide.
 
-Edge cases: a null or blank text has an empty set and is linked with nothing, copies included; with fewer than
-three words the whole sequence is the one shingle; ties and repeated rows are copies of one set; rows with equal
+Edge cases: a null or blank text has an empty set and is linked with nothing, copies included; with fewer words
+than a shingle the whole sequence is the one shingle; ties and repeated rows are copies of one set; rows with equal
 doc_id count as one vertex; a null doc_id is never linked and has a null component; an empty table
 gives no rows; further columns are ignored.
 """
@@ -42,6 +42,8 @@ from plectrum.llm.components import components, roots
 from plectrum.llm.tokens import text_slices
 
 PERCENT = 90
+#: Words in a shingle.
+WORDS = 3
 #: Shingles in one block of a large unit; a task holds two blocks.
 BUDGET = 2_000_000
 CHUNKS = 16
@@ -58,7 +60,7 @@ def sketch_bits(df: DataFrame, least: int = 20, most: int = 24) -> int:
     return max(least, min(most, round(math.log2(max(size, 1) / 64))))
 
 
-def build_sketch(df: DataFrame, uri: str, bits: int) -> str:
+def build_sketch(df: DataFrame, uri: str, bits: int, words: int = WORDS) -> str:
     """Counts of shingles over all documents by the low bits of their hash, as one flat file.
 
     Tasks send saturating 8-bit counts in compressed chunks; each chunk's sums saturate at 16 bits.
@@ -75,7 +77,7 @@ def build_sketch(df: DataFrame, uri: str, bits: int) -> str:
             held, n = [], 0
 
         for batch in text_slices(batches, most=SLICE):
-            for run in Words(batch.column("text"), NOT_SPACE).shingle_runs():
+            for run in Words(batch.column("text"), NOT_SPACE).shingle_runs(words):
                 held.append(run)
                 n += len(run)
             if n > 4_000_000:
@@ -118,14 +120,14 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def signed(df: DataFrame, sketch: str, bits: int, percent: int = PERCENT) -> DataFrame:
+def signed(df: DataFrame, sketch: str, bits: int, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n (set size), fp (128-bit digest of the set), prefix (its rarest shingles in order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, mask = _sketch(sketch), np.uint64((1 << bits) - 1)
         for batch in text_slices(batches, most=SLICE):
             n, fp, prefix = [], [], []
-            for s in Words(batch.column("text"), NOT_SPACE).shingles():
+            for s in Words(batch.column("text"), NOT_SPACE).shingles(words):
                 n.append(len(s))
                 if not len(s):
                     fp.append(None)
@@ -274,7 +276,7 @@ def links_in_unit(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCE
     return out
 
 
-def compare(tasks: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def compare(tasks: DataFrame, docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """node, root, links: for every set with links, in each of its tasks."""
     if tasks.count() <= BROADCAST_ROWS:  # at most some 20 MB
         tasks = F.broadcast(tasks)
@@ -297,7 +299,7 @@ def compare(tasks: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
             yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "root": pa.array(top[np.searchsorted(nodes, node)], pa.int64()), "links": pa.array(links, pa.int64())})
 
         for batch in text_slices(batches, most=SLICE):
-            made = Words(batch.column("text"), NOT_SPACE).shingles()
+            made = Words(batch.column("text"), NOT_SPACE).shingles(words)
             columns = [batch.column(c).to_pylist() for c in ("unit", "low", "high", "rep", "copies", "block")]
             for s, unit, low, high, rep, n, block in zip(made, *columns, strict=True):
                 if (unit, low, high) != key:
@@ -313,18 +315,21 @@ def compare(tasks: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     return dealt.select("unit", "low", "high", "rep", "copies", "block", "text").mapInArrow(run, "node long, root long, links long")
 
 
-def join(df: DataFrame, percent: int = PERCENT, budget: int = BUDGET) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (rows linked with this one, copies included)."""
+def join(df: DataFrame, percent: int = PERCENT, budget: int = BUDGET, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links (rows linked with this one, copies included).
+
+    Rows are linked if their sets of shingles of ``words`` words have a Jaccard similarity of ``percent`` or more.
+    """
     spark = df.sparkSession
     bits = sketch_bits(df)
-    sketch = build_sketch(df, scratch(spark, "jaccard-sketch") + "/counts.u2", bits)
-    sets = written(signed(df, sketch, bits, percent), scratch(spark, "jaccard-sets"))
+    sketch = build_sketch(df, scratch(spark, "jaccard-sketch") + "/counts.u2", bits, words)
+    sets = written(signed(df, sketch, bits, percent, words), scratch(spark, "jaccard-sets"))
     known = sets.where("n > 0 AND doc_id IS NOT NULL")
     least = known.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("x"), F.count(F.lit(1)).alias("copies"))
     reps = written(least.select("fp", F.col("x.doc_id").alias("rep"), F.col("x.n").alias("n"), F.col("x.prefix").alias("prefix"), "copies"), scratch(spark, "jaccard-reps"))
     labels = components(candidate_edges(reps, percent), "jaccard-candidates")
     tasks = written(units(reps, labels, budget, percent), scratch(spark, "jaccard-tasks"))
-    found = written(compare(tasks, df, percent), scratch(spark, "jaccard-links"))
+    found = written(compare(tasks, df, percent, words), scratch(spark, "jaccard-links"))
     if found.groupBy("node").agg(F.count_distinct("root").alias("n")).where("n > 1").isEmpty():
         top = found.groupBy("node").agg(F.min("root").alias("component"))
     else:  # some sets were compared in several tasks
@@ -341,10 +346,10 @@ def join(df: DataFrame, percent: int = PERCENT, budget: int = BUDGET) -> DataFra
     )
 
 
-def keep_one(df: DataFrame) -> DataFrame:
+def keep_one(df: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """df with one row of each group of linked rows: the least doc_id stays; rows outside groups all stay."""
     spark = df.sparkSession
-    grouped = written(join(df), scratch(spark, "jaccard-result"))
+    grouped = written(join(df, percent, words=words), scratch(spark, "jaccard-result"))
     gone = grouped.where("component_id <> doc_id").select("doc_id").distinct()
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)

@@ -301,6 +301,21 @@ def test_jaccard_links_in_a_unit_against_brute_force(percent):
             assert got == want
 
 
+def test_jaccard_takes_the_shingle_length_and_threshold(spark):
+    rng = random.Random(3)
+    base, rows = [f"w{j}" for j in range(95)], [(99, "w1 w2 w3 w4")]
+    for i in range(24):
+        own = list(base)
+        for j in rng.sample(range(95), i % 4):
+            own[j] = f"x{i}y{j}"
+        rows.append((i, " ".join(own)))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in rows)}
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    got = {r["doc_id"]: (r["n_shingles"], r["n_links"]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 80, words=5).collect()}
+    assert got == {a: (len(sets[a]), sum(near(a, b) for b in sets if b != a)) for a in sets}
+    assert len({n for _, n in got.values()}) > 2
+
+
 def test_jaccard_keeps_one_of_each_group(spark, docs, none):
     groups = brute_groups(odd_rows())
     assert {r["doc_id"] for r in jaccard.keep_one(docs).collect()} == {i for i, (_, c, _) in groups.items() if c == i}
