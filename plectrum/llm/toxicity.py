@@ -174,12 +174,17 @@ def _dense(texts: pa.Array, features: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
-    """At most per_class documents of each label, the first by hash of their id; no held-out row."""
+    """At most per_class documents of each label, the first by hash of their id; no held-out row.
+
+    Of rows that share a sampled id one stays, so repeated ids crowd out no other document.
+    """
     each = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     each = each.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [each.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     ids = picked[0].unionByName(picked[1])  # at most 2 * per_class rows
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(4 * per_class)
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("x"))
+    return one.select("doc_id", "x.text", "x.toxic").orderBy("doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:

@@ -244,6 +244,15 @@ def test_toxicity_query_parts(spark, docs, none):
     assert all(r["h"] == (zlib.crc32(str(r["i"]).encode()) % 5 == 0) for r in held)
 
 
+def test_toxicity_sample_keeps_both_classes_beside_repeated_ids(spark):
+    free = [r["i"] for r in spark.range(60).select(F.col("id").alias("i")).where(~toxicity.held_out(F.col("i"))).orderBy("i").collect()]
+    clean, toxic = free[:2], free[2:4]
+    docs = spark.createDataFrame([(clean[0], "same")] * 50 + [(i, f"text {i}") for i in free[1:]], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in clean + toxic], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(docs, labels, per_class=2).collect()
+    assert [(r["doc_id"], r["text"], r["toxic"]) for r in got] == [(clean[0], "same", 0), (clean[1], f"text {clean[1]}", 0), *[(i, f"text {i}", 1) for i in toxic]]
+
+
 # --- n-gram Jaccard ---------------------------------------------------------------------------------
 
 
