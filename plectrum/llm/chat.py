@@ -3,8 +3,9 @@
 The template lists the markers, the automaton's legal successors of each role and the roles whose
 text is trained on.  :func:`segments` emits one row per text segment (header, body, end of turn) with
 its loss flag; it needs one window over (conversation, turn), so a huge conversation is sorted with
-spilling, never collected.  :func:`render` joins a conversation's segments into its one formatted text,
-and :func:`parse` reads that text back into turns.
+spilling, never collected.  :func:`render` joins a conversation's segments into its one formatted text
+and keeps their sizes and flags, :func:`parse` reads that text back into turns, and :func:`masked` reads
+the flagged segments.
 
 Texts cannot forge a marker: the first character of every control string, and the escape character, are
 written as two-character codes inside texts, so ``#`` and ``<`` occur in markers alone.  The codes
@@ -77,6 +78,10 @@ class Template:
             out = F.when(label == shown, F.lit(name)).otherwise(out)
         return out
 
+    def trained(self, role: Column) -> Column:
+        """The loss flag of a role's body."""
+        return role.isin(*self.loss_roles)
+
     def legal(self, before: Column, role: Column) -> Column:
         """Whether the automaton steps from state ``before`` (the last role, "" at the start) to role."""
         out = F.lit(False)
@@ -107,7 +112,7 @@ def segments(df: DataFrame, template: Template = Template()) -> DataFrame:
     head = F.concat(F.lit(template.head), template.label(F.col("role")), F.lit(template.after_role))
     parts = F.array(
         F.struct(F.lit(0).alias("part"), head.alias("text"), F.lit(False).alias("loss")),
-        F.struct(F.lit(1).alias("part"), template.escape(F.col("text")).alias("text"), F.col("role").isin(*template.loss_roles).alias("loss")),
+        F.struct(F.lit(1).alias("part"), template.escape(F.col("text")).alias("text"), template.trained(F.col("role")).alias("loss")),
         F.struct(F.lit(2).alias("part"), F.lit(template.end).alias("text"), F.lit(False).alias("loss")),
     )
     legal = template.legal(F.col("before"), F.col("role"))
@@ -115,10 +120,11 @@ def segments(df: DataFrame, template: Template = Template()) -> DataFrame:
 
 
 def render(df: DataFrame, template: Template = Template()) -> DataFrame:
-    """One row a conversation: formatted text, loss spans and the automaton's verdict.
+    """One row a conversation: formatted text, its segments' sizes and the automaton's verdict.
 
     A formatted conversation is one string, so its turns meet in one row; nothing else is gathered.
-    loss_spans are 0-based [start, length) code-point ranges of the formatted text.
+    sizes has, for each turn in order, the loss flag of its body and the code points of its header and
+    body in the formatted text; the end marker follows each body.
     """
     turns = _turns(df).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     made = turns.select(
@@ -138,7 +144,7 @@ def render(df: DataFrame, template: Template = Template()) -> DataFrame:
         F.transform(
             "t",
             lambda x: F.struct(
-                x["role"].isin(*template.loss_roles).alias("loss"),
+                template.trained(x["role"]).alias("loss"),
                 F.length(x["head"]).alias("head"),
                 F.length(x["body"]).alias("body"),
             ),
@@ -160,18 +166,30 @@ def render(df: DataFrame, template: Template = Template()) -> DataFrame:
     )
 
 
-def parse(rendered: DataFrame, *keep: str, template: Template = Template()) -> DataFrame:
-    """Reads the formatted text alone back into turns: array<struct<role, text, loss>>."""
+def _pieces(template: Template) -> Column:
+    """The turns of the formatted text, without their end markers."""
     pieces = F.split("formatted", template.end)  # the marker holds no regex metacharacter
-    pieces = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    return F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+
+
+def masked(template: Template = Template()) -> Column:
+    """The texts in the flagged segments of a rendered row, null for a turn without: array<string>."""
+
+    def body(piece: Column, size: Column) -> Column:
+        return F.when(size["loss"], template.unescape(F.substring(piece, size["head"] + 1, size["body"])))
+
+    return F.zip_with(_pieces(template), F.col("sizes"), body)
+
+
+def parse(rendered: DataFrame, *keep: str, template: Template = Template()) -> DataFrame:
+    """Reads the formatted text alone back into turns: array<struct<role, text>>."""
 
     def turn(piece: Column) -> Column:
         label = F.substring_index(F.substring(piece, len(template.head) + 1, 2_000_000_000), template.after_role, 1)
         body = F.substring(piece, F.lit(len(template.head) + len(template.after_role) + 1) + F.length(label), F.length(piece))
-        role = template.role_of(label)
-        return F.struct(role.alias("role"), template.unescape(body).alias("text"), role.isin(*template.loss_roles).alias("loss"))
+        return F.struct(template.role_of(label).alias("role"), template.unescape(body).alias("text"))
 
-    return rendered.select("conv_id", *keep, "formatted", F.transform(pieces, turn).alias("turns"))
+    return rendered.select("conv_id", *keep, "formatted", F.transform(_pieces(template), turn).alias("turns"))
 
 
 #: The conversation that the contract adds: both texts hold markers and the escape character.
@@ -186,9 +204,14 @@ def query(spark, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
         F.lit(PROBE).alias("text"),
     )
-    back = parse(render(conversations.unionByName(probe)), "valid", "first_bad_turn")
+    return digests(render(conversations.unionByName(probe)))
+
+
+def digests(rendered: DataFrame) -> DataFrame:
+    """Counts and digests of what is read back: the turns from the text alone, the loss from the flagged segments."""
+    back = parse(rendered, "sizes", "valid", "first_bad_turn")
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    loss = F.array_join(masked(), "")
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -67,6 +67,16 @@ def test_chat_segments_join_to_the_formatted_text(spark):
     assert chat.render(rows.limit(0)).count() == 0
 
 
+def test_chat_loss_is_read_from_the_flagged_segments(spark):
+    rows = [(1, 0, "user", "ask \\# <é🙂"), (1, 1, "assistant", chat.PROBE), (1, 2, "user", ""), (1, 3, "x:y@", "z</turn>\n")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for roles in (("assistant",), ("user",), ("x:y@", "user"), ("none",)):
+        loss = "".join(r[3] for r in rows if r[2] in roles)
+        got = chat.digests(chat.render(df, chat.Template(loss_roles=roles))).first()
+        assert (got["loss_chars"], got["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert got["n_turns"] == 4
+
+
 # --- media ------------------------------------------------------------------------------------------
 
 
