@@ -70,7 +70,7 @@ class Template:
         return out
 
     def role_of(self, label: Column) -> Column:
-        out = F.substring(label, len(self.raw_label) + 1, 1_000_000)
+        out = F.substring(label, F.lit(len(self.raw_label) + 1), F.length(label))
         for plain, code in reversed(self.role_codes):
             out = F.replace(out, F.lit(code), F.lit(plain))
         out = self.unescape(out)

@@ -77,6 +77,12 @@ def test_chat_loss_is_read_from_the_flagged_segments(spark):
         assert got["n_turns"] == 4
 
 
+def test_chat_reads_back_a_role_of_over_a_million_characters(spark):
+    rows = spark.createDataFrame([(1, "é:")], "conv_id long, role string").select("conv_id", F.lit(0).alias("turn"), F.repeat("role", F.lit(600_000)).alias("role"), F.lit("x").alias("text"))
+    back = chat.parse(chat.render(rows)).select(F.explode("turns").alias("t"))
+    assert back.select(F.length("t.role"), F.sha2("t.role", 256)).first() == (1_200_000, hashlib.sha256(("é:" * 600_000).encode()).hexdigest())
+
+
 # --- media ------------------------------------------------------------------------------------------
 
 
