@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plectrum.llm.common import documents, scratch, written
-from plectrum.llm.tokens import default_path, library_encoder, text_slices, texts_of
+from plectrum.llm.tokens import default_path, id_width, library_encoder, text_slices, texts_of
 
 HASH_DIMS, DIMS, BITS = 64, 3, 10
 
@@ -74,8 +74,9 @@ def curve_keys(ids: list[np.ndarray], seed: int = 7) -> np.ndarray:
     return hilbert_index(level, BITS)
 
 
-def encode(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, key, n_tokens, ids (little-endian unsigned 16-bit, the end id last)."""
+def encode(df: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
+    """doc_id, key, n_tokens, ids (little-endian unsigned, of ``width`` bytes, the end id last)."""
+    kind = {2: "<u2", 4: "<u4"}[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer)
@@ -86,7 +87,7 @@ def encode(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     "doc_id": batch.column("doc_id"),
                     "key": pa.array(curve_keys(ids), pa.int64()),
                     "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                    "ids": pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary()),
+                    "ids": pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()),
                 }
             )
 
@@ -112,9 +113,9 @@ def sort_along(encoded: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, key long, n_tokens long, ids binary, part int, local_start long")
 
 
-def cut(ordered: DataFrame, length: int) -> DataFrame:
+def cut(ordered: DataFrame, length: int, width: int) -> DataFrame:
     """The pieces of the documents in sequences of ``length`` ids."""
-    base, total = {}, 0
+    kind, base, total = {2: "<u2", 4: "<u4"}[width], {}, 0
     for part, n in ordered.groupBy("part").agg(F.sum("n_tokens")).orderBy("part").collect():  # one row a range
         base[part] = total
         total += n
@@ -124,7 +125,7 @@ def cut(ordered: DataFrame, length: int) -> DataFrame:
             for batch in text_slices(iter([whole]), "ids"):
                 out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
                 for doc, n, ids, part, local in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "ids", "part", "local_start")), strict=True):
-                    wide, at = np.frombuffer(ids, "<u2").astype("<u4"), base[part] + local
+                    wide, at = np.frombuffer(ids, kind).astype("<u4"), base[part] + local
                     start = 0
                     while start < n:
                         sequence, offset = divmod(at + start, length)
@@ -139,8 +140,9 @@ def cut(ordered: DataFrame, length: int) -> DataFrame:
 
 def pack(df: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048) -> DataFrame:
     spark = df.sparkSession
-    encoded = written(encode(df, tokenizer, end_id), scratch(spark, "pack-ids"))
-    return cut(written(sort_along(encoded), scratch(spark, "pack-sorted")), length)
+    width = id_width(tokenizer, end_id)
+    encoded = written(encode(df, tokenizer, end_id, width), scratch(spark, "pack-ids"))
+    return cut(written(sort_along(encoded), scratch(spark, "pack-sorted")), length, width)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Token-id files: flat unsigned integers and 64-bit document offsets, read by memory mapping.
 
 Documents are range-partitioned by id and sorted; each task encodes its range and writes three flat
-files: ``.bin`` (ids, 16 bits if the vocabulary allows, else 32), ``.idx`` (n + 1 local 64-bit offsets)
+files: ``.bin`` (ids, 16 bits if the tokenizer's largest id and the end id allow, else 32), ``.idx`` (n + 1 local 64-bit offsets)
 and ``.doc`` (64-bit document ids, then one validity byte each).  The manifest has a row for each
 file and is itself a written table, so an attempt that was lost or ran twice leaves no trace in it.
 A file's base is the sum of the counts before it; the driver sums one number a file.
@@ -23,13 +23,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plectrum.llm.common import documents, open_for_write, read_or_map, scratch, written
-from plectrum.llm.tokens import default_path, library_encoder, text_slices, texts_of
+from plectrum.llm.tokens import default_path, id_width, library_encoder, text_slices, texts_of
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long, width int"
 
 
-def write_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, width: int = 2) -> DataFrame:
-    """Encodes (doc_id, text) into files below folder; the manifest, as a written table."""
+def write_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, width: int | None = None) -> DataFrame:
+    """Encodes (doc_id, text) into files below folder; the manifest, as a written table.
+
+    width: bytes an id, by default the fewest of 2 and 4 that hold the tokenizer's ids and end_id.
+    """
+    least = id_width(tokenizer, end_id)
+    width = width or least
+    if width < least:
+        raise ValueError(f"ids of {width} bytes do not hold those of {tokenizer}")
     kind = {2: "<u2", 4: "<u4"}[width]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -147,6 +147,16 @@ def library_encoder(path: str) -> LibraryEncoder:
     return _ENCODERS[path]
 
 
+def id_width(path: str, end_id: int) -> int:
+    """Bytes an id: 2 if the tokenizer's largest id and end_id fit, else 4; larger or negative ids raise."""
+    from tokenizers import Tokenizer
+
+    most = max(end_id, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+    if end_id < 0 or most >= 1 << 32:
+        raise ValueError(f"ids of {path} with end id {end_id} do not fit in 32 bits")
+    return 2 if most < 1 << 16 else 4
+
+
 def default_path() -> str:
     import public_tokenizers
 

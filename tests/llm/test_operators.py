@@ -1,9 +1,11 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and on odd tables."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -175,6 +177,25 @@ def test_packing_covers_every_id_once(docs, none, library):
     assert packing.pack(none, default_path()).count() == 0
 
 
+def test_ids_above_16_bits_are_kept(spark, library, tmp_path):
+    model = json.loads(Path(default_path()).read_text())
+    model["model"]["vocab"] = {t: i + 40_000 for t, i in model["model"]["vocab"].items()}
+    for t in model["added_tokens"]:
+        t["id"] += 40_000
+    (far := tmp_path / "far.json").write_text(json.dumps(model))
+    texts = {0: "plain words and Ünïcödé 🙂 中文", 1: "", 2: "retrospectively unquestionable notwithstanding"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for path, add, end in ((str(far), 40_000, 2), (default_path(), 0, 70_000)):
+        want = {i: crc([x + add for x in library.encode(t, add_special_tokens=False).ids] + [end]) for i, t in texts.items()}
+        manifest = token_files.write_files(docs, common.scratch(spark, "t"), path, end)
+        assert {r["width"] for r in manifest.collect()} == {4}
+        assert {r["doc_id"]: r["ids_crc32"] for r in token_files.read_files(manifest).collect()} == want
+        assert {r["doc_id"]: r["ids_crc32"] for r in packing.pack(docs, path, end).collect()} == want
+        with pytest.raises(ValueError):
+            token_files.write_files(docs, common.scratch(spark, "t"), path, end, width=2)
+    assert any(x + 40_000 >= 1 << 16 for t in texts.values() for x in library.encode(t).ids)
+
+
 def test_hilbert_index_is_a_path():
     side = 8
     points = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])
