@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plectrum.llm.common import documents, scratch, written
-from plectrum.llm.tokens import default_path, id_width, library_encoder, text_slices, texts_of
+from plectrum.llm.tokens import binary_runs, default_path, id_width, library_encoder, text_slices, texts_of, with_end
 
 HASH_DIMS, DIMS, BITS = 64, 3, 10
 
@@ -60,14 +60,18 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
     return key.astype("int64")
 
 
-def curve_keys(ids: list[np.ndarray], seed: int = 7) -> np.ndarray:
-    """Each document's place on the curve."""
-    sizes = np.array([len(x) for x in ids])
-    doc, flat = np.repeat(np.arange(len(ids)), sizes), np.concatenate([*ids, np.zeros(0, "<u4")]).astype("uint64")
-    mixed = flat * np.uint64(0x9E3779B97F4A7C15)
-    bucket = (mixed >> np.uint64(58)).astype("int64") % HASH_DIMS
-    sign = 1.0 - 2.0 * ((mixed >> np.uint64(40)) & np.uint64(1)).astype("float64")
-    vector = np.bincount(doc * HASH_DIMS + bucket, sign, len(ids) * HASH_DIMS).reshape(len(ids), HASH_DIMS)
+def buckets(size: int) -> np.ndarray:
+    """For each id below size: its hashed dimension, plus HASH_DIMS if it counts down."""
+    mixed = np.arange(size, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(58)) % np.uint64(HASH_DIMS) + np.uint64(HASH_DIMS) * ((mixed >> np.uint64(40)) & np.uint64(1))).astype("i8")
+
+
+def curve_keys(ids: np.ndarray, bounds: np.ndarray, bucket: np.ndarray, seed: int = 7) -> np.ndarray:
+    """The place on the curve of each document, whose ids lie between the bounds."""
+    n = len(bounds) - 1
+    place = np.repeat(np.arange(n) * (2 * HASH_DIMS), np.diff(bounds)) + bucket[ids]
+    counts = np.bincount(place, minlength=n * 2 * HASH_DIMS).reshape(n, 2, HASH_DIMS)
+    vector = (counts[:, 0] - counts[:, 1]).astype("float64")
     vector /= np.maximum(np.linalg.norm(vector, axis=1, keepdims=True), 1e-12)
     low = vector @ np.random.default_rng(seed).standard_normal((HASH_DIMS, DIMS))
     level = np.clip((np.tanh(low) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype("uint64")
@@ -80,14 +84,15 @@ def encode(df: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer)
+        bucket = buckets(max(end_id, *encoder.tokenizer.get_vocab(with_added_tokens=True).values()) + 1)
         for batch in text_slices(batches):
-            ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)) for x in encoder.encode(texts_of(batch))]
+            ids, bounds = with_end(*encoder.encode_flat(texts_of(batch)), end_id)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
-                    "key": pa.array(curve_keys(ids), pa.int64()),
-                    "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                    "ids": pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()),
+                    "key": pa.array(curve_keys(ids, bounds, bucket), pa.int64()),
+                    "n_tokens": pa.array(np.diff(bounds), pa.int64()),
+                    "ids": binary_runs(ids.astype(kind), bounds),
                 }
             )
 

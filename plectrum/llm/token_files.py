@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plectrum.llm.common import documents, open_for_write, read_or_map, scratch, written
-from plectrum.llm.tokens import default_path, id_width, library_encoder, text_slices, texts_of
+from plectrum.llm.tokens import default_path, id_width, library_encoder, text_slices, texts_of, with_end
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long, width int"
 
@@ -43,26 +43,26 @@ def write_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, width:
         context = TaskContext.get()
         part = context.partitionId()
         path = f"{folder}/ids-{part:06d}-{context.taskAttemptId()}"
-        encoder, end = library_encoder(tokenizer), np.array([end_id], kind).tobytes()
-        sizes, ids, known, out = [], [], [], None
+        encoder = library_encoder(tokenizer)
+        sizes, ids, known, out = [np.zeros(1, "i8")], [], [], None
         for batch in text_slices(batches):
             out = out or open_for_write(path + ".bin")
             column = batch.column("doc_id")
             ids.append(column.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
             known.append(column.is_valid().to_numpy(zero_copy_only=False).astype("u1"))
-            for got in encoder.encode(texts_of(batch)):
-                sizes.append(len(got) // 4 + 1)
-                out.write(np.frombuffer(got, "<u4").astype(kind).tobytes())
-                out.write(end)
+            found, bounds = with_end(*encoder.encode_flat(texts_of(batch)), end_id)
+            sizes.append(np.diff(bounds))
+            out.write(found.astype(kind).tobytes())
         if out is None:
             return
         out.close()
         with open_for_write(path + ".idx") as f:
-            f.write(np.concatenate([[0], np.cumsum(sizes)]).astype("<i8").tobytes())
+            offsets = np.cumsum(np.concatenate(sizes)).astype("<i8")
+            f.write(offsets.tobytes())
         with open_for_write(path + ".doc") as f:
             f.write(np.concatenate(ids).tobytes() + np.concatenate(known).tobytes())
         yield pa.RecordBatch.from_pydict(
-            {"part": pa.array([part], pa.int32()), "path": [path], "n_docs": [len(sizes)], "n_tokens": [sum(sizes)], "width": pa.array([width], pa.int32())}
+            {"part": pa.array([part], pa.int32()), "path": [path], "n_docs": [len(offsets) - 1], "n_tokens": [int(offsets[-1])], "width": pa.array([width], pa.int32())}
         )
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -3,6 +3,7 @@
 The library's pattern always starts a new pretoken at a single space between two non-space
 characters, and merges never cross pretokens.  So a text is cut there, each distinct piece is encoded
 once by the library, and a text's ids are its pieces' ids in a row: equal to encoding the whole text.
+Pieces are numbered by one lookup each, and a slice's ids are gathered from flat arrays at once.
 """
 
 from __future__ import annotations
@@ -10,10 +11,10 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 
 #: White space other than the plain space and the line feed, as Python's \s or Unicode see it.
@@ -33,13 +34,18 @@ def _class(letter: str) -> str:
 PRETOKEN = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+".replace("{L}", _class("L")).replace("{N}", _class("N"))
 )
-#: Separator controls, which are white space to Python alone.
-_CONTROLS = re.compile("[\x1c-\x1f]")
+#: What PRETOKEN may split otherwise than the library: separator controls (white space to Python alone), later code points.
+_UNSETTLED = re.compile("[\x1c-\x1f\u0250-\U0010ffff]")
+
+
+#: A control that no settled text holds, and the characters that stand for themselves in byte-level vocabularies.
+_BETWEEN = "\x1f"
+_SHOWN_AS_IS = {_BETWEEN, *map(chr, range(0x21, 0x7F))}
 
 
 def settled(text: str) -> bool:
     """Whether PRETOKEN splits this text as the library does."""
-    return (text.isascii() or ord(max(text)) < SETTLED) and not _CONTROLS.search(text)
+    return not _UNSETTLED.search(text)
 
 
 def byte_alphabet() -> list[str]:
@@ -64,35 +70,163 @@ def pieces(text: str) -> list[str]:
     return _INNER_SPACE.split(text)
 
 
+class _Numbers(dict):
+    """Numbers strings as they are first looked up."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        self.fresh.append(key)
+        return number
+
+
+class Memory:
+    """Strings with their ids in flat arrays, bounded by count and by characters."""
+
+    #: Longer strings are forgotten when the memory is trimmed.
+    LONGEST = 256
+
+    #: Characters that stay within the bounds.
+    ROOM = 8 << 20
+
+    def __init__(self) -> None:
+        self._numbers, self._held = _Numbers(), 0
+        self.starts, self.sizes, self.ids = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "<u4")
+
+    def look_up(self, keys: list[str]) -> tuple[np.ndarray, list[str]]:
+        """The number of each key, and the keys not seen before, whose ids must be added next."""
+        at = np.fromiter(map(self._numbers.__getitem__, keys), "i8", len(keys))
+        fresh, self._numbers.fresh = self._numbers.fresh, []
+        self._held += sum(map(len, fresh))
+        return at, fresh
+
+    def keys(self) -> Iterator[str]:
+        """All strings in the order of their numbers."""
+        return iter(self._numbers)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray, order: np.ndarray | None = None) -> None:
+        """Ids of the fresh keys in a row; order: the place of each among the fresh keys."""
+        starts = np.cumsum(sizes) - sizes + len(self.ids)
+        if order is not None:
+            back = np.argsort(order, kind="stable")
+            starts, sizes = starts[back], sizes[back]
+        self.ids = np.concatenate([self.ids, ids])
+        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+
+    def trim(self, limit: int) -> None:
+        """Beyond the bounds the older half stays, where the frequent strings are."""
+        if len(self._numbers) <= limit and self._held <= self.ROOM:
+            return
+        keys = [k for k in islice(self._numbers, limit // 2) if len(k) <= self.LONGEST]
+        keys = keys[: int(np.searchsorted(np.cumsum([len(k) for k in keys]), self.ROOM // 2))]
+        kept = np.fromiter(map(self._numbers.__getitem__, keys), "i8", len(keys))
+        self.ids, self.sizes = gather(self.ids, self.starts[kept], self.sizes[kept]), self.sizes[kept]
+        self.starts, self._held = np.cumsum(self.sizes) - self.sizes, sum(map(len, keys))
+        self._numbers = _Numbers()
+        self._numbers.update(zip(keys, range(len(keys)), strict=True))
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of flat with these starts and sizes, in a row."""
+    ends = np.cumsum(sizes)
+    if not len(ends) or not ends[-1]:
+        return flat[:0]
+    return flat[np.arange(ends[-1]) + np.repeat(starts - (ends - sizes), sizes)]
+
+
 class PieceEncoder:
-    """Encodes texts by pieces; subclasses encode what the memory lacks.  limit bounds the memory."""
+    """Encodes texts by pieces and pretokens; subclasses give the ids of pretokens and of odd texts."""
 
-    limit = 450_000
+    #: Pieces remembered; half as many pretokens are.
+    limit = 400_000
 
     def __init__(self) -> None:
-        self._memory: dict[str, bytes] = {}  # of pieces after a space
+        self._pieces, self._words = Memory(), Memory()  # pieces after a space
 
     #: The starts of the tokenizer's own special strings.
     _marks: list[str] = []
 
-    def encode_new(self, texts: list[str], plain: bool = False) -> list[bytes]:
-        """The ids of texts; plain: they hold no special string and no white space but spaces and line feeds."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pretokens in a row and the number of each one's."""
+        raise NotImplementedError
+
+    def encode_odd(self, text: str) -> np.ndarray:
+        """The ids of a text that may hold special strings or that PRETOKEN may split otherwise."""
         raise NotImplementedError
 
+    def _odd(self, text: str) -> bool:
+        return any(m in text for m in self._marks) or not settled(text)
+
+    def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_words, through the memory of pretokens."""
+        at, fresh = self._words.look_up(words)
+        if fresh:
+            self._words.add(*self.encode_words(fresh))
+        sizes = self._words.sizes[at]
+        return gather(self._words.ids, self._words.starts[at], sizes), sizes
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Adds new pieces to the memory; the even ones are split into pretokens as one text."""
+        joined, order = " " + " ".join(fresh), None
+        even, odd = fresh, []
+        if joined.count(" ") != len(fresh) or self._odd(joined):
+            odd = [i for i, p in enumerate(fresh) if " " in p or self._odd(p)]
+            there = set(odd)
+            order = np.array([i for i in range(len(fresh)) if i not in there] + odd)
+            even = [fresh[i] for i in order[: len(fresh) - len(odd)]]
+            joined = " " + " ".join(even)
+        ids, sizes = np.zeros(0, "<u4"), np.zeros(0, "i8")
+        if even:
+            words = PRETOKEN.findall(joined)
+            ids, word_sizes = self.word_ids(words)
+            ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)))
+            last = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, even), "i8", len(even)) + 1))
+            sizes = np.diff(np.cumsum(word_sizes)[last], prepend=0)
+        if odd:
+            each = [self.encode_odd(" " + fresh[i]) for i in odd]
+            ids, sizes = np.concatenate([ids, *each]), np.concatenate([sizes, [len(x) for x in each]]).astype("i8")
+        self._pieces.add(ids, sizes, order)
+
+    def _heads(self, heads: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids in a row and the number of each first piece's."""
+        odd = {i for i, h in enumerate(heads) if self._odd(h)}
+        cut = [[] if i in odd else PRETOKEN.findall(h) for i, h in enumerate(heads)]
+        ids, word_sizes = self.word_ids(list(chain.from_iterable(cut)))
+        ends = np.concatenate([[0], np.cumsum(word_sizes)])[np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype("i8")]
+        if not odd:
+            return ids, np.diff(ends)
+        each = [self.encode_odd(h) if i in odd else ids[ends[i] : ends[i + 1]] for i, h in enumerate(heads)]
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row (unsigned 32-bit integers) and the bounds of each text's."""
+        if not texts:
+            return np.zeros(0, "<u4"), np.zeros(1, "i8")
+        cut = [pieces(t) for t in texts]
+        heads = [c.pop(0) for c in cut]
+        counts = np.fromiter(map(len, cut), "i8", len(cut))
+        at, fresh = self._pieces.look_up(list(chain.from_iterable(cut)))
+        del cut
+        if fresh:
+            self._learn(fresh)
+        memory = self._pieces
+        head_ids, head_sizes = self._heads(heads)
+        places = np.cumsum(counts) - counts
+        starts = np.insert(memory.starts[at], places, np.cumsum(head_sizes) - head_sizes + len(memory.ids))
+        sizes = np.insert(memory.sizes[at], places, head_sizes)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts + 1)])]
+        out = gather(np.concatenate([memory.ids, head_ids]), starts, sizes)
+        memory.trim(self.limit)
+        self._words.trim(self.limit // 2)
+        return out, bounds
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as native unsigned 32-bit integers."""
-        memory, cut = self._memory, [pieces(t) for t in texts]
-        plain = not any(_RARE_SPACE.search(t) or any(m in t for m in self._marks) for t in texts)
-        heads = [c[0] for c in cut]
-        first = dict(zip(once := list(dict.fromkeys(heads)), self.encode_new(once), strict=True))
-        wanted = set().union(*[c[1:] for c in cut]) if cut else set()
-        if fresh := [w for w in wanted if w not in memory]:
-            memory.update(zip(fresh, self.encode_new([" " + w for w in fresh], plain), strict=True))
-        get = memory.__getitem__
-        out = [first[c[0]] + b"".join(map(get, c[1:])) for c in cut]
-        if len(memory) > self.limit:  # the oldest entries are the frequent words
-            self._memory = dict(islice(memory.items(), self.limit // 2))
-        return out
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        ids, bounds = self.encode_flat(texts)
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 class LibraryEncoder(PieceEncoder):
@@ -107,34 +241,27 @@ class LibraryEncoder(PieceEncoder):
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self._shown = dict(enumerate(byte_alphabet()))
-        self._words: dict[str, bytes] = {}
         self._marks = [x.content[:2] for x in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def encode_new(self, texts: list[str], plain: bool = False) -> list[bytes]:
-        """Pretokens go to the library's model one by one; odd texts go to the library whole."""
-        out: list[bytes | None] = [None] * len(texts)
-        rest, words, word, known, tokenize = [], self._words, self._word, self._memory, self.tokenizer.model.tokenize
-        space, end = self._shown[0x20], chr(SETTLED)
-        for i, t in enumerate(texts):
-            low = t.isascii() or max(t) < end
-            if plain and low and t[:1] == " " and t[1:].isalpha():  # one pretoken
-                shown = space + t[1:] if t.isascii() else t.encode().decode("latin-1").translate(self._shown)
-                out[i] = array("I", [x.id for x in tokenize(shown)]).tobytes()
-            elif low and t and (plain or (settled(t) and not any(m in t for m in self._marks))):
-                out[i] = b"".join([words.get(p) or known.get(p[1:] if p[0] == " " else None) or word(p) for p in PRETOKEN.findall(t)])
-            else:
-                rest.append(i)
-        if rest:
-            for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-                out[i] = array("I", e.ids).tobytes()
-        if len(words) > self.limit // 2:
-            self._words = dict(islice(words.items(), self.limit // 4))
-        return out
-
-    def _word(self, word: str) -> bytes:
-        shown = word.encode().decode("latin-1").translate(self._shown)
-        got = self._words[word] = array("I", [x.id for x in self.tokenizer.model.tokenize(shown)]).tobytes()
-        return got
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pretokens go to the library's model one by one."""
+        tokenize = self.tokenizer.model.tokenize
+        got = [[x.id for x in tokenize(w)] for w in self._alphabet(words)]
+        sizes = np.fromiter(map(len, got), "i8", len(got))
+        return np.fromiter(chain.from_iterable(got), "<u4", int(sizes.sum())), sizes
+
+    def _alphabet(self, words: list[str]) -> list[str]:
+        """Settled words as strings of the byte alphabet; words hold no separator control."""
+        joined = _BETWEEN.join(words)
+        to = {c: c.encode().decode("latin-1").translate(self._shown) for c in set(joined) - _SHOWN_AS_IS}
+        if to.keys() & set("".join(to.values())):  # one replacement would change what another has put
+            return [w.encode().decode("latin-1").translate(self._shown) for w in words]
+        for c, shown in to.items():
+            joined = joined.replace(c, shown)
+        return joined.split(_BETWEEN)
+
+    def encode_odd(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -163,9 +290,8 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of at most about ``most`` bytes of text, one row at least."""
-    import numpy as np
     import pyarrow.compute as pc
 
     for batch in batches:
@@ -183,3 +309,15 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts, with the empty one for null."""
     return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with end_id after each text's, and their bounds."""
+    return np.insert(ids, bounds[1:], np.uint32(end_id)), bounds + np.arange(len(bounds))
+
+
+def binary_runs(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary column whose values are the bytes of the runs of flat between the bounds."""
+    at = (bounds * flat.itemsize).astype("<i8")
+    large = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(flat))])
+    return large.cast(pa.binary())
