@@ -327,13 +327,13 @@ def count_words(df: DataFrame, tokenizer: str, most: int = 1_000_000) -> DataFra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, heads, counts, held = LexiconEncoder(tokenizer, None), Memory(), Counter(), np.zeros(0, "i8"), 0
+        encoder, seen, heads, n, held = LexiconEncoder(tokenizer, None), Memory(), Counter(), 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             words: Counter = Counter()
-            for piece, n in chain(heads.items(), zip(seen.keys(), counts.tolist(), strict=True)):
+            for piece, times in chain(heads.items(), seen.counted()):
                 for w in encoder.pretokens(piece):
-                    words[w] += n
+                    words[w] += times
             keys, values = list(words), list(words.values())
             for a in range(0, len(keys), 50_000):
                 yield pa.RecordBatch.from_pydict({"word": keys[a : a + 50_000], "n": pa.array(values[a : a + 50_000], pa.int64())})
@@ -342,14 +342,11 @@ def count_words(df: DataFrame, tokenizer: str, most: int = 1_000_000) -> DataFra
             cut = [pieces(t) for t in texts_of(batch)]
             own = [c.pop(0) for c in cut]
             heads.update(own)
-            at, fresh = seen.look_up([f" {p}" for p in chain.from_iterable(cut)])
-            held += sum(map(len, fresh)) + sum(map(len, own))
-            now = np.bincount(at, minlength=len(counts) + len(fresh))
-            now[: len(counts)] += counts
-            counts = now
-            if len(counts) > most or held > 16 * most:
+            fresh = seen.look_up([f" {p}" for p in chain.from_iterable(cut)])[1]
+            n, held = n + len(fresh), held + sum(map(len, fresh)) + sum(map(len, own))
+            if n > most or held > 16 * most:
                 yield from flush()
-                seen, heads, counts, held = Memory(), Counter(), np.zeros(0, "i8"), 0
+                seen, heads, n, held = Memory(), Counter(), 0, 0
         yield from flush()
 
     return df.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -390,7 +387,7 @@ def encode(df: DataFrame, tokenizer: str, uri: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = lexicon_encoder(tokenizer, uri)
         for batch in text_slices(batches):
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": binary_runs(*encoder.encode_flat(texts_of(batch)))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": binary_runs(*encoder.encode_flat(batch.column("text")))})
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
@@ -402,7 +399,7 @@ def round_trip(df: DataFrame, tokenizer: str, uri: str) -> DataFrame:
         encoder = lexicon_encoder(tokenizer, uri)
         shown = [str(i) for i in range(len(encoder.merger.strings))]
         for batch in text_slices(batches):
-            ids, bounds = encoder.encode_flat(texts_of(batch))
+            ids, bounds = encoder.encode_flat(batch.column("text"))
             raw = encoder.decode(ids)
             bytes_before = np.concatenate([[0], np.cumsum(encoder._sizes[ids])])[bounds].tolist()
             seen, decoded = [], []

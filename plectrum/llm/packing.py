@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plectrum.llm.common import documents, scratch, written
-from plectrum.llm.tokens import binary_runs, default_path, id_width, library_encoder, text_slices, texts_of, with_end
+from plectrum.llm.tokens import binary_runs, default_path, id_width, library_encoder, text_slices, with_end
 
 HASH_DIMS, DIMS, BITS = 64, 3, 10
 
@@ -86,7 +86,7 @@ def encode(df: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
         encoder = library_encoder(tokenizer)
         bucket = buckets(max(end_id, *encoder.tokenizer.get_vocab(with_added_tokens=True).values()) + 1)
         for batch in text_slices(batches):
-            ids, bounds = with_end(*encoder.encode_flat(texts_of(batch)), end_id)
+            ids, bounds = with_end(*encoder.encode_flat(batch.column("text")), end_id)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),

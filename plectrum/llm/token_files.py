@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plectrum.llm.common import documents, open_for_write, read_or_map, scratch, written
-from plectrum.llm.tokens import default_path, id_width, library_encoder, text_slices, texts_of, with_end
+from plectrum.llm.tokens import default_path, id_width, library_encoder, text_slices, with_end
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long, width int"
 
@@ -50,7 +50,7 @@ def write_files(df: DataFrame, folder: str, tokenizer: str, end_id: int, width:
             column = batch.column("doc_id")
             ids.append(column.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
             known.append(column.is_valid().to_numpy(zero_copy_only=False).astype("u1"))
-            found, bounds = with_end(*encoder.encode_flat(texts_of(batch)), end_id)
+            found, bounds = with_end(*encoder.encode_flat(batch.column("text")), end_id)
             sizes.append(np.diff(bounds))
             out.write(found.astype(kind).tobytes())
         if out is None:
