@@ -2,13 +2,16 @@
 
 A document's ids are hashed into a signed count vector, scaled to unit length, projected to three
 dimensions by a fixed random matrix and quantised; its Hilbert index is its place on the curve.
-Documents are range-sorted by that key, the running token count is cut every ``length`` ids, and only
-the very last sequence has padding.  Steps are written tables in the shared folder: the encoding (so
-that range sampling does not encode twice) and the sorted ranges with their local starts; a range's
-base is the token sum of the ranges before it, one number a range.
+The curve is cut into ranges of near-equal token counts and each range is sorted by that key; the running
+token count is cut every ``length`` ids, so only the very last sequence has padding.
+
+The encoding is a written table, so nothing is encoded twice.  Its token counts by cell (the key's top CELL_BITS
+bits, so a bounded number) fix the ranges on the driver.  A cell above two ranges' share, such as a large
+group of copies, gets ranges of its own, to which its rows are dealt by hash.  One shuffle then
+brings each range together, and a range's base is the token sum of the ranges before it.
 
 Edge cases: a null text is empty and has its end id alone; equal texts share a key and are ordered by
-id, so a large group of copies spreads over ranges; repeated rows are all packed; an empty
+id, but where they fill ranges of their own; repeated rows are all packed; an empty
 table gives no pieces; further columns are ignored.
 """
 
@@ -19,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,10 @@ from plectrum.llm.common import documents, scratch, written
 from plectrum.llm.tokens import binary_runs, default_path, id_width, library_encoder, text_slices, with_end
 
 HASH_DIMS, DIMS, BITS = 64, 3, 10
+#: Leading bits of a key that name its cell.
+CELL_BITS = 18
+#: Ids in a range, some 16 MB; above MOST_RANGES of them, ranges grow instead.
+RANGE_IDS, MOST_RANGES = 8_000_000, 20_000
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -97,47 +103,64 @@ def encode(df: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
             )
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, key long, n_tokens long, ids binary")
-
-
-def sort_along(encoded: DataFrame) -> DataFrame:
-    """The documents range-sorted by key, with their range and the ids before them in it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, done = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ends = done + np.cumsum(batch.column("n_tokens").to_numpy())
-            starts = ends - batch.column("n_tokens").to_numpy()
-            done = int(ends[-1]) if len(ends) else done
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), pa.array(starts, pa.int64())],
-                names=[*batch.schema.names, "part", "local_start"],
-            )
-
-    dealt = encoded.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "n_tokens", "ids")
-    return dealt.mapInArrow(run, "doc_id long, key long, n_tokens long, ids binary, part int, local_start long")
+    return rows.mapInArrow(run, "doc_id long, key long, n_tokens long, ids binary").withColumn("row", F.monotonically_increasing_id())
+
+
+def ranges(tokens: list[int], share: int) -> list[tuple[int, int]]:
+    """For each cell in curve order, from its token count: its first range and how many ranges are its own."""
+    out, at, held = [], 0, 0
+    for n in tokens:
+        if n > 2 * share:
+            at += held > 0
+            k = -(-n // share)
+            out.append((at, k))
+            at, held = at + k, 0
+            continue
+        if held and held + n > share:
+            at, held = at + 1, 0
+        out.append((at, 1))
+        held += n
+    return out
+
+
+def sort_along(encoded: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """The documents in their ranges (part), each sorted by key, and the ids before each range."""
+    spark = encoded.sparkSession
+    cell = F.shiftright("key", max(0, DIMS * BITS - CELL_BITS))
+    cells = sorted((r["cell"], r["n"]) for r in encoded.groupBy(cell.alias("cell")).agg(F.sum("n_tokens").alias("n")).collect())  # 2 ** CELL_BITS rows at most
+    share = max(RANGE_IDS, sum(n for _, n in cells) // MOST_RANGES)
+    dealt = ranges([n for _, n in cells], share)
+    index = spark.createDataFrame([(c, *d) for (c, _), d in zip(cells, dealt, strict=True)], "cell long, first int, many int")
+    own = F.col("first") + F.pmod(F.xxhash64("doc_id", "row"), F.col("many")).cast("int")
+    placed = encoded.withColumn("cell", cell).join(F.broadcast(index), "cell").withColumn("part", own)  # 16 bytes a cell
+    base, total = {}, 0
+    for part, n in sorted(placed.groupBy("part").agg(F.sum("n_tokens")).collect()):  # one row a range
+        base[part] = total
+        total += n
+    placed = placed.select("part", "key", "doc_id", "n_tokens", "row", "ids")
+    return placed.repartition(max(1, len(base)), "part").sortWithinPartitions("part", "key", "doc_id", "n_tokens", "row"), base
 
 
-def cut(ordered: DataFrame, length: int, width: int) -> DataFrame:
+def cut(ordered: DataFrame, base: dict[int, int], length: int, width: int) -> DataFrame:
     """The pieces of the documents in sequences of ``length`` ids."""
-    kind, base, total = {2: "<u2", 4: "<u4"}[width], {}, 0
-    for part, n in ordered.groupBy("part").agg(F.sum("n_tokens")).orderBy("part").collect():  # one row a range
-        base[part] = total
-        total += n
+    kind = {2: "<u2", 4: "<u4"}[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at = None, 0
         for whole in batches:
             for batch in text_slices(iter([whole]), "ids"):
                 out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
-                for doc, n, ids, part, local in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "ids", "part", "local_start")), strict=True):
-                    wide, at = np.frombuffer(ids, kind).astype("<u4"), base[part] + local
-                    start = 0
+                for doc, n, ids, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "ids", "part")), strict=True):
+                    if part != now:
+                        now, at = part, base[part]
+                    wide, start = np.frombuffer(ids, kind).astype("<u4"), 0
                     while start < n:
                         sequence, offset = divmod(at + start, length)
                         size = min(n - start, length - offset)
-                        for k, v in zip(out, (doc, start, size, zlib.crc32(wide[start : start + size].tobytes()), n, sequence, offset), strict=True):
+                        for k, v in zip(out, (doc, start, size, zlib.crc32(wide[start : start + size]), n, sequence, offset), strict=True):
                             out[k].append(v)
                         start += size
+                    at += n
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     return ordered.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
@@ -147,7 +170,7 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048) ->
     spark = df.sparkSession
     width = id_width(tokenizer, end_id)
     encoded = written(encode(df, tokenizer, end_id, width), scratch(spark, "pack-ids"))
-    return cut(written(sort_along(encoded), scratch(spark, "pack-sorted")), length, width)
+    return cut(*sort_along(encoded), length, width)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
