@@ -95,5 +95,24 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
 
 
+def quoted(columns: list[str]) -> list[str]:
+    """The names as select() takes them literally, dots included."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
+#: Rows that a scan or a Python worker takes at once: texts run to megabytes, and defaults of thousands of rows
+#: make buffers of tens of megabytes in every task.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for tables of long texts, where the session does not set its own."""
+    told = spark.conf.getAll
+    for key, value in BATCHES.items():
+        if key not in told:
+            spark.conf.set(key, value)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

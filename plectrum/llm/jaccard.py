@@ -37,21 +37,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plectrum.llm.bytewise import NOT_SPACE, Words
-from plectrum.llm.common import documents, open_for_write, read_or_map, scratch, written
+from plectrum.llm.common import documents, open_for_write, quoted, read_or_map, scratch, written
 from plectrum.llm.components import components, roots
 from plectrum.llm.tokens import text_slices
 
 PERCENT = 90
 #: Words in a shingle.
 WORDS = 3
-#: Shingles in one block of a large unit; a task holds two blocks.
-BUDGET = 2_000_000
+#: Shingles in one block of a large unit; a task holds two blocks, some 130 bytes a shingle.
+BUDGET = 1_000_000
 CHUNKS = 16
 BROADCAST_ROWS = 250_000
 #: At most so many ids (8 bytes each) of rows to drop are broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: Bytes of text hashed at a time; a worker holds some forty times that.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def sketch_bits(df: DataFrame, least: int = 20, most: int = 24) -> int:
@@ -67,23 +67,11 @@ def build_sketch(df: DataFrame, uri: str, bits: int, words: int = WORDS) -> str:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, n, mask = np.zeros(1 << bits, "u1"), [], 0, np.uint64((1 << bits) - 1)
-
-        def add() -> None:
-            nonlocal held, n, total
-            if held:
-                now = np.bincount((np.concatenate(held) & mask).astype("i8"), minlength=1 << bits)
-                total = np.minimum(now + total, 255).astype("u1")
-            held, n = [], 0
-
+        total, mask = np.zeros(1 << bits, "u4"), np.uint64((1 << bits) - 1)
         for batch in text_slices(batches, most=SLICE):
-            for run in Words(batch.column("text"), NOT_SPACE).shingle_runs(words):
-                held.append(run)
-                n += len(run)
-            if n > 4_000_000:
-                add()
-        add()
-        parts = np.split(total, CHUNKS)
+            runs = Words(batch.column("text"), NOT_SPACE).shingle_runs(words)
+            np.add.at(total, (np.concatenate([np.zeros(0, "u8"), *runs]) & mask).astype("i8"), 1)
+        parts = np.split(np.minimum(total, 255).astype("u1"), CHUNKS)
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(CHUNKS), pa.int32()), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,12 +193,16 @@ def links_in_unit(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCE
     order = np.argsort([len(s) for s in sets], kind="stable")
     size = np.array([len(sets[i]) for i in order])
     flat = np.concatenate([sets[i] for i in order])
-    values, token = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(m), size)
+    by_token = np.argsort(flat, kind="stable")  # owners rise within a list
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[by_token[1:]] != flat[by_token[:-1]]
+    token = np.empty(len(flat), "i4")
+    token[by_token] = np.cumsum(new) - 1
     starts = np.concatenate([[0], np.cumsum(size)])
-    by_token = np.argsort(token, kind="stable")  # owners rise within a list
-    lists = owner[by_token].astype("i4")
-    count = np.bincount(token, minlength=len(values))
+    lists = np.repeat(np.arange(m, dtype="i4"), size)[by_token]
+    n_values = int(new.sum())
+    del flat, new, by_token
+    count = np.bincount(token, minlength=n_values)
     list_at = np.concatenate([[0], np.cumsum(count)])
     # prefixes, rare shingles first
     prefix_tokens, prefix_places = [], []
@@ -224,7 +216,7 @@ def links_in_unit(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCE
     p_owner = np.repeat(np.arange(m), [len(p) for p in prefix_tokens])
     p_order = np.argsort(p_token, kind="stable")
     p_owner, p_place = p_owner[p_order], p_place[p_order]
-    p_at = np.concatenate([[0], np.cumsum(np.bincount(p_token, minlength=len(values)))])
+    p_at = np.concatenate([[0], np.cumsum(np.bincount(p_token, minlength=n_values))])
     low = np.searchsorted(size, -(-percent * size // 100), side="left")
     high = np.searchsorted(size, 100 * size // percent, side="right")
     sides = side[order]
@@ -353,12 +345,12 @@ def keep_one(df: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataF
     gone = grouped.where("component_id <> doc_id").select("doc_id").distinct()
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = df.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    kept = df.join(gone, "doc_id", "left_anti").select(*quoted(df.columns))
     again = grouped.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return kept
     # rows that share an id and are linked are copies of one another
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*df.columns)
+    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*quoted(df.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

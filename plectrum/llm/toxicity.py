@@ -27,10 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plectrum.llm.bytewise import LETTERS, Words
-from plectrum.llm.common import documents
+from plectrum.llm.common import documents, quoted
 from plectrum.llm.tokens import text_slices
 
 SAMPLE, MAX_FEATURES, RIDGE, SWAP_PENALTY = 2000, 1024, 0.1, 50.0
+#: Bytes of text scored at a time; a worker holds some forty times that.
+SLICE = 1 << 20
 #: Bytes of the word beginnings that are features beside whole words (None).
 BEGINNINGS = (None, 4, 5, 6)
 
@@ -88,7 +90,7 @@ def present(texts: pa.Array, features: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (pairs // len(features), pairs % len(features)) if len(features) else (pairs, pairs)
 
 
-def _runs(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
+def _runs(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, pa.Array]]:
     """The texts in runs of about ``most`` bytes with the place of each run: bounds the driver's memory."""
     at = 0
     for run in text_slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), most=most):
@@ -187,26 +189,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE)
     return one.select("doc_id", "x.text", "x.toxic").orderBy("doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = labelled_sample(docs, labels).select("text", "toxic").toPandas()
+def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
+    named = docs.select("doc_id", F.col(*quoted([text])).alias("text"))
+    rows = labelled_sample(named, labels).select("text", "toxic").toPandas()
     return fit(rows["text"].fillna("").tolist(), rows["toxic"].tolist())
 
 
 def score(df: DataFrame, model: Model, *keep: str) -> DataFrame:
     """keep columns and the score of each whole text."""
-    schema = df.select(*keep).schema.add("score", "double")
+    schema = df.select(*quoted(list(keep))).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, most=2 << 20):
+        for batch in text_slices(batches, most=SLICE):
             scores = pa.array(model.scores(batch.column("text")), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), scores], names=[*keep, "score"])
 
-    return df.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return df.select(*quoted(list(dict.fromkeys([*keep, "text"])))).mapInArrow(run, schema)
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of df with a score below 0.5, with df's own columns."""
-    return score(df, train(df, labels), *df.columns).where("score < 0.5").select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows of df whose text scores below 0.5, with df's own columns, whatever their names."""
+    model, place = train(df, labels, text), df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, text, SLICE):
+            yield batch.filter(pa.array(model.scores(batch.column(place)) < 0.5))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
