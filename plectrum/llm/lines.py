@@ -13,7 +13,8 @@ pipeline uses this, since the stage that drops copies comes after.  Near copies
 Edge cases: a null host is a host of its own; a null text stays null and counts as a page; blank lines are
 kept and never counted; a line repeated in one page counts once there; repeated rows are
 pages of their own; a page can become empty but no row goes; an empty table stays empty; all columns
-of the input are returned as they were but the text.
+of the input, whatever their names, are returned as they were but the text; the two added columns take
+the names _n_lines and _n_dropped, which a table that has them must rename first.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plectrum.llm.common import SPACE_CLASS, documents, scratch, written
+from plectrum.llm.common import SPACE_CLASS, documents, quoted, scratch, written
 
 RATIO, MIN_PAGES = 0.05, 5
 BROADCAST_BYTES = 16 << 20
@@ -37,7 +38,7 @@ def _real(line: Column) -> Column:
 
 def boilerplate(df: DataFrame, host: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, text: str = "text", copies_once: bool = False) -> DataFrame:
     """host, line hash (a, b), pages with the line, pages of the host; lines above the ratio only."""
-    pages = df.select(F.coalesce(host, F.lit("\0")).alias("_host"), F.col(text).alias("_text"))
+    pages = df.select(F.coalesce(host, F.lit("\0")).alias("_host"), F.col(*quoted([text])).alias("_text"))
     lines = F.array_distinct(F.filter(F.split("_text", "\n"), _real))
     page = [_hash(F.col("_text")).alias("_page")] if copies_once else []
     counted = pages.select("_host", *page, F.explode(F.transform(lines, _hash)).alias("_h"))
@@ -55,15 +56,18 @@ def drop_boilerplate(df: DataFrame, host: Column, ratio: float = RATIO, min_page
     size = found.count() * 16 + found.select("_host").distinct().count() * 64
     if size <= BROADCAST_BYTES:
         lists = F.broadcast(lists)
-    keyed = df.withColumn("_host", F.coalesce(host, F.lit("\0"))).join(lists, "_host", "left")
-    lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda x: ~(_real(x) & F.array_contains("_drop", _hash(x))))
-    clean = F.when(F.col("_drop").isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    out = keyed.withColumns({"_n_lines": F.coalesce(F.size(lines), F.lit(0)), "_clean": clean})
-    return out.select(
-        *[F.col("_clean").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns],
-        F.when(F.col(text).isNull(), 0).otherwise(F.col("_n_lines")).cast("long").alias("_n_lines"),
-        F.when(F.col(text).isNull() | F.col("_drop").isNull(), 0).otherwise(F.col("_n_lines") - F.size(kept)).cast("long").alias("_n_dropped"),
+    # the rest of a row travels in one column, so that its names cannot clash with the helpers'
+    rest = [c for c in df.columns if c != text]
+    row = F.struct(F.lit(0).alias("\0"), *[F.col(q).alias(c) for q, c in zip(quoted(rest), rest, strict=True)])
+    keyed = df.select(row.alias("_row"), F.coalesce(host, F.lit("\0")).alias("_host"), F.col(*quoted([text])).alias("_text")).join(lists, "_host", "left")
+    # used twice below, so it stays a projection of its own and each text is split once
+    kept = F.filter(F.split("_text", "\n"), lambda x: ~(_real(x) & F.array_contains("_drop", _hash(x))))
+    cut = keyed.select("_row", "_text", F.when(F.col("_drop").isNotNull(), kept).alias("_kept"))
+    n_lines = F.coalesce(F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    return cut.select(
+        *[F.coalesce(F.array_join("_kept", "\n"), "_text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in df.columns],
+        n_lines.alias("_n_lines"),
+        F.when(F.col("_kept").isNull(), 0).otherwise(n_lines - F.size("_kept")).cast("long").alias("_n_dropped"),
     )
 
 
