@@ -4,12 +4,13 @@ A layout is a written table with a manifest: one row a file (a block) with its s
 From the old shard sizes and the new capacities a minimum-cost flow gives how many bytes each old
 shard sends to each new one (staying costs nothing).  Flows are filled with whole blocks, which
 change hands in the manifest alone; the blocks left at the boundaries between flows are cut by rows,
-largest row first to the shard that lacks most, and rewritten as files of their new shards.  A row's slot is its file's base in the shard plus its place in the
+largest row first to the shard that lacks most, and rewritten as files of their new shards.  Only
+cut files are read for that and shuffled.  A row's slot is its file's base in the shard plus its place in the
 file, so neither needs a shuffle.  The driver sees one row a file and one number a shard.
 
 Edge cases: a null text has no bytes and size 1; a null key goes to a fixed old shard; equal rows are
-placed each; a shard may stay empty; an empty table gives no rows; further columns of the input are
-carried through the files unchanged, and clashes with the layout's own columns are avoided by a prefix.
+placed each; a shard may stay empty; an empty table gives no rows; further columns of the input, whatever
+their names, are carried through the files unchanged, in one column of their own.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from plectrum.llm.common import documents, scratch, written
+from plectrum.llm.common import documents, quoted, scratch, written
 
 MANIFEST = "path string, shard int, n_rows long, n_bytes long"
 MAX_ROWS = 50_000  # a file: a block is never larger
+#: An index of at most so many files (some 200 bytes each) is broadcast; a larger one is joined by a shuffle.
+BROADCAST_FILES = 200_000
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -90,23 +94,25 @@ def size_of(text: str = "text") -> Column:
 
 
 def lay_out(df: DataFrame, shard: Column, folder: str) -> DataFrame:
-    """Writes df by shard without a shuffle: each task adds its files to the shards' folders."""
-    df.withColumns({"_size": size_of(), "_shard": shard.cast("int")}).write.option("maxRecordsPerFile", MAX_ROWS).partitionBy("_shard").parquet(folder)
-    return _manifest(_files(df.sparkSession, folder, df), folder)
+    """Writes df by shard without a shuffle: each task adds its files to the shards' folders.
 
+    A row of df is one column of the files, so its names cannot clash with the layout's.
+    """
+    row = F.struct(*[F.col(q).alias(c) for q, c in zip(quoted(df.columns), df.columns, strict=True)])
+    laid = df.select(row.alias("row"), size_of().alias("size"), shard.cast("int").alias("shard"))
+    laid.write.option("maxRecordsPerFile", MAX_ROWS).partitionBy("shard").parquet(folder)
+    return _manifest(_files(df, folder), folder)
 
-def _files(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
-    return (
-        spark.read.schema(like.withColumns({"_size": F.lit(0).cast("long"), "_shard": F.lit(0)}).schema)
-        .parquet(folder)
-        .withColumns({"_path": F.col("_metadata.file_path"), "_place": F.col("_metadata.row_index")})
-    )
+
+def _files(df: DataFrame, folder: str, paths: list[str] | None = None) -> DataFrame:
+    """row, size, shard, path and place in the file of a layout's rows, or of some of its files."""
+    schema = StructType([StructField("row", df.schema), StructField("size", LongType()), StructField("shard", IntegerType())])
+    read = df.sparkSession.read.schema(schema).option("basePath", folder).parquet(*(paths or [folder]))
+    return read.select("row", "size", "shard", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("place"))
 
 
 def _manifest(files: DataFrame, folder: str) -> DataFrame:
-    rows = files.groupBy(F.col("_path").alias("path"), F.col("_shard").alias("shard")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("_size").cast("long").alias("n_bytes")
-    )
+    rows = files.groupBy("path", "shard").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").cast("long").alias("n_bytes"))
     return written(rows, folder + "-manifest")
 
 
@@ -146,49 +152,58 @@ def plan(blocks: list[tuple[str, int, int]], n_old: int, capacity: list[int]) ->
 
 def _deal(block: pd.DataFrame) -> pd.DataFrame:
     """The rows of one cut block, largest first, each to the shard that still wants most of it."""
-    block = block.sort_values(["_size", "_place"], ascending=[False, True], kind="stable")
-    heap = [(-want, j) for want, j in zip(block["_want"].iloc[0], block["_to"].iloc[0], strict=True)]
+    block = block.sort_values(["size", "place"], ascending=[False, True], kind="stable")
+    heap = [(-want, j) for want, j in zip(block["want"].iloc[0], block["to"].iloc[0], strict=True)]
     heapq.heapify(heap)
     new = []
-    for size in block["_size"]:
+    for size in block["size"]:
         want, j = heap[0]
         heapq.heapreplace(heap, (want + size, j))
         new.append(j)
-    return block[["_path", "_place"]].assign(_new=np.array(new, "int32"))
+    return block[["path", "place"]].assign(new=np.array(new, "int32"))
+
+
+def _rewrite(df: DataFrame, old_folder: str, cuts: dict[str, list[tuple[int, int]]], folder: str) -> DataFrame:
+    """Writes the rows of the cut files, and of no others, as files of their new shards."""
+    spark = df.sparkSession
+    cut = _files(df, old_folder, list(cuts))
+    pieces = spark.createDataFrame([(p, [b for b, _ in c], [j for _, j in c]) for p, c in cuts.items()], "path string, want array<long>, to array<int>")
+    rows = cut.select("path", "place", "size").join(F.broadcast(pieces), "path")  # a cut file for each boundary of flows at most
+    placed = rows.groupBy("path").applyInPandas(_deal, "path string, place long, new int")
+    moved = cut.drop("shard").join(placed, ["path", "place"]).withColumnRenamed("new", "shard")
+    moved.select("row", "size", "shard").write.partitionBy("shard").parquet(folder)
+    return _files(df, folder)
 
 
 def reshard(df: DataFrame, old_folder: str, manifest: DataFrame, n_old: int, n_new: int, folder: str) -> DataFrame:
-    """The rows of a layout in n_new shards of near-equal bytes: _shard, _slot, _old_shard, _moved."""
+    """The rows of a layout in n_new shards of near-equal bytes.
+
+    All columns of df, then _size, _shard, _slot, _old_shard (-1 in rewritten files) and _moved; where df has one of
+    these names, all five get further underscores in front.
+    """
     spark = df.sparkSession
-    listed = [(r["path"], r["shard"], r["n_bytes"]) for r in manifest.collect()]  # one row a file
-    whole, cuts = plan(listed, n_old, even(sum(b for _, _, b in listed), n_new))
-    files = _files(spark, old_folder, df)
-    pieces = spark.createDataFrame([(p, [b for b, _ in c], [j for _, j in c]) for p, c in cuts.items()], "_path string, _want array<long>, _to array<int>")
-    rows = files.select("_path", "_place", "_size").join(pieces, "_path")
-    placed = rows.groupBy("_path").applyInPandas(_deal, "_path string, _place long, _new int")
-    moved = files.join(placed, ["_path", "_place"]).withColumn("_shard", F.col("_new"))
-    affected = folder + "/rewritten"
-    moved.select(*df.columns, "_size", "_shard").write.partitionBy("_shard").parquet(affected)
-    again = _files(spark, affected, df)
-    fresh = _manifest(again, folder + "/new") if cuts else None
-    rows = sorted((whole[r["path"]], r["path"], r["n_rows"], r["shard"]) for r in manifest.collect() if r["path"] in whole)
-    if fresh is not None:
-        rows += sorted((r["shard"], r["path"], r["n_rows"], -1) for r in fresh.collect())
+    old = manifest.collect()  # one row a file
+    total = sum(r["n_bytes"] for r in old)
+    whole, cuts = plan([(r["path"], r["shard"], r["n_bytes"]) for r in old], n_old, even(total, n_new))
+    both = _files(df, old_folder)
+    rows = sorted((whole[r["path"]], r["path"], r["n_rows"], r["shard"]) for r in old if r["path"] in whole)
+    if cuts:
+        again = _rewrite(df, old_folder, cuts, folder + "/rewritten")
+        rows += sorted((r["shard"], r["path"], r["n_rows"], -1) for r in _manifest(again, folder + "/new").collect())
+        both = both.unionByName(again)
     base, entries = defaultdict(int), []
-    for shard, path, n, old in rows:
-        entries.append((path, shard, base[shard], old))
+    for shard, path, n, before in rows:
+        entries.append((path, shard, base[shard], before))
         base[shard] += n
-    # one row a file; joined by the file's path, so cut files drop out of the old layout
-    index = spark.createDataFrame(entries, "_path string, _new int, _base long, _old_shard int")
-    both = files.unionByName(again) if cuts else files
-    return both.join(index, "_path").select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        F.col("_size"),
-        F.col("_new").alias("_shard"),
-        (F.col("_base") + F.col("_place")).cast("long").alias("_slot"),
-        F.col("_old_shard"),
-        (F.col("_old_shard") != F.col("_new")).alias("_moved"),
-    )
+    # one row a file; cut files have none, so they drop out of the old layout
+    index = spark.createDataFrame(entries, "path string, new int, base long, old_shard int")
+    if len(entries) <= BROADCAST_FILES:
+        index = F.broadcast(index)
+    slot, moved = (F.col("base") + F.col("place")).cast("long"), F.col("old_shard") != F.col("new")
+    added, mark = {"size": F.col("size"), "shard": F.col("new"), "slot": slot, "old_shard": F.col("old_shard"), "moved": moved}, "_"
+    while {(mark + a).lower() for a in added} & {c.lower() for c in df.columns}:
+        mark += "_"
+    return both.drop("shard").join(index, "path").select(*[F.col("row").getField(c).alias(c) for c in df.columns], *[x.alias(mark + a) for a, x in added.items()])
 
 
 N_SHARDS = 16
