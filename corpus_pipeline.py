@@ -2,6 +2,10 @@
 
 Every stage works on all rows that the one before kept.  A stage's own scratch tables are dropped
 when the next one starts, since its result has been written by then.
+
+Edge cases: a null or empty text scores as the classifier's intercept and is rejected by the quality rules for its few
+words; a null doc_id is never dropped as a copy; of rows that share an id and are copies one stays; an empty table stays empty
+through every stage; further columns, whatever their names, are carried up to packing, which returns pieces alone.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ def _own_scratch(stage: Stage) -> Stage:
     """The stage, dropping what the last pipeline stage of this session left and noting its own."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.bounded_batches(spark)
         common.drop_paths(spark, getattr(spark, "_plectrum_stage", []))
         before = len(common.made(spark))
         out = stage(spark, docs, sf_dir)
@@ -47,7 +52,7 @@ def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a source repeats over its distinct documents go; n_chars follows the text."""
     clean = lines.drop_boilerplate(docs, F.col("source"), copies_once=True)
     fresh = F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", fresh).select(*docs.columns)
+    return clean.withColumn("n_chars", fresh).select(*common.quoted(docs.columns))
 
 
 @_own_scratch
