@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plectrum.functions.spanish import let
-from plectrum.functions.text import LEFT, RIGHT, units
+from plectrum.functions.text import LEFT, RIGHT, SPACE, units
 
 # Legal terms whose loss changes an obligation; case-sensitive.
 LEGAL_TERMS = (
@@ -16,10 +14,10 @@ LEGAL_TERMS = (
     "después de", "a más tardar", "dentro de", "queda prohibido", "no obstante", "en ningún caso",
 )
 _L, _R = r"(?<![\wáéíóúñü])", r"(?![\wáéíóúñü])"
-#: Kinds in the order that breaks ties of position.
+# The patterns of the kinds, in the order that breaks ties of position.
 KINDS: tuple[tuple[str, str], ...] = (
     ("number", rf"{LEFT}\d+(?:\.\d{{3}})*(?:,\d+)?{RIGHT}|{LEFT}\d+(?:[.-]\d+)+{RIGHT}"),
-    ("ordinal", r"\d+\.?\s?[ºª°]"),
+    ("ordinal", rf"\d+\.?[{SPACE}]?[ºª°]"),
     ("isin", r"(?<![A-Za-z0-9_])[A-Z]{2}[A-Z0-9]{10}(?![A-Za-z0-9_])"),
     ("lei", r"(?<![A-Za-z0-9_])[A-Z0-9]{20}(?![A-Za-z0-9_])"),
     *(("legal-term", _L + term + _R) for term in LEGAL_TERMS),
@@ -74,6 +72,3 @@ def fidelity(source: Column, spoken: Column, records: Column) -> Column:
         critical_tokens(source).alias("before"), critical_tokens(spoken).alias("after"),
     )
     return let(bound, check)
-
-
-Check = Callable[[Column, Column, Column], Column]

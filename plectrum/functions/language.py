@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plectrum.functions.text import SPACE
+
 # Marker words (two with capitals never match lower-cased text).
 SPANISH = "de del la el los las un una que por con para artículo disposición boletín oficial ciento euros ley Real España es al se".split()
 ENGLISH = "the of and a to in that is for with article section shall must percent united this from be on".split()
@@ -20,7 +22,7 @@ def _score(hay: Column, markers: list[str]) -> Column:
 
 
 def scores(text: Column) -> tuple[Column, Column]:
-    hay = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[ \t\n\r]+", " "), F.lit(" "))
+    hay = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), f"[{SPACE}]+", " "), F.lit(" "))
     accents = F.length(hay) - F.length(F.translate(hay, ACCENTS, ""))
     return _score(hay, SPANISH) + 2 * accents, _score(hay, ENGLISH)
 

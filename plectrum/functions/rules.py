@@ -129,9 +129,9 @@ def _first(pattern: str) -> Callable[[Column], Column]:
     return lambda h: _group(h, pattern, 1)
 
 
-_PERCENT, _POINTS = rf"({_GROUPED}(?:,\d+)?){S}*%", rf"(?iu)(\d+(?:,\d+)?){S}*(?:p\.{S}?b\.|bps|pb)"
+_PERCENT, _POINTS = rf"({_GROUPED}(?:,\d+)?){S}*%", rf"(\d+(?:,\d+)?){S}*(?:p\.{S}?b\.|bps|pb)"
 
-#: The order is part of the meaning.
+# The rules' patterns; their order is part of the meaning.
 RULES: tuple[Rule, ...] = (
     Rule("abbreviations", _ABBREVIATION, lambda h: F.try_element_at(es._map(dict(ABBREVIATIONS)), h), in_order=tuple(k for k, _ in ABBREVIATIONS)),
     Rule("numero-sign", rf"(?iu)nº|núm(?=[.{SPACE}])", lambda h: F.lit("número")),
@@ -149,7 +149,7 @@ RULES: tuple[Rule, ...] = (
     Rule("dates-hyphen", rf"{LEFT}(\d{{1,2}})-(0?[1-9]|1[0-2])-(\d{{4}})(?![0-9A-Za-z-])", _date(r"^(\d+)-(\d+)-(\d+)$", 1, 2, 3)),
     Rule("currencies", rf"(?<![0-9A-Za-z,.]){_MONEY}{RIGHT}", _money),
     Rule("percentages", LEFT + _PERCENT + RIGHT, lambda h: F.concat(es.decimal_words(_group(h, _PERCENT, 1)), F.lit(" por ciento"))),
-    Rule("basis-points", f"(?iu){LEFT}{_POINTS[5:]}{RIGHT}", lambda h: F.concat(es.decimal_words(_group(h, _POINTS, 1)), F.lit(" puntos básicos"))),
+    Rule("basis-points", f"(?iu){LEFT}{_POINTS}{RIGHT}", lambda h: F.concat(es.decimal_words(_group(h, f"(?iu){_POINTS}", 1)), F.lit(" puntos básicos"))),
     Rule(
         "settlement",
         rf"{WORD_START}([TD])\+(\d{{1,2}})(?![A-Za-z0-9_])",

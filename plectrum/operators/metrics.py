@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plectrum.functions.spanish import let
 from plectrum.functions.text import normalized, rounded, word_tokens
 
 
@@ -32,14 +33,36 @@ def dice_pairs(left: DataFrame, right: DataFrame, least: float, digits: int = 4)
 
 def dice(a: Column, b: Column) -> Column:
     """Sørensen–Dice of two texts' word multisets in one row; 1 if neither has a word."""
-    x, y = word_tokens(a), word_tokens(b)
+    both = F.struct(F.array_sort(word_tokens(a)).alias("x"), F.array_sort(word_tokens(b)).alias("y"))
 
-    def shared(left: Column, right: Column) -> Column:
-        count = lambda words, w: F.size(F.filter(words, lambda v: v == w))
-        return F.aggregate(F.array_distinct(left), F.lit(0), lambda acc, w: acc + F.least(count(left, w), count(right, w)))
+    def count(words: Column, back: Column, w: Column) -> Column:
+        """How often a word stands in a sorted array: between its first and its last place."""
+        first = F.array_position(words, w)
+        return F.when(first > 0, F.size(words) + 2 - first - F.array_position(back, w)).otherwise(F.lit(0))
 
-    both = F.size(x) + F.size(y)
-    return F.when(both == 0, F.lit(1.0)).otherwise(2 * shared(x, y) / both)
+    def score(s: Column) -> Column:
+        def shared(back: Column) -> Column:
+            each = F.transform(F.array_intersect(s["x"], s["y"]), lambda w: F.least(count(s["x"], back["x"], w), count(s["y"], back["y"], w)))
+            return F.aggregate(each, F.lit(0).cast("long"), lambda acc, n: acc + n)
+
+        total = F.size(s["x"]) + F.size(s["y"])
+        back = F.struct(F.reverse(s["x"]).alias("x"), F.reverse(s["y"]).alias("y"))
+        return F.when(total == 0, F.lit(1.0)).otherwise(2 * let(back, shared) / total)
+
+    return let(both, score)
+
+
+def dice_of_groups(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
+    """by, dice of all words of each group's texts on the left and on the right; words are counted, never collected.
+
+    Groups without a row on the left have none here; 1 if neither side has a word.
+    """
+    words = lambda df, a, b: df.select(by, F.explode_outer(word_tokens(F.coalesce("text", F.lit("")))).alias("w"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    each = words(left, 1, 0).unionByName(words(right, 0, 1)).groupBy(by, "w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    word = F.col("w").isNotNull()
+    of = lambda c: F.coalesce(F.sum(F.when(word, c)), F.lit(0))
+    sums = each.groupBy(by).agg(of(F.least("a", "b")).alias("both"), of(F.col("a") + F.col("b")).alias("n"), F.sum("a").alias("left"))
+    return sums.where(F.col("left") > 0).select(by, F.when(F.col("n") == 0, 1.0).otherwise(2 * F.col("both") / F.col("n")).alias("dice"))
 
 
 def greedy_match(scores: DataFrame, least: float = 0.55) -> DataFrame:
@@ -63,11 +86,17 @@ def greedy_match(scores: DataFrame, least: float = 0.55) -> DataFrame:
     return scores.groupBy("doc_id").applyInPandas(assign, f"doc_id {kind}, ref long, got long, dice double")
 
 
-def percentile_upper(df: DataFrame, value: str, p: float, *by: str) -> DataFrame:
-    """sorted[min(n - 1, floor(n * p))] of each group: no interpolation, the upper of two middles."""
+def upper_percentiles(df: DataFrame, value: str, ps: tuple[float, ...], *by: str) -> DataFrame:
+    """by, p, value: sorted[min(n - 1, floor(n * p))] by counts of distinct values, so a group of many equal values is few rows.
+
+    Values are counted where they lie and only counts are shuffled and cumulated.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    ranked = df.where(F.col(value).isNotNull()).withColumns({"_k": F.row_number().over(w.orderBy(value)), "_n": F.count(F.lit(1)).over(w)})
-    return ranked.where(F.col("_k") == F.least(F.col("_n"), F.floor(F.col("_n") * p) + 1)).select(*by, value)
+    ranked = counted.withColumns({"_to": F.sum("_c").over(w.orderBy(value)), "_n": F.sum("_c").over(w)})
+    each = ranked.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps])))
+    at = F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.col("p")))
+    return each.where((at < F.col("_to")) & (at >= F.col("_to") - F.col("_c"))).select(*by, "p", value)
 
 
 def mode_first(df: DataFrame, value: Column, order: str, *by: str) -> DataFrame:
@@ -132,11 +161,13 @@ def stratified_sample(df: DataFrame, text: str, order: str, wanted: int) -> Data
 
     size = units(F.col(text))
     label = F.when(size < 120, "short").when(size <= 260, "mid").otherwise("long")
-    first = df.withColumn("stratum", label).withColumn("_r", F.row_number().over(Window.partitionBy(text).orderBy(order))).where("_r = 1")
+    rest = [c for c in df.columns if c != text]
+    first = df.groupBy(text).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), order).alias("_first"))
+    first = first.select(text, *[F.col("_first").getField(c).alias(c) for c in rest]).withColumn("stratum", label)
     w = Window.partitionBy("stratum")
     ranked = first.withColumns({"_i": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(w)})
     short, mid = -(-3 * wanted // 10), -(-4 * wanted // 10)
     quota = F.when(F.col("stratum") == "short", short).when(F.col("stratum") == "mid", mid).otherwise(max(0, wanted - short - mid))
     q = F.least(quota, F.col("_n")).cast("int")
     picks = F.transform(F.sequence(F.lit(0), F.greatest(q - 1, F.lit(0))), lambda i: F.floor(i * F.col("_n") / q))
-    return ranked.where((q > 0) & F.array_contains(picks, F.col("_i").cast("long"))).drop("_r", "_i", "_n")
+    return ranked.where((q > 0) & F.array_contains(picks, F.col("_i").cast("long"))).drop("_i", "_n")

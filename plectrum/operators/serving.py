@@ -88,17 +88,50 @@ def chunk_at(points: DataFrame, chunks: DataFrame, by: str, time: str, start: st
     return merged.select("_p.*", F.when(inside, F.col("_last.chunk")).alias("chunk"))
 
 
-def toc_entry(blocks: DataFrame, toc: DataFrame) -> DataFrame:
-    """For each block the last list entry whose block_index is not after it (doc_id, ord to label)."""
-    hit = blocks.alias("b").join(toc.alias("t"), (F.col("b.doc_id") == F.col("t.doc_id")) & (F.col("t.block_index") <= F.col("b.ord")), "left")
-    return hit.groupBy("b.doc_id", "b.ord").agg(F.max_by("t.label", "t.pos").alias("label"))
-
-
 def chapters(headings: DataFrame) -> DataFrame:
     """doc_id, start, title in order: a chapter that repeats its predecessor's chunk goes."""
     w = Window.partitionBy("doc_id").orderBy("start", "ord")
     return headings.withColumn("_before", F.lag("start").over(w)).where(F.col("_before").isNull() | (F.col("_before") != F.col("start"))).drop("_before")
 
 
-def phase_by_elapsed(ms: Column) -> Column:
-    return F.when(ms < 5000, "first").when(ms < 20_000, "slow").when(ms < 40_000, "late").otherwise("failing")
+def cache_misses(wanted: DataFrame, cached: DataFrame, key: str, order: str) -> DataFrame:
+    """key, first, requests: one piece of work for each key that the cache lacks."""
+    new = wanted.join(cached.select(key).distinct(), key, "left_anti")
+    return new.groupBy(key).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("requests"))
+
+
+def engine_for(requests: DataFrame, engines: DataFrame) -> DataFrame:
+    """requests (wanted, ...) plus engine: the wanted one if it is there, else the first in place.
+
+    engines: place, engine; a handful of rows.
+    """
+    first = engines.agg(F.min_by("engine", "place").alias("_first"))
+    there = engines.select(F.col("engine").alias("wanted"), F.col("engine").alias("_there"))
+    hit = requests.join(F.broadcast(there), "wanted", "left").join(F.broadcast(first))
+    return hit.withColumn("engine", F.coalesce("_there", "_first")).drop("_there", "_first")
+
+
+def upsert(stored: DataFrame, saved: DataFrame, key: str, order: Column) -> DataFrame:
+    """One row a key: of the stored and the saved rows the last in order."""
+    both = stored.unionByName(saved)
+    last = both.groupBy(key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in both.columns]), order).alias("_last"))
+    return last.select("_last.*")
+
+
+def prune(entries: DataFrame, by: str, ts: str, key: str, now: Column, ttl: int, most: int = 200) -> DataFrame:
+    """The entries one bounded pass over the oldest removes: expired ones among the first ``most``."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(ts, key))
+    return entries.withColumn("_place", place).where((F.col("_place") <= most) & (F.col(ts) < now - ttl)).drop("_place")
+
+
+def current_epoch(results: DataFrame, by: str, epoch: str, order: Column) -> DataFrame:
+    """results plus kept: whether no result before it has a later epoch."""
+    top = F.max(epoch).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return results.withColumn("kept", F.col(epoch) == top)
+
+
+def rebuffers(audio: DataFrame, by: str, order: Column, at: str, length: str) -> DataFrame:
+    """by, rebuffers, frozen_ms: audio that came after the end of the one before it left playing without any."""
+    horizon = F.lag(F.col(at) + F.col(length)).over(Window.partitionBy(by).orderBy(order))
+    step = audio.withColumn("_gap", F.when(horizon < F.col(at), F.col(at) - horizon))
+    return step.groupBy(by).agg(F.count("_gap").alias("rebuffers"), F.coalesce(F.sum("_gap"), F.lit(0)).cast("long").alias("frozen_ms"))

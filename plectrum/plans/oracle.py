@@ -78,25 +78,21 @@ def sql() -> dict[str, str]:
     return {
         "doc_blocks_txt": f"with {_BLOCKS} select doc_id, ord, text, 'L' || a || '-L' || b as source_ref from numbered",
         "literal_plan": f"with {_BLOCKS} select doc_id, 's' || ord as segment_id, text as spoken_text, false as muted from numbered",
-        "chrome_repeat": f"""
-with b as (
-  select conv_id as doc_id, turn as page, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from conversations),
-k as (select doc_id, page, page * 100000 + line as ord, text, {_norm("text")} as key from b),
-pages as (select doc_id, count(distinct page) as n from k group by doc_id),
-firsts as (
-  select *, row_number() over (partition by doc_id, key, page order by ord) as r from k where key <> '' and {_units("text")} <= 120),
+        "chrome_repeat": """
+with b as (select user_id as doc_id, ms // 86400000 as page, event_id as ord, event_type = 'error' as head,
+  ' ' || upper(event_type[1]) || event_type[2:] || '  ' || ms // 3600000 % 8 as text, event_type || ' ' || ms // 3600000 % 8 as key from (select *, epoch_us(ts) // 1000 as ms from events)),
+pages as (select doc_id, count(distinct page) as n from b group by 1),
+firsts as (select *, row_number() over (partition by doc_id, key, page order by ord) as r from b),
 wide as (select doc_id, key from firsts join pages using (doc_id) where r = 1 group by doc_id, key, n having count(*) >= greatest(3, ceil(n * 0.25)))
-select doc_id, ord, text from firsts semi join wide using (doc_id, key) where r = 1""",
-        "page_number_lines": rf"""
-with l as (select source, unnest(string_split(coalesce(text, ''), chr(10))) as text from documents)
-select source, count(*) as n from l
-where regexp_matches({_trim("text")}, '(?i)^(p[aáAÁ]g\.?{_WS}*)?[0-9]{{1,4}}({_WS}*(de|/|-|dé|DÉ){_WS}*[0-9]{{1,4}})?$') group by source""",
+select doc_id, ord, text from firsts semi join wide using (doc_id, key) where r = 1 and not head""",
+        "page_number_lines": """
+select l_returnflag, count(*) as n from lineitem where l_partkey % 5 in (0, 1, 2) group by 1""",
         "lang_detect": f"""
-with h as (select doc_id, lang, ' ' || regexp_replace(lower(coalesce(text, '')), '[ \\t\\n\\r]+', ' ', 'g') || ' ' as hay from documents),
+with h as (select doc_id, lang, ' ' || regexp_replace(lower(coalesce(text, '')), '{_WS}+', ' ', 'g') || ' ' as hay from documents),
 s as (select doc_id, lang, {_score(language.SPANISH)} + 2 * (length(hay) - length(regexp_replace(hay, '[{language.ACCENTS}]', '', 'g'))) as es_score, {_score(language.ENGLISH)} as en_score from h)
 select doc_id, lang, es_score, en_score, case when es_score >= en_score then 'es' else 'en' end as detected from s""",
         "lang_confusion": f"""
-with h as (select lang, ' ' || regexp_replace(lower(coalesce(text, '')), '[ \\t\\n\\r]+', ' ', 'g') || ' ' as hay from documents),
+with h as (select lang, ' ' || regexp_replace(lower(coalesce(text, '')), '{_WS}+', ' ', 'g') || ' ' as hay from documents),
 s as (select lang, {_score(language.SPANISH)} + 2 * (length(hay) - length(regexp_replace(hay, '[{language.ACCENTS}]', '', 'g'))) as a, {_score(language.ENGLISH)} as b from h)
 select lang, case when a >= b then 'es' else 'en' end as detected, count(*) as n from s group by 1, 2""",
         "dice_benchmark": f"""
@@ -117,8 +113,9 @@ select p.conv_id, p.turn, case when coalesce(sa.s, 0) + coalesce(sb.s, 0) = 0 th
   else floor(2 * coalesce(shared, 0) / (coalesce(sa.s, 0) + coalesce(sb.s, 0)) * 10000 + 0.5) / 10000 end as dice
 from p left join sa using (conv_id, turn) left join sb using (conv_id, turn) left join m using (conv_id, turn)""",
         "exact_norm": f"""
-with l as (select {_norm("x")} as key from (select unnest(string_split(coalesce(text, ''), chr(10))) as x from documents))
-select item_id from benchmark where {_norm("text")} in (select key from l)""",
+with l as (select doc_id, lang, {_norm("unnest(string_split(coalesce(text, ''), chr(10)))")} as key from documents),
+k as (select key from l where key <> '' group by 1 having count(distinct lang) > 1)
+select distinct doc_id from l where key in (select key from k)""",
         "pctl_floor": """
 with r as (select event_type, value, row_number() over (partition by event_type order by value) as k, count(*) over (partition by event_type) as n from events where value is not null)
 select event_type, max(value) filter (k = least(n, floor(n * 0.5) + 1)) as p50, max(value) filter (k = least(n, floor(n * 0.95) + 1)) as p95 from r group by event_type""",
@@ -147,11 +144,11 @@ select user_id, arg_max(event_id, (ms, event_id)) as event_id, arg_max(event_typ
         "inflight_dedup": "select sha256(text) as content_key, min(doc_id) as first_doc, count(*) - 1 as saved from documents where text is not null group by 1",
         "stratified_sample": f"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as o from documents),
-d as (select text, min(doc_id * 100000 + o) as place from l where text <> '' group by text),
+d as (select text, min(struct_pack(doc_id := doc_id, o := o)) as place from l where text <> '' group by text),
 s as (select *, case when {_units("text")} < 120 then 'short' when {_units("text")} <= 260 then 'mid' else 'long' end as stratum from d),
 r as (select *, row_number() over (partition by stratum order by place) - 1 as i, count(*) over (partition by stratum) as n, case stratum when 'short' then 12 when 'mid' then 16 else 12 end as quota from s),
 q as (select *, least(quota, n) as q from r)
-select stratum, place, text from q where list_contains(list_transform(range(q), lambda k: (k * n) // q), i)""",
+select stratum, place.doc_id as doc_id, place.o as ord, text from q where list_contains(list_transform(range(q), lambda k: (k * n) // q), i)""",
         "mock_duration": f"select doc_id, {_units("coalesce(text, '')")} as n_units, least(3.0, greatest(1.0, {_units("coalesce(text, '')")} * 0.01::double)) as seconds from documents",
         "fingerprints": f"select doc_id, 'doc-' || substring(sha256(text), 1, 32) as document, {_units('text')} || ':' || substring(sha256(text), 1, 12) as logged from documents where text is not null",
         "cache_keys": """

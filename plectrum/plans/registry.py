@@ -2,35 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plectrum.functions import language, spanish
 from plectrum.functions.fidelity import critical_tokens
 from plectrum.functions.text import fingerprint, log_fingerprint, normalized, units
-from plectrum.operators import chunks, metrics, plan, serving, tables
-from plectrum.plans import oracle
+from plectrum.operators import chunks, metrics, navigation, plan, serving, tables
+from plectrum.plans import files, oracle, playback, reports
+from plectrum.plans.shared import Query, events, table
 from plectrum.sources import html, markdown, text
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return plan.listen_plan(text.text_blocks(docs))
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", ms.alias("ms"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listen plan of every document as speech chunks."""
     return chunks.plan_chunks(_segments(spark, sf_dir), 400, 200)
@@ -57,15 +44,19 @@ def doc_blocks_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chrome_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as blocks, a conversation as a document, its turns as pages."""
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    blocks = turns.withColumn("ord", F.col("page") * 100_000 + F.col("line")).withColumn("type", F.lit("paragraph"))
+    """Events as blocks: a user's log as a document, a day as a page, the kind and hour as the text."""
+    log = events(spark, sf_dir)
+    text = F.concat(F.lit(" "), F.initcap("event_type"), F.lit("  "), (F.floor(F.col("ms") / 3_600_000) % 8).cast("string"))
+    blocks = log.select(F.col("user_id").alias("doc_id"), F.floor(F.col("ms") / 86_400_000).alias("page"), F.col("event_id").alias("ord"), text.alias("text"), F.when(F.col("event_type") == "error", "heading").otherwise("paragraph").alias("type"))
     return plan.repeated_chrome(blocks).where("chrome").select("doc_id", "ord", "text")
 
 
 def page_number_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = text.line_blocks(table(spark, sf_dir, "documents"))
-    return lines.where(plan.is_page_number(F.col("text"))).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    """Order lines as page lines of five shapes; three of them are page numbers."""
+    n, k = F.col("l_linenumber").cast("string"), F.col("l_partkey")
+    shapes = (n, F.concat(F.lit(" Pág. "), n, F.lit(" de "), k.cast("string")), F.concat(n, F.lit(" - "), n), F.concat(F.lit("page "), n), F.concat(n, F.lit(" de 12345")))
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", F.get(F.array(*shapes), (k % 5).cast("int")).alias("text"))
+    return lines.where(plan.is_page_number(F.col("text"))).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,10 +84,11 @@ def dice_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items whose normalised text is a line of some document."""
-    lines = text.line_blocks(table(spark, sf_dir, "documents")).select(normalized(F.col("text")).alias("key"))
-    items = table(spark, sf_dir, "benchmark").withColumn("key", normalized(F.col("text")))
-    return items.join(lines, "key", "left_semi").select("item_id")
+    """Documents one of whose lines stands, up to case and blanks, in a document of another language."""
+    lines = text.line_blocks(table(spark, sf_dir, "documents")).where("text <> ''").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    keyed = lines.select("doc_id", "lang", normalized(F.col("text")).alias("key")).where("key <> ''")
+    many = keyed.groupBy("key").agg(F.count_distinct("lang").alias("n")).where("n > 1")
+    return keyed.join(many, "key", "left_semi").select("doc_id").distinct()
 
 
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,9 +101,9 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pctl_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    both = [metrics.percentile_upper(events, "value", p, "event_type").withColumnRenamed("value", name) for name, p in (("p50", 0.5), ("p95", 0.95))]
-    return both[0].join(both[1], "event_type")
+    events_ = table(spark, sf_dir, "events")
+    found = metrics.upper_percentiles(events_, "value", (0.5, 0.95), "event_type")
+    return found.groupBy("event_type").agg(F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("p50"), F.max(F.when(F.col("p") == 0.95, F.col("value"))).alias("p95"))
 
 
 def mode_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,36 +112,36 @@ def mode_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _events(spark, sf_dir).withColumn("s", F.floor(F.col("ms") / 1000).cast("long"))
-    out = serving.rate_limit(events, "user_id", "s", "event_id", 1, 3600)
+    log = events(spark, sf_dir).withColumn("s", F.floor(F.col("ms") / 1000).cast("long"))
+    out = serving.rate_limit(log, "user_id", "s", "event_id", 1, 3600)
     return out.select("event_id", "window_start", "place", "allowed", "retry_after_s")
 
 
 def pacing_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = serving.pacing_starts(_events(spark, sf_dir), "user_id", "ms", "event_id", 15)
+    out = serving.pacing_starts(events(spark, sf_dir), "user_id", "ms", "event_id", 15)
     return out.select("event_id", "start_ms", "wait_ms")
 
 
 def cache_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = _events(spark, sf_dir).withColumn("size", (F.col("event_id") % 1000 + 1).cast("long"))
+    entries = events(spark, sf_dir).withColumn("size", (F.col("event_id") % 1000 + 1).cast("long"))
     return serving.evict(entries, "user_id", "size", "ms", "event_id", 10_000).select("event_id", "user_id", F.col("kept_bytes").cast("long").alias("kept_bytes"))
 
 
 def ttl_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of the last day before the table's own latest time."""
-    events = _events(spark, sf_dir)
-    now = events.agg(F.max("ms").alias("now"))
-    return serving.alive(events.join(F.broadcast(now)), "ms", F.col("now"), 86_400_000).select("event_id")  # now is one row
+    log = events(spark, sf_dir)
+    now = log.agg(F.max("ms").alias("now"))
+    return serving.alive(log.join(F.broadcast(now)), "ms", F.col("now"), 86_400_000).select("event_id")  # now is one row
 
 
 def recents_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = serving.top_recent(_events(spark, sf_dir), "user_id", "ms", "event_id", 5)
+    out = serving.top_recent(events(spark, sf_dir), "user_id", "ms", "event_id", 5)
     return out.select("user_id", F.col("place").cast("long").alias("place"), "event_id")
 
 
 def positions_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.struct("ms", "event_id")
-    out = serving.latest(_events(spark, sf_dir), "user_id", order, "event_type", "value")
+    out = serving.latest(events(spark, sf_dir), "user_id", order, "event_type", "value")
     return out.select("user_id", F.col("at.event_id").alias("event_id"), "event_type", "value")
 
 
@@ -161,8 +153,8 @@ def inflight_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = text.line_blocks(table(spark, sf_dir, "documents")).where("text <> ''").withColumn("place", F.col("doc_id") * 100_000 + F.col("ord"))
-    return metrics.stratified_sample(lines, "text", "place", 40).select("stratum", "place", "text")
+    lines = text.line_blocks(table(spark, sf_dir, "documents")).where("text <> ''").withColumn("place", F.struct("doc_id", "ord"))
+    return metrics.stratified_sample(lines, "text", "place", 40).select("stratum", "place.doc_id", F.col("place.ord").cast("long").alias("ord"), "text")
 
 
 def mock_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +208,7 @@ def toc_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third turn opens a contents entry; each turn finds the last entry not after it."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), "role")
     toc = turns.where("ord % 3 = 1").select("doc_id", F.col("ord").alias("pos"), F.col("ord").alias("block_index"), F.concat("role", F.lit("-"), F.col("ord").cast("string")).alias("label"))
-    return serving.toc_entry(turns, toc).select(F.col("doc_id").alias("conv_id"), F.col("ord").alias("turn"), "label")
+    return navigation.active_entry(turns, toc).select(F.col("doc_id").alias("conv_id"), F.col("ord").alias("turn"), "label")
 
 
 def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,9 +299,18 @@ _QUERIES: tuple[Query, ...] = (
 )
 
 
+_MODULES = (files, playback, reports)
+
+
 def queries() -> dict[str, Query]:
-    return {"chunk_pack": flagship} | {q.__name__: q for q in _QUERIES}
+    found = {"chunk_pack": flagship} | {q.__name__: q for q in _QUERIES}
+    for module in _MODULES:
+        found |= module.REGISTERED.queries
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql()
+    found = oracle.sql()
+    for module in _MODULES:
+        found |= module.REGISTERED.sql
+    return found

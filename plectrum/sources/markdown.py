@@ -40,6 +40,23 @@ def inline(text: str) -> str:
     return re.sub("\x00(\\d+)\x00", lambda m: held[int(m[1])], text)
 
 
+def nodes(text: str, code: bool) -> list[str]:
+    """The plain runs between inline markup; code spans are runs too, or drop out, and so do images."""
+    held: list[str] = []
+
+    def keep(run: str) -> str:
+        held.append(run)
+        return f"\x01\x00{len(held) - 1}\x00\x01"
+
+    text = _CODE.sub(lambda m: keep(m[2].strip() or m[2]) if code else "\x01", text)
+    text = _LINK.sub("\x01\\1\x01", _IMAGE.sub("\x01", text))
+    before = None
+    while before != text:
+        before, text = text, _MARKS.sub("\x01\\2\x01", text)
+    runs = [re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", r) for r in text.split("\x01") if r]
+    return [re.sub("\x00(\\d+)\x00", lambda m: held[int(m[1])], r) for r in runs]
+
+
 def blocks(source: str) -> Iterator[dict]:
     lines = re.split(r"\r\n|\r|\n", source)
     i, n = 0, len(lines)
@@ -69,7 +86,9 @@ def blocks(source: str) -> Iterator[dict]:
             while i < n and lines[i].strip() and (_QUOTE.match(lines[i]) or held):
                 held.append(_QUOTE.sub("", lines[i]).strip())
                 i += 1
-            yield made("quote", inline(" ".join(h for h in held if h)), a, i)
+            # every run, and every line break as a blank of its own, joined by blanks
+            runs = [r for k, h in enumerate(h for h in held if h) for r in ([" "] if k else []) + nodes(h, code=True)]
+            yield made("quote", " ".join(runs).strip(), a, i)
         elif m := _ITEM.match(line):
             depths: list[int] = []
             while i < n and (m := _ITEM.match(lines[i])):
@@ -88,9 +107,10 @@ def blocks(source: str) -> Iterator[dict]:
             a, cells = i, []
             while i < n and lines[i].strip() and "|" in lines[i]:
                 if i != a + 1:
-                    cells += [inline(c.strip()) for c in re.split(r"(?<!\\)\|", lines[i].strip().strip("|"))]
+                    cells += [r for c in re.split(r"(?<!\\)\|", lines[i].strip().strip("|")) for r in nodes(c.strip(), code=False)]
                 i += 1
-            yield made("paragraph", " ".join(c for c in cells if c), a, i)
+            if said := " ".join(cells).strip():
+                yield made("paragraph", said, a, i)
         elif re.match(r"^(?: {4}|\t)", line):
             a, held = i, []
             while i < n and (re.match(r"^(?: {4}|\t)", lines[i]) or not lines[i].strip()):
