@@ -212,10 +212,11 @@ def drop_toxic(df: DataFrame, labels: DataFrame, text: str = "text") -> DataFram
     model, place = train(df, labels, text), df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, text, SLICE):
+        for batch in text_slices(batches, f"c{place}", SLICE):
             yield batch.filter(pa.array(model.scores(batch.column(place)) < 0.5))
 
-    return df.mapInArrow(run, df.schema)
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names with dots cannot pass the worker
+    return numbered.mapInArrow(run, numbered.schema).toDF(*df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
