@@ -14,10 +14,12 @@ SPACE_CLASS = r"[ \t-\r]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset (tests), a local one."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, a local one, but on no cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = getattr(spark, "_plectrum_shared", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="plectrum-shared-")
         spark._plectrum_shared = base
