@@ -196,14 +196,15 @@ def payload_of(file: bytes, track: Track) -> bytes:
 
 
 def containers(df: DataFrame) -> DataFrame:
-    """doc_id and each text's container as a binary media column."""
+    """doc_id, n_bytes (of the text) and media, each text's container as a binary column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            files = [mux(padded(t)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "media": pa.array(files, pa.binary())})
+            raw = batch.column("text").cast(pa.binary()).to_pylist()
+            sizes, files = [len(t or b"") for t in raw], [mux(padded(t)) for t in raw]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "media": pa.array(files, pa.binary())})
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, media binary")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def padded(raw: bytes | None) -> bytes:
@@ -219,13 +220,17 @@ SCHEMA = (
 
 def features(df: DataFrame) -> DataFrame:
     """Each text stored as a container, then everything read from the stored bytes."""
+    return read_back(containers(df))
+
+
+def read_back(media: DataFrame) -> DataFrame:
+    """Codec, duration, keyframe ranges and digests of a media column (doc_id, n_bytes, media), from its bytes alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges_type = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, "media"):
             rows = []
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                file = mux(padded(raw))
+            for doc, n_bytes, file in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
                 track = probe(file)[0]
                 back = payload_of(file, track)
                 at, size = track.offsets[track.syncs], track.sizes[track.syncs]
@@ -234,7 +239,7 @@ def features(df: DataFrame) -> DataFrame:
                 rows.append(
                     {
                         "doc_id": doc,
-                        "n_bytes": len(raw or b""),
+                        "n_bytes": n_bytes,
                         "payload_bytes": len(back),
                         "payload_sha256": hashlib.sha256(back).hexdigest(),
                         "tail_crc32": zlib.crc32(back[-32:]),
@@ -251,7 +256,7 @@ def features(df: DataFrame) -> DataFrame:
             columns["doc_id"] = pa.array(columns["doc_id"], pa.int64())
             yield pa.RecordBatch.from_pydict(columns)
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
