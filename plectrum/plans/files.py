@@ -222,7 +222,7 @@ def epub_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.epub_blocks(_files(items, epub_file)).select("doc_id", F.col("ord").cast("long").alias("ord"), "type", "text", "page")
 
 
-@query("select item_id, 6 as n_entries, NULL::varchar as problem from benchmark")
+@query("select item_id, 6::bigint as n_entries, NULL::varchar as problem from benchmark")
 def book_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The directories of the same books through the preflight."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")

@@ -150,7 +150,7 @@ a as (select user_id, event_id // 1000 as run, epoch_us(ts) // 1000 as start_ms,
 g as (select *, start_ms - lag(end_ms) over (partition by user_id, run order by attempt) as gap from a),
 q as (select user_id, run, count(*) as attempts, count(*) - 1 as retries, arg_min(start_ms, attempt) as s, max(end_ms) as ended, bool_or(ok) as ok, arg_max(end_ms - start_ms, attempt) filter (where ok) as wire_ms,
   array_to_string(list(gap order by attempt) filter (where gap is not null), ',') as gaps, array_to_string(list(status order by attempt), ',') as codes, count(case when status = 429 then 1 end) as n429 from g group by 1, 2),
-r as (select *, ended - s + 50 as total_ms, 50 as queue_wait_ms, case when ok then 2000 end as audio_ms, case when ok and wire_ms > 0 then floor(wire_ms / 2000 * 1000 + 0.5) / 1000 end as rtf from q)"""
+r as (select *, ended - s + 50 as total_ms, 50::bigint as queue_wait_ms, case when ok then 2000 end as audio_ms, case when ok and wire_ms > 0 then floor(wire_ms / 2000 * 1000 + 0.5) / 1000 end as rtf from q)"""
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +191,7 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 with e as (select event_type, epoch_us(ts) // 1000 as s, epoch_us(ts) // 1000 + 5 + event_id % 7 as t, event_id % 3 <> 0 as ok, (([200, 429, 503, 500])[event_id % 4 + 1]) as status from events)
 select event_type, count(*) as requests, count(case when ok then 1 end) as successes, count(case when not ok then 1 end) as failures, min(case when ok then t - s end) as latency_min_ms, max(case when ok then t - s end) as latency_max_ms,
-  max(t) - min(s) as wall_ms, count(*) as wire_requests, count(case when status = 429 then 1 end) as count_429, count(case when status >= 500 then 1 end) as count_5xx, 0 as retries,
+  max(t) - min(s) as wall_ms, count(*) as wire_requests, count(case when status = 429 then 1 end) as count_429, count(case when status >= 500 then 1 end) as count_5xx, 0::bigint as retries,
   floor(count(*) / (max(t) - min(s)) * 60000 + 0.5)::bigint as per_minute from e group by 1"""
 )
 def burn_report(spark: SparkSession, sf_dir: str) -> DataFrame:
