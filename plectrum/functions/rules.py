@@ -28,6 +28,8 @@ class Rule:
     replace: Callable[[Column], Column]
     #: Only texts that match this are touched.
     gate: str | None = None
+    #: Whether a hit has a digit; texts without one pass all such rules unread, since no rule writes a digit.
+    digits: bool = False
     value_preserving: bool = True
     #: Records come by source in this order, as if each had been a rule of its own.
     in_order: tuple[str, ...] = ()
@@ -140,28 +142,30 @@ RULES: tuple[Rule, ...] = (
         "provision-abbrev",
         rf"{_PROVISION}(?=\d)",
         lambda h: F.concat(F.try_element_at(es._map({"A": "disposición adicional", "T": "disposición transitoria", "F": "disposición final"}), F.upper(_group(h, f"^{_PROVISION}$", 1))), F.lit(" ")),
+        digits=True,
     ),
-    Rule("legal-references", _ARTICLE, _article),
+    Rule("legal-references", _ARTICLE, _article, digits=True),
     Rule("keyword-references", _KEYWORD + RIGHT, _keyword),
     Rule("roman-headings", _ROMAN + f"(?={S})", _roman),
-    Rule("dates", rf"{LEFT}(\d{{1,2}})/(0?[1-9]|1[0-2])/(\d{{4}}){RIGHT}", _date(r"^(\d+)/(\d+)/(\d+)$", 1, 2, 3)),
-    Rule("dates-iso", rf"{LEFT}(\d{{4}})-(0[1-9]|1[0-2])-(3[01]|[12]\d|0[1-9])(?![0-9A-Za-z-])", _date(r"^(\d+)-(\d+)-(\d+)$", 3, 2, 1)),
-    Rule("dates-hyphen", rf"{LEFT}(\d{{1,2}})-(0?[1-9]|1[0-2])-(\d{{4}})(?![0-9A-Za-z-])", _date(r"^(\d+)-(\d+)-(\d+)$", 1, 2, 3)),
-    Rule("currencies", rf"(?<![0-9A-Za-z,.]){_MONEY}{RIGHT}", _money),
-    Rule("percentages", LEFT + _PERCENT + RIGHT, lambda h: F.concat(es.decimal_words(_group(h, _PERCENT, 1)), F.lit(" por ciento"))),
-    Rule("basis-points", f"(?iu){LEFT}{_POINTS}{RIGHT}", lambda h: F.concat(es.decimal_words(_group(h, f"(?iu){_POINTS}", 1)), F.lit(" puntos básicos"))),
+    Rule("dates", rf"{LEFT}(\d{{1,2}})/(0?[1-9]|1[0-2])/(\d{{4}}){RIGHT}", _date(r"^(\d+)/(\d+)/(\d+)$", 1, 2, 3), digits=True),
+    Rule("dates-iso", rf"{LEFT}(\d{{4}})-(0[1-9]|1[0-2])-(3[01]|[12]\d|0[1-9])(?![0-9A-Za-z-])", _date(r"^(\d+)-(\d+)-(\d+)$", 3, 2, 1), digits=True),
+    Rule("dates-hyphen", rf"{LEFT}(\d{{1,2}})-(0?[1-9]|1[0-2])-(\d{{4}})(?![0-9A-Za-z-])", _date(r"^(\d+)-(\d+)-(\d+)$", 1, 2, 3), digits=True),
+    Rule("currencies", rf"(?<![0-9A-Za-z,.]){_MONEY}{RIGHT}", _money, digits=True),
+    Rule("percentages", LEFT + _PERCENT + RIGHT, lambda h: F.concat(es.decimal_words(_group(h, _PERCENT, 1)), F.lit(" por ciento")), digits=True),
+    Rule("basis-points", f"(?iu){LEFT}{_POINTS}{RIGHT}", lambda h: F.concat(es.decimal_words(_group(h, f"(?iu){_POINTS}", 1)), F.lit(" puntos básicos")), digits=True),
     Rule(
         "settlement",
         rf"{WORD_START}([TD])\+(\d{{1,2}})(?![A-Za-z0-9_])",
         lambda h: F.concat(F.substring(h, 1, 1), F.lit(" más "), es.integer_words(F.substring(h, 3, 2))),
+        digits=True,
     ),
-    Rule("ordinals", rf"(\d+)(\.?){S}?([ºª°]){RIGHT}", _ordinal),
-    Rule("time", r"(?<![\d:])(\d{1,2}):([0-5]\d)(?![\d:])", _time),
-    Rule("slash-citations", rf"{LEFT}([0-9]{{1,4}})/([0-9]{{1,4}}){RIGHT}", lambda h: F.replace(h, F.lit("/"), F.lit(", "))),
-    Rule("ranges", LEFT + _RANGE + RIGHT, _range),
+    Rule("ordinals", rf"(\d+)(\.?){S}?([ºª°]){RIGHT}", _ordinal, digits=True),
+    Rule("time", r"(?<![\d:])(\d{1,2}):([0-5]\d)(?![\d:])", _time, digits=True),
+    Rule("slash-citations", rf"{LEFT}([0-9]{{1,4}})/([0-9]{{1,4}}){RIGHT}", lambda h: F.replace(h, F.lit("/"), F.lit(", ")), digits=True),
+    Rule("ranges", LEFT + _RANGE + RIGHT, _range, digits=True),
     Rule("lei", rf"(?iu){LEFT}[A-Z0-9]{{20}}{RIGHT}", es.spelled, gate=rf"(?i){WORD_START}LEI(?![A-Za-z0-9_])"),
     Rule("isin", rf"(?iu){LEFT}[A-Z]{{2}}[A-Z0-9]{{10}}{RIGHT}", es.spelled, gate=rf"(?i){WORD_START}ISIN(?![A-Za-z0-9_])"),
-    Rule("numbers", rf"(?<![0-9A-Za-z.])[0-9]+(?:\.[0-9]{{3}})*(?:,[0-9]+)?{RIGHT}(?!\.[0-9])", es.decimal_words),
+    Rule("numbers", rf"(?<![0-9A-Za-z.])[0-9]+(?:\.[0-9]{{3}})*(?:,[0-9]+)?{RIGHT}(?!\.[0-9])", es.decimal_words, digits=True),
 )
 RULE_IDS = tuple(dict.fromkeys(r.id for r in RULES))
 
@@ -179,10 +183,12 @@ def _record(rule: Rule) -> Callable[[Column, Column], Column]:
 
 
 def _step(rule: Rule, state: Column) -> Column:
-    """The state (spoken, records) after one rule."""
+    """The state (spoken, records, digits) after one rule."""
 
     def on(before: Column) -> Column:
         hits = F.regexp_extract_all(before["spoken"], F.lit(rule.pattern), 0)
+        if rule.digits:
+            hits = F.when(before["digits"], hits)
         if rule.gate:
             hits = F.when(before["spoken"].rlike(rule.gate), hits)
 
@@ -193,7 +199,7 @@ def _step(rule: Rule, state: Column) -> Column:
                 told = F.filter(F.zip_with(found, new, _record(rule)), lambda x: x["source"] != x["replacement"])
                 if rule.in_order:
                     told = es.let(told, lambda all_told: F.concat(*[F.filter(all_told, _from(source)) for source in rule.in_order]))
-                return F.struct(spoken.alias("spoken"), F.concat(before["records"], told).alias("records"))
+                return F.struct(spoken.alias("spoken"), F.concat(before["records"], told).alias("records"), before["digits"].alias("digits"))
 
             return F.when(F.size(found) > 0, es.let(F.transform(found, _changed(rule)), after)).otherwise(before)
 
@@ -215,7 +221,8 @@ def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
     long to analyse, one for all nests too deep.
     """
     keep = [F.col(f"`{c}`") for c in df.columns]
-    state = F.struct(F.coalesce(F.col(text), F.lit("")).alias("spoken"), F.array().cast(RECORD).alias("records"))
+    own = F.coalesce(F.col(text), F.lit(""))
+    state = F.struct(own.alias("spoken"), F.array().cast(RECORD).alias("records"), own.rlike("[0-9]").alias("digits"))
     step = df.select(*keep, state.alias("_state"))
     for at in range(0, len(rules), RULES_A_STEP):
         state = F.col("_state")
