@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,9 +15,12 @@ from plectrum.functions.text import normalized, rounded, word_tokens
 def dice_pairs(left: DataFrame, right: DataFrame, least: float, digits: int = 4) -> DataFrame:
     """(left_id, right_id, dice) of pairs at or above least, from tables (id, text).
 
-    Word counts meet word by word; sums are taken before pairs are formed.  Sizes bound the
-    similarity, so words of pairs out of reach are not counted.  Texts without a word have no pair here.
+    Word counts meet word by word; sums are taken before pairs are formed.  Sizes bound the similarity: texts
+    are dealt to size classes, a word meets its own class and the two beside it, and no pair out of reach is formed.
+    Texts without a word have no pair here.
     """
+    factor = math.log((2 - least) / least) * (1 + 1e-9) if least < 1 else 0.01  # a little wide, for sizes at its very edge
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / factor)
 
     def counted(df: DataFrame, name: str) -> DataFrame:
         words = df.select(F.col("id").alias(name), F.explode(word_tokens(F.coalesce("text", F.lit("")))).alias("word"))
@@ -25,7 +30,9 @@ def dice_pairs(left: DataFrame, right: DataFrame, least: float, digits: int = 4)
 
     a, b = counted(left, "left_id"), counted(right, "right_id")
     reach = 2 * F.least("size_left_id", "size_right_id") >= F.lit(least) * (F.col("size_left_id") + F.col("size_right_id"))
-    met = a.join(b, "word").where(reach)
+    a = a.withColumn("class", size_class(F.col("size_left_id")))
+    near = F.array(*[size_class(F.col("size_right_id")) + k for k in (-1, 0, 1)])
+    met = a.join(b.withColumn("class", F.explode(near)), ["word", "class"]).where(reach)
     total = met.groupBy("left_id", "right_id", "size_left_id", "size_right_id").agg(F.sum(F.least("n_left_id", "n_right_id")).alias("shared"))
     dice = 2 * F.col("shared") / (F.col("size_left_id") + F.col("size_right_id"))
     return total.where(dice >= least).select("left_id", "right_id", rounded(dice, digits).alias("dice"))

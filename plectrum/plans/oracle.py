@@ -3,7 +3,16 @@
 from __future__ import annotations
 
 from plectrum.functions import language
-from plectrum.functions import spanish as es
+
+# The language's words, written out for the twins alone.
+_TO_TWENTY_NINE = (
+    "cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve "
+    "veinte veintiuno veintidós veintitrés veinticuatro veinticinco veintiséis veintisiete veintiocho veintinueve"
+).split()
+_TENS = "diez veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa".split()
+_HUNDREDS = "ciento doscientos trescientos cuatrocientos quinientos seiscientos setecientos ochocientos novecientos".split()
+_MONTHS = "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
+_FIRST_TO_SEVENTH = "primero segundo tercero cuarto quinto sexto séptimo".split()
 
 #: ECMAScript white space for RE2.
 _WS = r"[\t\n\x0B\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -33,13 +42,15 @@ def _score(markers: list[str]) -> str:
 
 def _cardinal(n: str) -> str:
     """Words below a million by lists of the language's own words."""
-    two = es.below_thousand()[:100]
+    def below_hundred(x: str) -> str:
+        ten = f"({_quoted(_TENS)})[{x} // 10]"
+        return f"(case when {x} < 30 then ({_quoted(_TO_TWENTY_NINE)})[{x} + 1] when {x} % 10 = 0 then {ten} else {ten} || ' y ' || ({_quoted(_TO_TWENTY_NINE)})[{x} % 10 + 1] end)"
 
     def below_thousand(x: str) -> str:
         h, r = f"({x} // 100)", f"({x} % 100)"
         return (
-            f"(case when {x} < 100 then ({_quoted(two)})[{x} + 1] when {x} = 100 then 'cien' when {r} = 0 then ({_quoted(es.HUNDREDS)})[{h}] "
-            f"when {r} = 1 and {h} in (5, 7, 9) then ({_quoted(es.HUNDREDS)})[{h}] || ' y uno' else ({_quoted(es.HUNDREDS)})[{h}] || ' ' || ({_quoted(two)})[{r} + 1] end)"
+            f"(case when {x} < 100 then {below_hundred(x)} when {x} = 100 then 'cien' when {r} = 0 then ({_quoted(_HUNDREDS)})[{h}] "
+            f"when {r} = 1 and {h} in (5, 7, 9) then ({_quoted(_HUNDREDS)})[{h}] || ' y uno' else ({_quoted(_HUNDREDS)})[{h}] || ' ' || {below_hundred(r)} end)"
         )
 
     t, r = f"({n} // 1000)", f"({n} % 1000)"
@@ -159,8 +170,8 @@ select item_id, sha256('{"t":"' || replace(replace(replace(text, chr(92), chr(92
 with c as (select o_orderkey, floor(o_totalprice * 100 + 0.5)::bigint as c from orders),
 p as (select o_orderkey, c // 100 as w, c % 100 as d from c)
 select o_orderkey, case when w = 0 then {_cardinal('d')} || ' céntimos' else {_cardinal('w')} || ' euros con ' || {_cardinal('d')} || ' céntimos' end as words from p""",
-        "date_words": f"select day(l_shipdate) || ' de ' || ({_quoted(es.MONTHS)})[month(l_shipdate)] || ' de ' || year(l_shipdate) as words, count(*) as n from lineitem group by 1",
-        "ordinal_words": f"select case when l_returnflag = 'R' then ({_quoted(es.ORDINALS_FEMININE)})[l_linenumber] else ({_quoted(es.ORDINALS_MASCULINE)})[l_linenumber] end as words, count(*) as n from lineitem group by 1",
+        "date_words": f"select day(l_shipdate) || ' de ' || ({_quoted(_MONTHS)})[month(l_shipdate)] || ' de ' || year(l_shipdate) as words, count(*) as n from lineitem group by 1",
+        "ordinal_words": f"select regexp_replace(({_quoted(_FIRST_TO_SEVENTH)})[l_linenumber], 'o$', case when l_returnflag = 'R' then 'a' else 'o' end) as words, count(*) as n from lineitem group by 1",
         "toc_asof": """
 with toc as (select conv_id, turn as pos, role || '-' || turn as label from conversations where turn % 3 = 1)
 select c.conv_id, c.turn, arg_max(t.label, t.pos) as label from conversations c left join toc t on t.conv_id = c.conv_id and t.pos <= c.turn group by 1, 2""",

@@ -20,8 +20,9 @@ ALLOWED = frozenset(
     "p b i em strong a ul ol li h1 h2 h3 h4 h5 h6 table thead tbody tr td th blockquote pre code span br hr img figure "
     "figcaption dl dd dt sub sup section article div".split()
 )
-#: Elements that go with their content.
-FORBIDDEN = frozenset("script style iframe object embed form input textarea select button link meta noscript template title head".split())
+FORBIDDEN_TAGS = frozenset("script iframe object embed form input textarea select button link meta style".split())
+#: Elements that go with their content: the forbidden ones, and those whose text a page does not show.
+FORBIDDEN = FORBIDDEN_TAGS | frozenset("noscript template title head".split())
 STRUCTURAL = frozenset(
     "body div section article main p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tr td th blockquote pre figure figcaption caption hr".split()
 )

@@ -1,15 +1,18 @@
 """Plain text: decoding by byte order mark, and blocks between blank lines."""
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plectrum.functions.text import SPACE
 
 
 def _western(raw: pd.Series) -> pd.Series:
+    import codecs
+
     # the five unassigned bytes are the controls of the same number
-    return raw.map(lambda b: "".join(chr(c) if c in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([c]).decode("cp1252") for c in b))
+    codecs.register_error("same-number", lambda e: (chr(e.object[e.start]), e.start + 1))
+    return raw.map(lambda b: b.decode("cp1252", "same-number"))
 
 
 def decoded(content: Column) -> Column:
@@ -46,7 +49,3 @@ def text_blocks(docs: DataFrame) -> DataFrame:
 def line_blocks(docs: DataFrame) -> DataFrame:
     """Every line as a block: the text's own line breaks are its layout."""
     return docs.select("doc_id", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("ord", "text"))
-
-
-def ordered(df: DataFrame, *by: str) -> Window:
-    return Window.partitionBy(*by).orderBy("ord")
