@@ -161,11 +161,11 @@ def units(reps: DataFrame, labels: DataFrame, budget: int, percent: int = PERCEN
     """
     members = reps.select("rep", "n", "copies").join(labels.select(F.col("node").alias("rep"), F.col("component").alias("unit")), "rep")
     members = written(members, scratch(reps.sparkSession, "jaccard-members"))
-    # blocks are laid out over a unit's sizes, which are few; a size above half a budget takes blocks of its own, dealt by hash
-    sizes, half, by_size = members.groupBy("unit", "n").agg(F.sum("n").alias("total")), max(1, budget // 2), Window.partitionBy("unit").orderBy("n")
+    # blocks are laid out over a unit's sizes, which are few; a size above the budget takes several, dealt by hash
+    sizes, by_size = members.groupBy("unit", "n").agg(F.sum("n").alias("total")), Window.partitionBy("unit").orderBy("n")
     small = F.sum("total").over(Window.partitionBy("unit")) <= budget
-    first = F.floor((F.sum("total").over(by_size) - F.col("total")) / half)
-    places = sizes.select("unit", "n", F.when(small, 0).otherwise(first).cast("long").alias("first"), F.when(small, 1).otherwise(F.ceil(F.col("total") / half)).cast("long").alias("many"))
+    first = F.floor((F.sum("total").over(by_size) - F.col("total")) / budget)
+    places = sizes.select("unit", "n", F.when(small, 0).otherwise(first).cast("long").alias("first"), F.when(small, 1).otherwise(F.ceil(F.col("total") / budget)).cast("long").alias("many"))
     block = F.col("first") + F.pmod(F.xxhash64("rep"), F.col("many"))
     ranked = members.join(places, ["unit", "n"]).select("rep", "n", "copies", "unit", block.alias("block"))
     ranked = written(ranked, scratch(reps.sparkSession, "jaccard-blocks"))
