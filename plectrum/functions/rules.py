@@ -230,3 +230,10 @@ def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
             state = _step(rule, state)
         step = step.select(*keep, state.alias("_state"))
     return fenced(step.select(*keep, F.col("_state.spoken").alias("spoken"), F.col("_state.records").alias("records")))
+
+
+def rewritten(rule_id: str, text: Column) -> Column:
+    """The text after one rule alone."""
+    own = F.coalesce(text, F.lit(""))
+    state = F.struct(own.alias("spoken"), F.array().cast(RECORD).alias("records"), own.rlike("[0-9]").alias("digits"))
+    return _step(next(r for r in RULES if r.id == rule_id), state)["spoken"]

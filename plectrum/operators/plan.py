@@ -133,7 +133,7 @@ def product_blocks(blocks: DataFrame) -> DataFrame:
     refs = F.regexp_extract_all("text", F.lit(r"\[(\d+)\]"), 1)
 
     def note(ref: Column) -> Column:
-        own = F.element_at(F.filter("_notes", lambda n: n["_n"] == ref), -1)  # the last one wins
+        own = F.try_element_at(F.filter("_notes", lambda n: n["_n"] == ref), F.lit(-1))  # the last one wins; a reference may have none
         return F.coalesce(F.concat(F.lit(" Nota "), ref, F.lit(": "), own["text"]), F.lit(""))
 
     typed = F.col("type").isin(*LAYOUT_NOISE)

@@ -94,3 +94,9 @@ def test_markdown_blocks():
     assert [(b["type"], b["text"]) for b in markdown.blocks(page)] == [
         ("heading", "Uno dos"), ("paragraph", "texto c*d* l sigue"), ("list-item", "a"), ("list-item", "b"), ("quote", "cita"), ("paragraph", "x y 1 2"), ("separator", ""), ("code", "code"),
     ]
+
+
+def test_a_reference_without_a_note_stays(spark):
+    rows = [(1, 0, "paragraph", "Véase [2] y [1].", 1, None), (1, 1, "footnote", "1 uno", 1, None), (2, 0, "paragraph", "Sin [1] notas", 1, None)]
+    out = {(r["doc_id"], r["ord"]): r["spoken_text"] for r in product_plan(spark.createDataFrame(rows, BLOCKS)).collect()}
+    assert out == {(1, 0): "Véase [dos] y [uno]. Nota uno: uno uno", (2, 0): "Sin [uno] notas"}
