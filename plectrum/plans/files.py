@@ -7,10 +7,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plectrum.sources import archives, formats, layout, wav
+from plectrum.sources import archives, formats, html, layout, markdown, wav
+from plectrum.sources.text import decoded
 from plectrum.plans.shared import Registered, table
 
 REGISTERED = Registered()
@@ -228,3 +229,70 @@ def book_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     checked = formats.zip_preflight(archives.entries(_files(items, epub_file)), "doc_id")
     return checked.select(F.col("doc_id").alias("item_id"), "n_entries", "problem")
+
+
+@query("select doc_id, doc_id % 5 as encoding, sha256(case when doc_id % 5 = 4 then regexp_replace(coalesce(text, ''), '[^\\x00-\\x7f\\x{a0}-\\x{ff}]', '', 'g') || chr(233) else coalesce(text, '') end) as text_sha256 from documents")
+def text_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in five encodings, told by their marks or by what is no UTF-8, and decoded."""
+    k, said = F.col("doc_id") % 5, F.coalesce("text", F.lit(""))
+    western = F.concat(F.regexp_replace(said, r"[^\x00-\x7f\u00a0-\u00ff]", ""), F.lit("é"))
+    raw = (
+        F.when(k == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode(said, "UTF-16LE"))).when(k == 1, F.concat(F.unhex(F.lit("FEFF")), F.encode(said, "UTF-16BE")))
+        .when(k == 2, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(said, "UTF-8"))).when(k == 3, F.encode(said, "UTF-8")).otherwise(F.encode(western, "ISO-8859-1"))
+    )
+    files = table(spark, sf_dir, "documents").select("doc_id", k.alias("encoding"), raw.alias("content"))
+    return files.select("doc_id", "encoding", F.sha2(decoded(F.col("content")), 256).alias("text_sha256"))
+
+
+_SAID = "regexp_replace(trim(regexp_replace(substr(coalesce(text, ''), 1, 80), '[^A-Za-z0-9 ]+', ' ', 'g')), ' +', ' ', 'g')"
+
+
+def _said() -> Column:
+    plain = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 80), "[^A-Za-z0-9 ]+", " ")
+    return F.regexp_replace(F.trim(plain), " +", " ")
+
+
+def _made_blocks(parts: str) -> str:
+    return f"""
+with d as (select doc_id, {_SAID} as s from documents), e as (select doc_id, case when s = '' then 'leer' else s end as s from d),
+b as (select doc_id, unnest([{parts}]) as b from e)
+select doc_id, row_number() over (partition by doc_id order by b.i) - 1 as ord, b.type as type, b.text as text, b.level as level, b.list_level as list_level from b"""
+
+
+def _part(i: int, kind: str, text: str, level: str = "NULL::int", depth: str = "NULL::int") -> str:
+    return f"{{'i': {i}, 'type': '{kind}', 'text': {text}, 'level': {level}, 'list_level': {depth}}}"
+
+
+@query(
+    _made_blocks(", ".join([
+        _part(1, "heading", "'T ' || s", "2"), _part(2, "paragraph", "'a & ' || s || ' b'"), _part(3, "list-item", "'one ' || s", depth="0"), _part(4, "list-item", "'two'", depth="1"), _part(5, "table-cell", "'H'"),
+        _part(6, "table-cell", "s"), _part(7, "quote", "'q ' || s"), _part(8, "code", "'c ' || s"), _part(9, "paragraph", "'[Imagen: ' || s || ']'"), _part(10, "paragraph", "'end'"),
+    ]))
+)
+def html_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages made of documents' beginnings, with markup that must not be spoken, and their blocks."""
+    s = F.col("s")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(_said() == "", "leer").otherwise(_said()).alias("s"))
+    page = F.concat(
+        F.lit("<head><title>no</title></head><body><script>var no</script><h2>T "), s, F.lit("</h2><p>a &amp;\n <b>"), s, F.lit("</b> b<ul><li>one "), s, F.lit("<ul><li>two</ul></ul><table><tr><th>H<td>"), s,
+        F.lit("</table><blockquote>q "), s, F.lit("</blockquote><pre>c "), s, F.lit("</pre><p><img alt=\""), s, F.lit("\"></p><button>no</button><div>end</div>"),
+    )
+    out = html.html_blocks(docs.select("doc_id", page.alias("content")))
+    return out.select("doc_id", F.col("ord").cast("long").alias("ord"), "type", "text", "level", "list_level")
+
+
+@query(
+    _made_blocks(", ".join([
+        _part(1, "heading", "'T ' || s", "3"), _part(2, "paragraph", "'a ' || s || ' b'"), _part(3, "list-item", "'one ' || s", depth="0"), _part(4, "list-item", "'two'", depth="1"), _part(5, "quote", "'q ' || s"),
+        _part(6, "code", "'c ' || s"), _part(7, "separator", "''"), _part(8, "paragraph", "'H1 H2 x ' || s"), _part(9, "heading", "'End'", "1"),
+    ]))
+)
+def markdown_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown made of documents' beginnings and its blocks."""
+    s = F.col("s")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(_said() == "", "leer").otherwise(_said()).alias("s"))
+    source = F.concat(
+        F.lit("### T "), s, F.lit(" ###\n\na **"), s, F.lit("** b\n\n- one "), s, F.lit("\n  - two\n\n> q "), s, F.lit("\n\n```x\nc "), s, F.lit("\n```\n\n---\n\n| H1 | H2 |\n|---|---|\n| x | "), s, F.lit(" |\n\nEnd\n===\n"),
+    )
+    out = markdown.markdown_blocks(docs.select("doc_id", source.alias("content")))
+    return out.select("doc_id", F.col("ord").cast("long").alias("ord"), "type", "text", "level", "list_level")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plectrum.functions.fidelity import critical_tokens, fidelity
 from plectrum.functions.rules import rewritten
-from plectrum.operators import chunks, plan
+from plectrum.operators import chunks, evaluation, metrics, plan
 from plectrum.plans import oracle
 from plectrum.plans.shared import Registered, table
 
@@ -171,3 +171,76 @@ def notes_spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = turns.select("doc_id").distinct().select("doc_id", F.posexplode(F.array(*map(F.lit, ("1 a", "2 b", "1 b")))).alias("n", "text"))
     notes = notes.select("doc_id", (F.col("n") + 1000).alias("ord"), F.lit("footnote").alias("type"), "text", F.lit(1).alias("page"), F.lit(None).cast("int").alias("level"))
     return plan.product_plan(blocks.unionByName(notes)).select("doc_id", "segment_id", "spoken_text")
+
+
+# --- reports over the made-up documents -------------------------------------------------------------
+
+
+@query(
+    f"""with {_MADE} select doc_id, count(*) as segments, count(case when v = 2 then 1 end) as muted, 0::bigint as fallbacks, count(case when v = 0 then 1 end)::int as numbers, count(case when v = 1 then 1 end)::int as monetary, 0::bigint as violations, true as pass
+from p group by 1"""
+)
+def fidelity_report_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The independent check of the made-up documents' plans."""
+    out = evaluation.fidelity_report(plan.listen_plan(_blocks(spark, sf_dir)))
+    kept = lambda c: F.coalesce(F.try_element_at("preserved", F.lit(c)), F.lit(0))
+    return out.select("doc_id", "segments", "muted", "fallbacks", kept("numbers").alias("numbers"), kept("monetary").alias("monetary"), "violations", "pass")
+
+
+@query(
+    f"""
+with {_MADE}, r as (select p.doc_id, p.segment_id, p.v, b.k, p.spoken_text, p.rules from p join b using (doc_id, ord) where p.v < 2)
+select 'corpus:' || doc_id || ':' || segment_id as id, 'corpus' as origin, rules as construction_classes, case v when 0 then 'Nota ' || k || '.' else 'Pago de ' || (k + 2) || ' euros' end as source_text, spoken_text,
+  case v when 0 then 'numbers[' || k || ' -> ' || {oracle._cardinal("k")} || '] | pause[ -> , ]' else 'currencies[' || (k + 2) || ' euros -> ' || {oracle._cardinal("(k + 2)")} || ' euros]' end as transformations from r"""
+)
+def review_packet_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.review_packet(plan.listen_plan(_blocks(spark, sf_dir)))
+
+
+@query(f"with {_MADE}, r as (select unnest(string_split(rules, ',')) as class from p where v < 2) select class, count(*) as n from r group by 1")
+def construction_classes_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.class_histogram(evaluation.review_packet(plan.listen_plan(_blocks(spark, sf_dir))))
+
+
+@query(f"with {_MADE}, r as (select doc_id, unnest(string_split(rules, ',')) as rule from p where rules <> '') select doc_id, count(distinct rule) as fired, floor(count(distinct rule) / 21 * 1000 + 0.5) / 1000 as share from r group by 1")
+def rule_coverage_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the rules have fired in each made-up document, muting included."""
+    return metrics.rule_coverage(plan.listen_plan(_blocks(spark, sf_dir)), 21)
+
+
+@query(
+    """
+with g as (select o_custkey as doc_id, o_orderkey % 3 as v from orders)
+select doc_id, count(*) as entries, floor(avg(case v when 0 then 1.0 when 1 then 0.857 else 0.667 end::double) * 1000 + 0.5) / 1000 as mean_dice, count(case when v = 0 then 1 end) as exact from g group by 1"""
+)
+def gold_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spoken texts that equal the manual one up to case and blanks, lack a word of four, or half of them."""
+    k = F.col("o_orderkey")
+    rows = _orders(spark, sf_dir).select(F.col("o_custkey").alias("doc_id"), k.alias("block_id"), F.lit("uno dos tres cuatro").alias("gold_text"), F.when(k % 3 == 0, "Uno  dos TRES cuatro").when(k % 3 == 1, "uno dos tres").otherwise("uno dos").alias("spoken_text"))
+    return metrics.gold_agreement(rows.select("doc_id", "block_id", "gold_text"), rows.select("doc_id", "block_id", "spoken_text"))
+
+
+@query("select o_custkey as doc_id, row_number() over (partition by o_custkey order by o_orderkey) - 1 as ref, row_number() over (partition by o_custkey order by o_orderkey) - 1 as got, 0.9::double as dice from orders")
+def greedy_match_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reference block likes its predecessor's match better than its own, but that one is taken; below the threshold nothing matches."""
+    at = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long") - 1
+    refs = _orders(spark, sf_dir).select(F.col("o_custkey").alias("doc_id"), at.alias("ref"))
+    liked = F.array(F.struct((F.col("ref") - 1).alias("got"), F.lit(0.95).alias("dice")), F.struct(F.col("ref").alias("got"), F.lit(0.9).alias("dice")), F.struct((F.col("ref") + 1).alias("got"), F.lit(0.54).alias("dice")))
+    return metrics.greedy_match(refs.select("doc_id", "ref", F.inline(liked)).where("got >= 0"))
+
+
+@query(
+    """
+with b as (select o_custkey as doc_id, o_orderkey as k, row_number() over (partition by o_custkey order by o_orderkey) - 1 as ord from orders),
+t as (select *, ord // 2 as page, case k % 6 when 0 then 'page-number' when 1 then 'paragraph' when 2 then 'page-header' when 3 then 'page-footer' when 4 then 'page-header' else 'paragraph' end as type from b),
+p as (select *, (select count(distinct page) from t u where u.doc_id = t.doc_id and u.k % 6 = 2) as pages from t)
+select doc_id, ord, k % 6 in (0, 1) or (k % 6 = 2 and pages >= 3) as omit from p"""
+)
+def safe_omissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page numbers, rules of dashes and known headings on three pages may go; terms, unknown texts and sentences may not."""
+    k = F.col("o_orderkey") % 6
+    at = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    kind = F.when(k == 0, "page-number").when(k.isin(2, 4), "page-header").when(k == 3, "page-footer").otherwise("paragraph")
+    said = F.when(k == 0, "pág. 7 de 9").when(k == 1, "— * —").when(k == 2, " Documento  Oficial").when(k == 3, "salvo que").when(k == 4, _text("Cabecera ", F.col("o_orderkey"))).otherwise("documento oficial")
+    blocks = _orders(spark, sf_dir).select(F.col("o_custkey").alias("doc_id"), at.cast("long").alias("ord"), kind.alias("type"), said.alias("text"), F.floor(at / 2).alias("page"))
+    return plan.omission_is_safe(blocks).select("doc_id", "ord", "omit")
