@@ -3,8 +3,8 @@
 Texts become the sets of their words and word beginnings (hashed).  Labelled texts with identity
 terms are copied with the term swapped for another of its group, and the training adds the mean
 squared score change between a text and its swaps, so that a mere group mention moves no score.
-Features are those that tell the classes apart in a bounded sample of labelled rows (SAMPLE a class, by
-hash order, never a held-out row); the weights are a ridge logistic fit by Newton steps.
+Features are those that tell the classes apart in a bounded sample of labelled rows (SAMPLE rows and SAMPLE_BYTES a
+class, by hash order, never a held-out row); the weights are a ridge logistic fit by Newton steps.
 
 Scores depend on the text alone.  Scoring is one pass in Arrow batches with a model of at most
 MAX_FEATURES weights; nothing is shuffled.
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plectrum.llm.bytewise import LETTERS, Words
@@ -31,6 +31,8 @@ from plectrum.llm.common import documents, quoted
 from plectrum.llm.tokens import text_slices
 
 SAMPLE, MAX_FEATURES, RIDGE, SWAP_PENALTY = 2000, 1024, 0.1, 50.0
+#: Bytes of the sampled texts of a class; of longer samples the later rows in hash order are left out.
+SAMPLE_BYTES = 48 << 20
 #: Bytes of text scored at a time; a worker holds some forty times that.
 SLICE = 1 << 20
 #: Bytes of the word beginnings that are features beside whole words (None).
@@ -175,8 +177,8 @@ def _dense(texts: pa.Array, features: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
-    """At most per_class documents of each label, the first by hash of their id; no held-out row.
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """At most per_class documents and most_bytes of whole texts of each label, the first by hash of their id; no held-out row.
 
     Of rows that share a sampled id one stays, so repeated ids crowd out no other document.
     """
@@ -186,7 +188,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE)
     ids = picked[0].unionByName(picked[1])  # at most 2 * per_class rows
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("x"))
-    return one.select("doc_id", "x.text", "x.toxic").orderBy("doc_id")
+    size = F.coalesce(F.octet_length("x.text"), F.lit(0)).cast("long")
+    so_far = F.sum(size).over(Window.partitionBy("x.toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))  # over per_class rows at most
+    fit_in = one.withColumn("_so_far", so_far).where((F.col("_so_far") <= most_bytes) | (F.col("_so_far") == size))
+    return fit_in.select("doc_id", "x.text", "x.toxic").orderBy("doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
