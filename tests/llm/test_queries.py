@@ -274,3 +274,12 @@ def test_containers_are_read_back_from_the_column(spark):
     rows = {r["doc_id"]: r for r in made.collect()}
     assert rows[1]["n_bytes"] == 1400 and media.probe(bytes(rows[1]["media"]))[0].codec == "raw " and rows[2]["n_bytes"] == 0
     assert {r["doc_id"]: r["payload_bytes"] for r in media.read_back(made).collect()} == {1: 1728, 2: 576}
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    free = [r["i"] for r in spark.range(80).select(F.col("id").alias("i")).where(~toxicity.held_out(F.col("i"))).collect()]
+    docs = spark.createDataFrame([(i, "x" * 100) for i in free], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in free], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(docs, labels, most_bytes=550).collect()
+    assert [sum(r["toxic"] == c for r in got) for c in (0, 1)] == [5, 5]
+    assert [sum(r["toxic"] == c for r in toxicity.labelled_sample(docs, labels, most_bytes=10).collect()) for c in (0, 1)] == [1, 1]
