@@ -20,28 +20,33 @@ KINDS: tuple[tuple[str, str], ...] = (
     ("ordinal", rf"\d+\.?[{SPACE}]?[ºª°]"),
     ("isin", r"(?<![A-Za-z0-9_])[A-Z]{2}[A-Z0-9]{10}(?![A-Za-z0-9_])"),
     ("lei", r"(?<![A-Za-z0-9_])[A-Z0-9]{20}(?![A-Za-z0-9_])"),
-    *(("legal-term", _L + term + _R) for term in LEGAL_TERMS),
 )
+#: The terms come after the kinds; each is looked for by itself, since one may stand inside another.
+_TERM_PATTERNS = tuple(_L + term + _R for term in LEGAL_TERMS)
+_ANY_TERM = f"{_L}(?:{'|'.join(LEGAL_TERMS)}){_R}"
 _EMPTY = "array<struct<index:int,rank:int,kind:string,text:string>>"
 
 
-def _placed(text: Column, kind: str, pattern: str, rank: int) -> Column:
+def _placed(text: Column, kind: str, pattern: Column, rank: Column) -> Column:
     """The hits of one pattern with their UTF-16 places: lengths of the gaps and hits before each."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, 0)
 
     def one(state: Column, pair: Column) -> Column:
         at = state["at"] + units(pair["gap"])
-        token = F.struct(at.alias("index"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), pair["hit"].alias("text"))
+        token = F.struct(at.alias("index"), rank.alias("rank"), F.lit(kind).alias("kind"), pair["hit"].alias("text"))
         return F.struct((at + units(pair["hit"])).alias("at"), F.concat(state["tokens"], F.array(token)).alias("tokens"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_EMPTY).alias("tokens"))
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, one, lambda s: s["tokens"])).otherwise(F.array().cast(_EMPTY))
+    return F.when(F.rlike(text, pattern), F.aggregate(pairs, start, one, lambda s: s["tokens"])).otherwise(F.array().cast(_EMPTY))
 
 
 def critical_tokens(text: Column) -> Column:
     """array<struct<index, rank, kind, text>> by place, then by kind."""
-    return F.sort_array(F.concat(*[_placed(text, kind, pattern, rank) for rank, (kind, pattern) in enumerate(KINDS)]))
+    found = [_placed(text, kind, F.lit(pattern), F.lit(rank)) for rank, (kind, pattern) in enumerate(KINDS)]
+    terms = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(len(KINDS) + i).alias("rank")) for i, p in enumerate(_TERM_PATTERNS)])
+    placed = F.flatten(F.transform(terms, lambda t: _placed(text, "legal-term", t["p"], t["rank"])))
+    return F.sort_array(F.concat(*found, F.when(text.rlike(_ANY_TERM), placed).otherwise(F.array().cast(_EMPTY))))
 
 
 def contains_at_boundary(text: Column, token: Column) -> Column:
