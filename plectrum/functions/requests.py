@@ -204,8 +204,8 @@ class Settings:
     api_max_body_bytes: int = 16_384
     edge_tts_enabled: bool = False
     log_level: str = "info"
-    nan_base_url: str | None = None
-    nan_api_key: str | None = None
+    cloud_base_url: str | None = None
+    cloud_api_key: str | None = None
 
 
 # Bounds and choices.
@@ -213,7 +213,7 @@ _BOUNDS = {
     "speech_timeout_ms": (1000, 120_000), "speech_max_concurrency": (1, 4), "speech_requests_per_minute": (1, 100_000), "speech_max_attempts": (1, 6),
     "speech_max_text_chars": (50, 4000), "speech_default_speed": (0.5, 2), "api_rate_limit_per_minute": (1, 1000), "api_max_body_bytes": (1024, float("inf")),
 }
-_CHOICES = {"speech_provider": ("mock", "nan"), "log_level": ("debug", "info", "warn", "error")}
+_CHOICES = {"speech_provider": ("mock", "cloud"), "log_level": ("debug", "info", "warn", "error")}
 
 
 def load_settings(env: Mapping[str, str] | None = None) -> Settings:
@@ -234,10 +234,10 @@ def load_settings(env: Mapping[str, str] | None = None) -> Settings:
         if f.name in _CHOICES and value not in _CHOICES[f.name]:
             issues.append(f"{f.name.upper()}: not one of {', '.join(_CHOICES[f.name])}")
         found[f.name] = value
-    if found.get("nan_api_key") is not None and len(found["nan_api_key"]) < 8:
-        issues.append("NAN_API_KEY: too short")
-    if found.get("speech_provider") == "nan" and not (found.get("nan_base_url") and found.get("nan_api_key")):
-        issues.append("NAN_BASE_URL and NAN_API_KEY are required")
+    if found.get("cloud_api_key") is not None and len(found["cloud_api_key"]) < 8:
+        issues.append("CLOUD_API_KEY: too short")
+    if found.get("speech_provider") == "cloud" and not (found.get("cloud_base_url") and found.get("cloud_api_key")):
+        issues.append("CLOUD_BASE_URL and CLOUD_API_KEY are required")
     if issues:
         raise ValueError("; ".join(issues))
     return Settings(**found)

@@ -49,9 +49,9 @@ def test_frames(spark):
 
 def test_settings():
     assert requests.load_settings({}) == requests.Settings()
-    got = requests.load_settings({"SPEECH_TIMEOUT_MS": "1000", "EDGE_TTS_ENABLED": "true", "NAN_API_KEY": ""})
-    assert (got.speech_timeout_ms, got.edge_tts_enabled, got.nan_api_key) == (1000, True, None)
-    for env in ({"SPEECH_TIMEOUT_MS": "999"}, {"SPEECH_TIMEOUT_MS": "x"}, {"LOG_LEVEL": "loud"}, {"SPEECH_PROVIDER": "nan"}, {"NAN_API_KEY": "short"}):
+    got = requests.load_settings({"SPEECH_TIMEOUT_MS": "1000", "EDGE_TTS_ENABLED": "true", "CLOUD_API_KEY": ""})
+    assert (got.speech_timeout_ms, got.edge_tts_enabled, got.cloud_api_key) == (1000, True, None)
+    for env in ({"SPEECH_TIMEOUT_MS": "999"}, {"SPEECH_TIMEOUT_MS": "x"}, {"LOG_LEVEL": "loud"}, {"SPEECH_PROVIDER": "cloud"}, {"CLOUD_API_KEY": "short"}):
         with pytest.raises(ValueError):
             requests.load_settings(env)
     assert not requests.load_settings({"EDGE_TTS_ENABLED": "false"}).edge_tts_enabled
