@@ -127,7 +127,30 @@ def _experiment(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return experiment.assign_sides(pairs, F.col("experiment")), pairs
 
 
-@query(None)
+#: All numbers that an experiment draws from its two seeds; a shuffle as one swap a step; names letter by letter.
+_SIDES = """
+with recursive g as (select conv_id as e, count(*) as n, list(turn order by turn) as a from conversations group by 1),
+d0 as (select e, kind, unnest(range(0, n * 17 + 1)) as i, case kind when 0 then e::ubigint else xor(2654435769::ubigint, e::ubigint) end as seed from g, (select unnest([0, 1]) as kind)),
+d1 as (select e, kind, i, ((seed + (i + 1) * 1831565813) % 4294967296)::ubigint as a from d0),
+d2 as (select e, kind, i, xor(a, a >> 15) as x, a | 1 as y from d1),
+d3 as (select e, kind, i, (((x * (y // 65536)) % 65536 * 65536 + x * (y % 65536)) % 4294967296)::ubigint as t from d2),
+d4 as (select e, kind, i, t, xor(t, t >> 7) as x, t | 61 as y from d3),
+d5 as (select e, kind, i, xor(t, (t + ((x * (y // 65536)) % 65536 * 65536 + x * (y % 65536)) % 4294967296) % 4294967296) as t from d4),
+draws as (select e, kind, i, xor(t, t >> 14) / 4294967296.0::double as x from d5),
+s as (
+  select e, n, a, n - 1 as i, 0::bigint as d from g union all
+  select s.e, s.n, list_transform(range(1, s.n + 1), lambda k: case when k = s.i + 1 then s.a[floor(r.x * (s.i + 1))::bigint + 1] when k = floor(r.x * (s.i + 1))::bigint + 1 then s.a[s.i + 1] else s.a[k] end), s.i - 1, s.d + 1
+  from s join draws r on r.e = s.e and r.kind = 0 and r.i = s.d where s.i > 0),
+o as (select e, unnest(a) as pair, generate_subscripts(a, 1) - 1 as p from s where i <= 0),
+names as (
+  select o.e, o.p, r.i - o.p * 17 >= 9 as on_right, 'g3a-' || string_agg(substr('abcdefghjkmnpqrstuvwxyz23456789', floor(r.x * 31)::int + 1, 1), '' order by r.i) as clip
+  from o join draws r on r.e = o.e and r.kind = 1 and r.i between o.p * 17 + 1 and o.p * 17 + 16 group by 1, 2, 3)
+select o.e as experiment, o.p::int as presentation_order, o.pair, l.clip as left_clip, r.clip as right_clip, case when x.x < 0.5 then 'gold' else 'literal' end as left_condition
+from o join names l on l.e = o.e and l.p = o.p and not l.on_right join names r on r.e = o.e and r.p = o.p and r.on_right join draws x on x.e = o.e and x.kind = 1 and x.i = o.p * 17
+"""
+
+
+@query(_SIDES)
 def side_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as experiments, seeded with their number."""
     return _experiment(spark, sf_dir)[0]
