@@ -245,3 +245,46 @@ def extraction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def extraction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.extraction_summary(_extraction(spark, sf_dir))
+
+
+_EXTRACTED = """
+b as (select o_custkey as doc_id, o_orderkey as k, o_orderkey % 4 as v, row_number() over (partition by o_custkey order by o_orderkey) - 1 as ord from orders),
+m as (select *, v <> 0 and k % 5 <> 4 as hit, k % 5 <> 4 as got, k % 7 <> 0 as same_page, k % 3 = 2 and v > 1 as wrong from b),
+r as (
+  select doc_id, count(case when v <> 0 then 1 end) as n, count(case when hit then 1 end) as h, count(case when hit and same_page then 1 end) as p, count(case when hit and wrong then 1 end) as misclassified,
+    count(case when v = 1 then 1 end) as heading_reference, count(case when v = 1 and hit then 1 end) as heading_recovered, count(case when v = 2 then 1 end) as list_item_reference,
+    count(case when v = 2 and hit and not wrong then 1 end) as list_item_recovered, count(case when v = 0 then 1 end) as chrome_reference, count(case when v = 0 and got then 1 end) as chrome_recovered,
+    count(case when got and ord % 2 = 0 and ord // 2 + case when same_page then 0 else 1 end >= 1 then 1 end) as placed, count(case when got then 1 end) as g from m group by 1 having n > 0),
+f as (
+  select doc_id, n as reference_blocks, floor(h / n * 1000 + 0.5) / 1000 as content_recall, case when h > 0 then floor(p / h * 1000 + 0.5) / 1000 end as page_accuracy, n - h as missed, misclassified,
+    heading_reference, heading_recovered, list_item_reference, list_item_recovered, chrome_reference, chrome_recovered, true as in_order, floor(6 * h / (3 * n + 3 * h) * 1000 + 0.5) / 1000 as text_fidelity,
+    case when g = 0 then 0.0 else floor(placed / g * 1000 + 0.5) / 1000 end as provenance_coverage from r)"""
+
+
+def _made_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as blocks with words of their own; the extraction loses, moves and mistakes some."""
+    from pyspark.sql import Window
+
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(*map(F.lit, ("page-header", "heading", "list-item", "paragraph"))), (k % 4 + 1).cast("int"))
+    said = F.concat_ws(" ", *[F.concat(F.lit(x), k.cast("string")) for x in "abc"])
+    at = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    reference = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("k"), at.alias("ord"), kind.alias("type"), said.alias("text")).withColumn("page", F.floor(F.col("ord") / 2))
+    k = F.col("k")
+    got = reference.where(k % 5 != 4).withColumns({
+        "type": F.when((k % 3 == 2) & (k % 4 > 1), "heading").otherwise(F.col("type")), "page": F.col("page") + F.when(k % 7 == 0, 1).otherwise(0), "box": F.when(F.col("ord") % 2 == 0, F.array(F.lit(0.0))),
+    })
+    return evaluation.extraction_report(reference.drop("k"), got.drop("k"))
+
+
+@query(f"with {_EXTRACTED} select * from f")
+def extraction_report_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _made_extraction(spark, sf_dir).drop("footnote_reference", "footnote_recovered", "table_cell_reference", "table_cell_recovered")
+
+
+@query(
+    f"""with {_EXTRACTED} select floor(avg(text_fidelity) * 1000 + 0.5) / 1000 as mean_text_fidelity, floor(avg(content_recall) * 1000 + 0.5) / 1000 as mean_content_recall, 0::bigint as order_failures,
+  0::bigint as tables_detected, 0::bigint as tables_present from f"""
+)
+def extraction_summary_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.extraction_summary(_made_extraction(spark, sf_dir))

@@ -244,3 +244,17 @@ def safe_omissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(k == 0, "pág. 7 de 9").when(k == 1, "— * —").when(k == 2, " Documento  Oficial").when(k == 3, "salvo que").when(k == 4, _text("Cabecera ", F.col("o_orderkey"))).otherwise("documento oficial")
     blocks = _orders(spark, sf_dir).select(F.col("o_custkey").alias("doc_id"), at.cast("long").alias("ord"), kind.alias("type"), said.alias("text"), F.floor(at / 2).alias("page"))
     return plan.omission_is_safe(blocks).select("doc_id", "ord", "omit")
+
+
+@query(
+    """
+with o as (select o_orderkey as k, o_orderkey % 150 + 1 as m from orders), c as (select k, m, unnest(range(0, (m + 39) // 40)) as chunk from o),
+w as (select k, chunk, least(40, m - chunk * 40) as n from c)
+select k as doc_id, chunk::int as chunk, rtrim(repeat('xxxxxxxxx ', n::int)) as text from w"""
+)
+def long_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of up to 150 words without a mark, cut at the last blank within 400 units."""
+    k = F.col("o_orderkey")
+    said = F.rtrim(F.repeat(F.lit("xxxxxxxxx "), (k % 150 + 1).cast("int")))
+    segments = _orders(spark, sf_dir).select(k.alias("doc_id"), F.lit(0).alias("ord"), F.lit("s0").alias("segment_id"), said.alias("spoken_text"), F.lit(False).alias("muted"))
+    return chunks.plan_chunks(segments, 400).select("doc_id", "chunk", "text")
