@@ -184,7 +184,7 @@ class PieceEncoder:
     """Encodes texts by pieces and pretokens; subclasses give the ids of pretokens and of odd texts."""
 
     #: Pieces remembered; half as many pretokens are.
-    limit = 400_000
+    limit = 300_000
 
     def __init__(self) -> None:
         self._pieces, self._words = Memory(), Memory()  # pieces after a space
