@@ -102,6 +102,14 @@ def quoted(columns: list[str]) -> list[str]:
     return ["`" + c.replace("`", "``") + "`" for c in columns]
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, all behind as many underscores as it takes for none to clash with a column."""
+    taken = {c.lower() for c in columns}
+    while taken & {n.lower() for n in names}:
+        names = tuple("_" + n for n in names)
+    return list(names)
+
+
 #: Rows that a scan or a Python worker takes at once: texts run to megabytes, and defaults of thousands of rows
 #: make buffers of tens of megabytes in every task.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.parquet.columnarReaderBatchSize": "512"}

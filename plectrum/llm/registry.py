@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plectrum.llm import bpe, chat, jaccard, lines, media, oracle, packing, quality, sharding, token_files, toxicity
+from plectrum.llm import bpe, chat, jaccard, lines, media, oracle, packing, quality, secret_scan, sharding, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,7 @@ def queries() -> dict[str, Query]:
         "op8_bpe_lexicon": bpe.query,
         "op9_toxicity": toxicity.query,
         "op10_ngram_jaccard": jaccard.query,
+        "op11_secret_scan": secret_scan.query,
     }
 
 
