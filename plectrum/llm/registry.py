@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plectrum.llm import bpe, chat, fill_middle, jaccard, lines, media, oracle, packing, quality, secret_scan, sharding, token_files, toxicity
+from plectrum.llm import bpe, chat, fill_middle, jaccard, lines, media, oracle, packing, quality, secret_scan, sharding, token_files, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,7 @@ def queries() -> dict[str, Query]:
         "op10_ngram_jaccard": jaccard.query,
         "op11_secret_scan": secret_scan.query,
         "op12_fill_middle": fill_middle.query,
+        "op13_whitening": whitening.query,
     }
 
 
