@@ -7,9 +7,9 @@ spilling, never collected.  :func:`render` joins a conversation's segments into
 and keeps their sizes and flags, :func:`parse` reads that text back into turns, and :func:`masked` reads
 the flagged segments.
 
-Texts cannot forge a marker: the first character of every control string, and the escape character, are
-written as two-character codes inside texts, so ``#`` and ``<`` occur in markers alone.  The codes
-are undone in reverse order.
+Texts cannot forge a marker: of every control string one character, and the escape character, are
+written as two-character codes inside texts, so by default ``#`` and ``<`` occur in markers alone.  The codes follow
+from the template's markers and are undone in reverse order; a template that cannot be read back is refused.
 
 Edge cases: null text and null role count as empty; turns sort by turn (null first), then role, then
 text, so ties have one order and repeated rows all stay; illegal turn orders are still formatted and
@@ -46,9 +46,34 @@ class Template:
         }
     )
     final: tuple[str, ...] = ("assistant",)
-    #: Escape codes; the escape character itself comes first.
-    codes: tuple[tuple[str, str], ...] = (("\\", "\\s"), ("#", "\\h"), ("<", "\\l"))
-    role_codes: tuple[tuple[str, str], ...] = ((":", "\\c"), ("@", "\\a"))
+    escape_sign: str = "\\"
+    #: Codes of the signs that texts, and those that names of roles besides, must not hold; the escape sign's comes first.
+    codes: tuple[tuple[str, str], ...] = field(init=False)
+    role_codes: tuple[tuple[str, str], ...] = field(init=False)
+
+    def __post_init__(self) -> None:
+        shown = list(self.labels.values())
+        if not (self.head and self.after_role and self.end and self.raw_label and len(self.escape_sign) == 1):
+            raise ValueError("head, after_role, end and raw_label must not be empty and escape_sign is one character")
+        if len(set(shown)) < len(shown) or any(x.startswith(self.raw_label) for x in shown):
+            raise ValueError("labels must differ and none may begin like raw_label")
+        begin = self._sign(self.head, "")
+        close = self._sign(self.end, self.head + self.after_role + self.raw_label + "".join(shown))
+        after = self._sign(self.after_role, self.raw_label + "".join(shown))
+        raw = self._sign(self.raw_label, "")
+        told = list(dict.fromkeys([self.escape_sign, begin, close, after, raw]))
+        letters = iter(c for c in "shlcabdefgijkmnopqrtuvwxyz" if c not in told)
+        codes = [(c, self.escape_sign + next(letters)) for c in told]
+        n = len({self.escape_sign, begin, close})
+        object.__setattr__(self, "codes", tuple(codes[:n]))
+        object.__setattr__(self, "role_codes", tuple(codes[n:]))
+
+    def _sign(self, marker: str, elsewhere: str) -> str:
+        """The character of a marker that texts spell as a code: one that no other part of a turn before the marker holds."""
+        fit = [c for c in marker if c != self.escape_sign and c not in elsewhere]
+        if not fit:
+            raise ValueError(f"no character of {marker!r} tells it from the rest of a turn")
+        return next((c for c in fit if not (c.isalnum() or c.isspace())), fit[0])
 
     def escape(self, text: Column) -> Column:
         for plain, code in self.codes:
@@ -168,7 +193,7 @@ def render(df: DataFrame, template: Template = Template()) -> DataFrame:
 
 def _pieces(template: Template) -> Column:
     """The turns of the formatted text, without their end markers."""
-    pieces = F.split("formatted", template.end)  # the marker holds no regex metacharacter
+    pieces = F.split("formatted", "".join(f"\\x{{{ord(c):x}}}" for c in template.end))
     return F.slice(pieces, F.lit(1), F.size(pieces) - 1)
 
 

@@ -13,8 +13,8 @@ pipeline uses this, since the stage that drops copies comes after.  Near copies
 Edge cases: a null host is a host of its own; a null text stays null and counts as a page; blank lines are
 kept and never counted; a line repeated in one page counts once there; repeated rows are
 pages of their own; a page can become empty but no row goes; an empty table stays empty; all columns
-of the input, whatever their names, are returned as they were but the text; the two added columns take
-the names _n_lines and _n_dropped, which a table that has them must rename first.
+of the input, whatever their names, are returned as they were but the text; the two added columns, the last,
+are named _n_lines and _n_dropped, with further underscores in front where the input has such a column.
 """
 
 from __future__ import annotations
@@ -22,14 +22,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plectrum.llm.common import SPACE_CLASS, documents, quoted, scratch, written
+from plectrum.llm.common import SPACE_CLASS, documents, free_names, quoted, scratch, written
 
 RATIO, MIN_PAGES = 0.05, 5
 BROADCAST_BYTES = 16 << 20
 
 
+def _first(line: Column) -> Column:
+    return F.xxhash64(line)
+
+
+def _second(line: Column) -> Column:
+    return F.xxhash64(F.lit("second"), line)
+
+
 def _hash(line: Column) -> Column:
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("second"), line).alias("b"))
+    return F.struct(_first(line).alias("a"), _second(line).alias("b"))
 
 
 def _real(line: Column) -> Column:
@@ -52,7 +60,7 @@ def boilerplate(df: DataFrame, host: Column, ratio: float = RATIO, min_pages: in
 def drop_boilerplate(df: DataFrame, host: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, text: str = "text", copies_once: bool = False) -> DataFrame:
     """df with its texts less their host's boilerplate lines, plus _n_lines and _n_dropped."""
     found = written(boilerplate(df, host, ratio, min_pages, text, copies_once), scratch(df.sparkSession, "boilerplate"))
-    lists = found.groupBy("_host").agg(F.collect_list(F.struct("a", "b")).alias("_drop"))
+    lists = found.groupBy("_host").agg(F.collect_list("a").alias("_a"), F.collect_list("b").alias("_b"))
     size = found.count() * 16 + found.select("_host").distinct().count() * 64
     if size <= BROADCAST_BYTES:
         lists = F.broadcast(lists)
@@ -60,14 +68,19 @@ def drop_boilerplate(df: DataFrame, host: Column, ratio: float = RATIO, min_page
     rest = [c for c in df.columns if c != text]
     row = F.struct(F.lit(0).alias("\0"), *[F.col(q).alias(c) for q, c in zip(quoted(rest), rest, strict=True)])
     keyed = df.select(row.alias("_row"), F.coalesce(host, F.lit("\0")).alias("_host"), F.col(*quoted([text])).alias("_text")).join(lists, "_host", "left")
+    # a page's own lines are met with its host's list by a hash set; what is left is its own few hits
+    split = keyed.select("_row", "_text", "_a", "_b", F.when(F.col("_a").isNotNull(), F.split("_text", "\n")).alias("_lines"))
+    hits = [F.array_intersect(F.transform("_lines", half), F.col(name)).alias(name) for half, name in ((_first, "_a"), (_second, "_b"))]
+    near = split.select("_row", "_text", "_lines", *hits)
+    kept = F.filter("_lines", lambda x: ~(F.array_contains("_a", _first(x)) & F.array_contains("_b", _second(x)) & _real(x)))
     # used twice below, so it stays a projection of its own and each text is split once
-    kept = F.filter(F.split("_text", "\n"), lambda x: ~(_real(x) & F.array_contains("_drop", _hash(x))))
-    cut = keyed.select("_row", "_text", F.when(F.col("_drop").isNotNull(), kept).alias("_kept"))
+    cut = near.select("_row", "_text", F.when(F.size("_a") > 0, kept).otherwise(F.col("_lines")).alias("_kept"))
+    names = free_names(df.columns, "_n_lines", "_n_dropped")
     n_lines = F.coalesce(F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     return cut.select(
         *[F.coalesce(F.array_join("_kept", "\n"), "_text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in df.columns],
-        n_lines.alias("_n_lines"),
-        F.when(F.col("_kept").isNull(), 0).otherwise(n_lines - F.size("_kept")).cast("long").alias("_n_dropped"),
+        n_lines.alias(names[0]),
+        F.when(F.col("_kept").isNull(), 0).otherwise(n_lines - F.size("_kept")).cast("long").alias(names[1]),
     )
 
 

@@ -5,14 +5,14 @@ dimensions by a fixed random matrix and quantised; its Hilbert index is its plac
 The curve is cut into ranges of near-equal token counts and each range is sorted by that key; the running
 token count is cut every ``length`` ids, so only the very last sequence has padding.
 
-The encoding is a written table, so nothing is encoded twice.  Its token counts by cell (the key's top CELL_BITS
-bits, so a bounded number) fix the ranges on the driver.  A cell above two ranges' share, such as a large
-group of copies, gets ranges of its own, to which its rows are dealt by hash.  One shuffle then
+The encoding is a written table, so nothing is encoded twice.  Documents stand in the order of (key, row), at every size.
+Token counts by cell (the key's leading bits) fix where the ranges start; a cell above two ranges' share is
+counted again by its key's next bits, down to single keys, and a key above it, such as a large group of copies, is parted
+at quantiles of its rows' numbers.  Each step sees a bounded number of cells on the driver.  One shuffle then
 brings each range together, and a range's base is the token sum of the ranges before it.
 
 Edge cases: a null text is empty and has its end id alone; equal texts share a key and are ordered by
-id, but where they fill ranges of their own; repeated rows are all packed; an empty
-table gives no pieces; further columns are ignored.
+row; repeated rows are all packed; an empty table gives no pieces; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ from plectrum.llm.common import documents, scratch, written
 from plectrum.llm.tokens import binary_runs, default_path, id_width, library_encoder, text_slices, with_end
 
 HASH_DIMS, DIMS, BITS = 64, 3, 10
-#: Leading bits of a key that name its cell.
-CELL_BITS = 18
+#: Leading bits of a key that name its cell, and further bits that a heavy cell is split by at a time.
+CELL_BITS, MORE_BITS = 18, 6
 #: Ids in a range, some 16 MB; above MOST_RANGES of them, ranges grow instead.
 RANGE_IDS, MOST_RANGES = 8_000_000, 20_000
 
@@ -106,39 +107,88 @@ def encode(df: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key long, n_tokens long, ids binary").withColumn("row", F.monotonically_increasing_id())
 
 
-def ranges(tokens: list[int], share: int) -> list[tuple[int, int]]:
-    """For each cell in curve order, from its token count: its first range and how many ranges are its own."""
-    out, at, held = [], 0, 0
-    for n in tokens:
-        if n > 2 * share:
-            at += held > 0
-            k = -(-n // share)
-            out.append((at, k))
-            at, held = at + k, 0
-            continue
-        if held and held + n > share:
-            at, held = at + 1, 0
-        out.append((at, 1))
+Start = tuple[int, int]  # key and row that a range starts at
+
+
+def _counts(encoded: DataFrame, bits: int, within: list[int], step: int = 0) -> list[tuple[int, int]]:
+    """(cell, tokens) of the cells named by a key's leading bits; within: of those cells of ``step`` bits fewer alone."""
+    cell = F.shiftright("key", DIMS * BITS - bits)
+    if within:
+        heavy = encoded.sparkSession.createDataFrame([(c,) for c in within], "up long")
+        encoded = encoded.join(F.broadcast(heavy), F.shiftright("key", DIMS * BITS - bits + step) == F.col("up"))
+    return sorted((r["cell"], r["n"]) for r in encoded.groupBy(cell.alias("cell")).agg(F.sum("n_tokens").alias("n")).collect())
+
+
+def _quantiles(encoded: DataFrame, keys: dict[int, int]) -> dict[int, list[int]]:
+    """For each key the row numbers that part its rows into so many parts."""
+    spark = encoded.sparkSession
+    told = spark.createDataFrame([(k,) for k in keys], "key long")
+    rows = encoded.select("key", "row").join(F.broadcast(told), "key")
+    most = max(keys.values())
+    found = rows.groupBy("key").agg(F.percentile_approx("row", [i / most for i in range(1, most)], max(10_000, 4 * most)).alias("q")).collect()
+    return {r["key"]: [r["q"][round(i * most / keys[r["key"]]) - 1] for i in range(1, keys[r["key"]])] for r in found}
+
+
+def starts(encoded: DataFrame, share: int, bits: int = CELL_BITS) -> list[Start]:
+    """Where the ranges of about ``share`` tokens start, in the order of (key, row).
+
+    At most total / share cells are heavy, so each step counts 2**CELL_BITS or 2**MORE_BITS * total / share cells.
+    """
+    bits = min(bits, DIMS * BITS)
+    fine: list[tuple[int, int]] = []  # first key of a cell and its tokens
+    open_ = _counts(encoded, bits, [])
+    heavy: dict[int, int] = {}
+    while open_:
+        low = DIMS * BITS - bits
+        fine += [(c << low, n) for c, n in open_ if n <= 2 * share]
+        wide = [(c, n) for c, n in open_ if n > 2 * share]
+        if not low or not wide:
+            heavy = {c: -(-n // share) for c, n in wide}
+            fine += wide if not low else []
+            break
+        step = min(MORE_BITS, low)
+        bits += step
+        open_ = _counts(encoded, bits, [c for c, _ in wide], step)
+    parted = _quantiles(encoded, heavy) if heavy else {}
+    out, held = [], 0
+    for key, n in sorted(fine):
+        if not out or key in heavy or held + n > share:
+            out.append((key, -1))
+            held = 0
         held += n
+        if key in heavy:
+            out += [(key, row + 1) for row in sorted(set(parted[key]))]
+            held = share  # the next cell starts a range
     return out
 
 
+def part_of(keys: np.ndarray, rows: np.ndarray, begin: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The range of each (key, row): the last one that starts at it or before."""
+    part = np.searchsorted(begin, keys, "right") - 1
+    left = np.searchsorted(begin, keys, "left")
+    for key in np.unique(keys[part > left]):  # a key that is parted
+        a, b = np.searchsorted(begin, key, "left"), np.searchsorted(begin, key, "right")
+        own = keys == key
+        part[own] = a + np.maximum(np.searchsorted(row[a:b], rows[own], "right"), 1) - 1
+    return part.astype("i4")
+
+
 def sort_along(encoded: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """The documents in their ranges (part), each sorted by key, and the ids before each range."""
-    spark = encoded.sparkSession
-    cell = F.shiftright("key", max(0, DIMS * BITS - CELL_BITS))
-    cells = sorted((r["cell"], r["n"]) for r in encoded.groupBy(cell.alias("cell")).agg(F.sum("n_tokens").alias("n")).collect())  # 2 ** CELL_BITS rows at most
-    share = max(RANGE_IDS, sum(n for _, n in cells) // MOST_RANGES)
-    dealt = ranges([n for _, n in cells], share)
-    index = spark.createDataFrame([(c, *d) for (c, _), d in zip(cells, dealt, strict=True)], "cell long, first int, many int")
-    own = F.col("first") + F.pmod(F.xxhash64("doc_id", "row"), F.col("many")).cast("int")
-    placed = encoded.withColumn("cell", cell).join(F.broadcast(index), "cell").withColumn("part", own)  # 16 bytes a cell
-    base, total = {}, 0
-    for part, n in sorted(placed.groupBy("part").agg(F.sum("n_tokens")).collect()):  # one row a range
-        base[part] = total
-        total += n
-    placed = placed.select("part", "key", "doc_id", "n_tokens", "row", "ids")
-    return placed.repartition(max(1, len(base)), "part").sortWithinPartitions("part", "key", "doc_id", "n_tokens", "row"), base
+    """The documents in their ranges (part), each sorted by (key, row), and the ids before each range."""
+    total = encoded.agg(F.sum("n_tokens")).first()[0] or 0
+    told = starts(encoded, max(RANGE_IDS, total // MOST_RANGES))
+    begin, row = (np.array(x, "i8") for x in zip(*told, strict=True)) if told else (np.zeros(0, "i8"),) * 2
+
+    @F.pandas_udf("int")
+    def part(key: pd.Series, number: pd.Series) -> pd.Series:
+        return pd.Series(part_of(key.to_numpy(), number.to_numpy(), begin, row))  # 16 bytes a range
+
+    placed = encoded.select(part("key", "row").alias("part"), "key", "doc_id", "n_tokens", "row", "ids")
+    base, at = {}, 0
+    for p, n in sorted(placed.groupBy("part").agg(F.sum("n_tokens")).collect()):  # one row a range
+        base[p] = at
+        at += n
+    return placed.repartition(max(1, len(base)), "part").sortWithinPartitions("part", "key", "row"), base
 
 
 def cut(ordered: DataFrame, base: dict[int, int], length: int, width: int) -> DataFrame:

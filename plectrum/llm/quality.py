@@ -4,9 +4,8 @@ Everything is a built-in expression over the row's own text: nothing is shuffled
 runs, and a copied or hot group costs no more than any other rows.
 
 Edge cases: a null text has no words; an empty text fails the length rule; repeated rows are judged
-one by one; an empty table gives an empty table; columns of the input that clash with the metric
-names are kept in the input's favour only by :func:`filter_quality`, which returns the input's own
-columns, while :func:`measure` returns the id columns it is asked for and the metrics.
+one by one; an empty table gives an empty table; where a kept column has a metric's name, :func:`measure` puts
+underscores before all metrics and :func:`judge` is told so by ``mark``; :func:`filter_quality` returns the input's own columns.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plectrum.llm.common import SPACE_CLASS, words
+from plectrum.llm.common import SPACE_CLASS, free_names, quoted, words
 
 #: Symbols that prose hardly uses (fixed by the contract).
 SYMBOLS = r"[#*$%&|<>]"
@@ -39,12 +38,12 @@ class Rule:
     low: float | None = None
     high: float | None = None
 
-    def passes(self) -> Column:
+    def passes(self, mark: str = "") -> Column:
         tests = []
         if self.low is not None:
-            tests.append(F.col(self.metric) >= F.lit(self.low))
+            tests.append(F.col(mark + self.metric) >= F.lit(self.low))
         if self.high is not None:
-            tests.append(F.col(self.metric) <= F.lit(self.high))
+            tests.append(F.col(mark + self.metric) <= F.lit(self.high))
         out = tests[0] if tests else F.lit(True)
         for t in tests[1:]:
             out = out & t
@@ -94,16 +93,22 @@ def _repeat_words(grams: Column) -> Column:
 
 def measure(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """The metrics of every whole text beside the ``keep`` columns."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    step = df.select(*keep, t.alias("_t"))
+    row = F.struct(F.lit(0).alias("\0"), *[F.col(q).alias(c) for q, c in zip(quoted(list(keep)), keep, strict=True)])
+    found = _metrics(df.select(row.alias("_row"), F.coalesce(F.col(*quoted([text])), F.lit("")).alias("_t")))
+    names = free_names(list(keep), *found.columns[1:])
+    return found.select(*[F.col("_row").getField(c).alias(c) for c in keep], *[F.col(c).alias(n) for c, n in zip(found.columns[1:], names, strict=True)])
+
+
+def _metrics(step: DataFrame) -> DataFrame:
+    """_row and the metrics of _t."""
     step = step.select(
-        *keep,
+        "_row",
         "_t",
         words(F.col("_t")).alias("_w"),
         F.filter(F.split("_t", "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS[1:]}")).alias("_lines"),
     )
     step = step.select(
-        *keep,
+        "_row",
         "_t",
         "_w",
         "_lines",
@@ -115,7 +120,7 @@ def measure(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
         ).alias("_g"),
     )
     step = step.select(
-        *keep,
+        "_row",
         F.col("_n").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -140,19 +145,19 @@ def measure(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     )
 
 
-def judge(metrics: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Adds base_failed, the names of the rules that a row breaks, and kept."""
-    base = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
-    broken = F.array_compact(F.array(*[F.when(~r.passes(), F.lit(r.metric)) for r in rules]))
-    return metrics.withColumn("base_failed", base).withColumn("broken_rules", broken).withColumn(
-        "kept", ~F.col("base_failed") & (F.size("broken_rules") == 0)
+def judge(metrics: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "") -> DataFrame:
+    """Adds base_failed, the names of the rules that a row breaks, and kept; ``mark`` stands before all these names."""
+    base = (F.col(mark + "n_words") < 50) | (F.lit(100) * F.col(mark + "n_repeat_words") > F.lit(50) * F.col(mark + "n_words"))
+    broken = F.array_compact(F.array(*[F.when(~r.passes(mark), F.lit(r.metric)) for r in rules]))
+    return metrics.withColumn(mark + "base_failed", base).withColumn(mark + "broken_rules", broken).withColumn(
+        mark + "kept", ~F.col(mark + "base_failed") & (F.size(mark + "broken_rules") == 0)
     )
 
 
 def filter_quality(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of df that pass every rule, with df's own columns."""
-    boxed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(text).alias("_text"))
-    judged = judge(measure(boxed, "_row", text="_text"), rules).withColumn("_once", F.monotonically_increasing_id())
+    boxed = df.select(F.struct(*[F.col(c) for c in quoted(df.columns)]).alias("_row"), F.coalesce(F.col(*quoted([text])), F.lit("")).alias("_t"))
+    judged = judge(_metrics(boxed), rules).withColumn("_once", F.monotonically_increasing_id())
     # a predicate does not move below a non-deterministic column: the metrics are computed once, not inlined into it
     return judged.where("kept AND _once >= 0").select("_row.*")
 

@@ -2,11 +2,11 @@
 
 A layout is a written table with a manifest: one row a file (a block) with its shard, rows and bytes.
 From the old shard sizes and the new capacities a minimum-cost flow gives how many bytes each old
-shard sends to each new one (staying costs nothing).  Flows are filled with whole blocks, which
-change hands in the manifest alone; the blocks left at the boundaries between flows are cut by rows,
+shard sends to each new one (staying costs nothing).  An old shard's files, laid end to end, are dealt to its flows in turn:
+a file inside one flow changes hands in the manifest alone; a file across a boundary between flows is cut by rows,
 largest row first to the shard that lacks most, and rewritten as files of their new shards.  Only
 cut files are read for that and shuffled.  A row's slot is its file's base in the shard plus its place in the
-file, so neither needs a shuffle.  The driver sees one row a file and one number a shard.
+file.  The manifest stays a table: the driver sees one number a shard and the cut files, at most one for each pair of shards.
 
 Edge cases: a null text has no bytes and size 1; a null key goes to a fixed old shard; equal rows are
 placed each; a shard may stay empty; an empty table gives no rows; further columns of the input, whatever
@@ -20,7 +20,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
@@ -116,38 +116,29 @@ def _manifest(files: DataFrame, folder: str) -> DataFrame:
     return written(rows, folder + "-manifest")
 
 
-def plan(blocks: list[tuple[str, int, int]], n_old: int, capacity: list[int]) -> tuple[dict[str, int], dict[str, list[tuple[int, int]]]]:
-    """From (path, old shard, bytes): the new shard of each whole block, and of each cut block the
-    (bytes, new shard) pieces."""
+def plan(manifest: DataFrame, n_old: int, capacity: list[int]) -> tuple[DataFrame, dict[str, list[tuple[int, int]]]]:
+    """The manifest's uncut files with their ``new`` shard, and of each cut file the (bytes, new shard) pieces."""
+    spark = manifest.sparkSession
     supply = [0] * n_old
-    for _, i, size in blocks:
-        supply[i] += size
+    for r in manifest.groupBy("shard").agg(F.sum("n_bytes").alias("n")).collect():  # a row a shard
+        supply[r["shard"]] = r["n"]
     flow = min_cost_flow(supply, capacity, [[int(i != j) for j in range(len(capacity))] for i in range(n_old)])
-    whole, cuts = {}, defaultdict(list)
-    by_old = defaultdict(list)
-    for path, i, size in sorted(blocks, key=lambda b: (-b[2], b[0])):
-        by_old[i].append((path, size))
-    for i, own in by_old.items():
-        # the staying flow first: it keeps the largest blocks
-        wants = sorted(([j, f] for j, f in enumerate(flow[i]) if f), key=lambda x: (x[0] != i, -x[1]))
-        rest = []
-        for path, size in own:
-            fit = next((w for w in wants if w[1] >= size), None)
-            if fit:
-                fit[1] -= size
-                whole[path] = fit[0]
-            else:
-                rest.append((path, size))
-        wants = [w for w in wants if w[1]]
-        for path, size in rest:
-            while size:
-                take = min(size, wants[0][1])
-                size -= take
-                cuts[path].append((take, wants[0][0]))
-                wants[0][1] -= take
-                if not wants[0][1]:
-                    wants.pop(0)
-    return whole, dict(cuts)
+    bounds = []
+    for i, sent in enumerate(flow):
+        at = 0
+        # the staying flow first: it keeps the largest files
+        for j, n in sorted(((j, n) for j, n in enumerate(sent) if n), key=lambda x: (x[0] != i, -x[1])):
+            bounds.append((i, at, at + n, j))
+            at += n
+    flows = spark.createDataFrame(bounds, "shard int, low long, high long, new int")
+    end = F.sum("n_bytes").over(Window.partitionBy("shard").orderBy(F.desc("n_bytes"), "path").rowsBetween(Window.unboundedPreceding, 0))
+    laid = manifest.withColumn("end", end).withColumn("start", F.col("end") - F.col("n_bytes"))
+    met = laid.join(F.broadcast(flows), ["shard"]).where("start < high AND end > low")  # n_old * n_new rows
+    met = met.withColumn("piece", F.least("end", "high") - F.greatest("start", "low"))
+    cuts: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    for r in met.where("piece < n_bytes").select("path", "piece", "new").orderBy("path", "start").collect():  # two rows a boundary
+        cuts[r["path"]].append((r["piece"], r["new"]))
+    return met.where("piece = n_bytes").select("path", "shard", "n_rows", "new"), dict(cuts)
 
 
 def _deal(block: pd.DataFrame) -> pd.DataFrame:
@@ -181,23 +172,18 @@ def reshard(df: DataFrame, old_folder: str, manifest: DataFrame, n_old: int, n_n
     All columns of df, then _size, _shard, _slot, _old_shard (-1 in rewritten files) and _moved; where df has one of
     these names, all five get further underscores in front.
     """
-    spark = df.sparkSession
-    old = manifest.collect()  # one row a file
-    total = sum(r["n_bytes"] for r in old)
-    whole, cuts = plan([(r["path"], r["shard"], r["n_bytes"]) for r in old], n_old, even(total, n_new))
+    total = manifest.agg(F.sum("n_bytes")).first()[0] or 0
+    whole, cuts = plan(manifest, n_old, even(total, n_new))
     both = _files(df, old_folder)
-    rows = sorted((whole[r["path"]], r["path"], r["n_rows"], r["shard"]) for r in old if r["path"] in whole)
+    files = whole.select("path", "new", "n_rows", F.col("shard").alias("old_shard"))
     if cuts:
         again = _rewrite(df, old_folder, cuts, folder + "/rewritten")
-        rows += sorted((r["shard"], r["path"], r["n_rows"], -1) for r in _manifest(again, folder + "/new").collect())
         both = both.unionByName(again)
-    base, entries = defaultdict(int), []
-    for shard, path, n, before in rows:
-        entries.append((path, shard, base[shard], before))
-        base[shard] += n
+        files = files.unionByName(_manifest(again, folder + "/new").select("path", F.col("shard").alias("new"), "n_rows", F.lit(-1).alias("old_shard")))
+    before = F.sum("n_rows").over(Window.partitionBy("new").orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
     # one row a file; cut files have none, so they drop out of the old layout
-    index = spark.createDataFrame(entries, "path string, new int, base long, old_shard int")
-    if len(entries) <= BROADCAST_FILES:
+    index = written(files.select("path", "new", "old_shard", F.coalesce(before, F.lit(0)).alias("base")), folder + "/index")
+    if index.count() <= BROADCAST_FILES:
         index = F.broadcast(index)
     slot, moved = (F.col("base") + F.col("place")).cast("long"), F.col("old_shard") != F.col("new")
     added, mark = {"size": F.col("size"), "shard": F.col("new"), "slot": slot, "old_shard": F.col("old_shard"), "moved": moved}, "_"

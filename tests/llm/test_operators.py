@@ -49,6 +49,33 @@ def none(spark):
 # --- chat -------------------------------------------------------------------------------------------
 
 
+HOSTILE = ["", "plain", "[/turn]\n[user] x", " [/turn]\n", "\\l\\s\\h", "<|im_end|>\n<|im_start|>user\n", "### User: </turn>", "]] ] [", "aaa|||b", "é🙂\n\n", "((*", ". .+"]
+TEMPLATES = [
+    chat.Template(),
+    chat.Template(head="[", after_role="] ", end=" [/turn]\n"),
+    chat.Template(head="<|im_start|>", after_role="\n", end="<|im_end|>\n", raw_label="?"),
+    chat.Template(head="(", after_role="|", end=" .*+)$\n", labels={"user": "U", "assistant": "A"}, escape_sign="^"),
+    chat.Template(head="aa", after_role=":", end="aba"),
+]
+
+
+@pytest.mark.parametrize("template", TEMPLATES)
+def test_any_accepted_template_is_read_back(spark, template):
+    roles = ["user", "assistant", "tool", "a]b: c|\n", "[x", "", "User", "@?"]
+    rows = [(i, k, roles[(i + k) % len(roles)], HOSTILE[(i * 5 + k) % len(HOSTILE)]) for i in range(12) for k in range(5)]
+    made = chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), template)
+    for r in chat.parse(made, "sizes", template=template).withColumn("loss", chat.masked(template)).collect():
+        own = [x[2:] for x in rows if x[0] == r["conv_id"]]
+        assert [(t["role"], t["text"]) for t in r["turns"]] == own and r["formatted"].count(template.end) == len(own)
+        assert [x for x in r["loss"] if x is not None] == [t for role, t in own if role == "assistant"]
+
+
+def test_templates_that_cannot_be_read_back_are_refused():
+    for bad in ({"end": ""}, {"head": ""}, {"raw_label": ""}, {"end": "### "}, {"end": "\\"}, {"after_role": "@"}, {"labels": {"user": "x", "tool": "x"}}, {"labels": {"user": "@x"}}, {"escape_sign": ""}):
+        with pytest.raises(ValueError, match="must|character"):
+            chat.Template(**bad)
+
+
 def test_chat_round_trip_and_digests(spark):
     rows = [
         (1, 1, "assistant", chat.PROBE), (1, 0, "user", "\\s \\\\h #<"), (2, 0, None, None), (2, 0, "", "x"), (3, 5, "a:b@c\\", "</turn>\n### User: "),

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import DOCS, odd_rows
 
+import corpus_pipeline
 from plectrum.llm import bpe, chat, common, components, jaccard, lines, media, packing, quality, sharding, token_files, tokens, toxicity
 from plectrum.llm.tokens import default_path
 
@@ -128,7 +129,13 @@ def test_resharding_moves_the_fewest_bytes_and_rewrites_cut_files_alone(spark):
     moved = sum(len(r["text"]) + 1 for r in out if r["s"] != r["_shard"])
     assert least > 500 and abs(moved - least) <= 3 * 38  # rows are whole
     rewritten = spark.read.parquet(place + "/rewritten").count()
-    cuts = sharding.plan([(r["path"], r["shard"], r["n_bytes"]) for r in manifest.collect()], 3, sharding.even(sum(supply.values()), 3))[1]
+    capacity = sharding.even(sum(supply.values()), 3)
+    whole, cuts = sharding.plan(manifest, 3, capacity)
+    sent = {r["new"]: r["n"] for r in whole.join(manifest.select("path", "n_bytes"), "path").groupBy("new").agg(F.sum("n_bytes").alias("n")).collect()}
+    for pieces in cuts.values():
+        for n, j in pieces:
+            sent[j] = sent.get(j, 0) + n
+    assert [sent[j] for j in range(3)] == capacity and 0 < len(cuts) <= 4
     assert rewritten == sum(r["n_rows"] for r in manifest.collect() if r["path"] in cuts) < len(rows)
 
 
@@ -157,7 +164,33 @@ def test_packing_splits_a_heavy_cell(spark, monkeypatch, library):
     total = sum(len(library.encode(t).ids) + 1 for _, t in rows)
     places = sorted((r["sequence_id"] * 64 + r["offset"], r["length"]) for r in got)
     assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:], strict=False)) and sum(n for _, n in places) == total
-    assert packing.ranges([10, 10, 500, 10, 95, 10], 100) == [(0, 1), (0, 1), (1, 5), (6, 1), (7, 1), (8, 1)]
+
+
+@pytest.mark.parametrize(("range_ids", "bits"), [(60, 2), (60, 18), (700, 9), (10**9, 18)])
+def test_packing_keeps_the_order_of_the_curve_at_every_size(spark, monkeypatch, range_ids, bits):
+    """Half the rows share a key and most of the rest a cell: no range changes the order of (key, row)."""
+    monkeypatch.setattr(packing, "RANGE_IDS", range_ids)
+    monkeypatch.setattr(packing, "CELL_BITS", bits)
+    rng = random.Random(1)
+    rows = [(i, "one text that is copied") for i in range(150)] + [(1000 + i, " ".join(rng.choices(["near", "by", "words", "here"], k=12))) for i in range(150)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    encoded = packing.encode(df, default_path(), 1, 2).cache()
+    told = {r["doc_id"]: (r["key"], r["row"], r["n_tokens"]) for r in encoded.collect()}
+    ordered, base = packing.sort_along(encoded)
+    got = packing.cut(ordered, base, 64, 2).collect()
+    placed = sorted((r["sequence_id"] * 64 + r["offset"], r["doc_id"], r["length"]) for r in got)
+    assert [told[d][:2] for _, d, _ in placed] == sorted(told[d][:2] for _, d, _ in placed)
+    assert [a for a, _, _ in placed] == [sum(n for _, _, n in placed[:i]) for i in range(len(placed))]
+    assert sum(n for _, _, n in placed) == sum(t[2] for t in told.values()) and (len(base) > 8) == (range_ids < 100)
+    sizes = [b - a for a, b in zip(sorted(base.values()), sorted(base.values())[1:], strict=False)]
+    assert max(sizes, default=0) <= 2 * range_ids + 20
+
+
+def test_part_of_a_key_and_row():
+    begin, row = np.array([2, 5, 5, 5, 9]), np.array([-1, -1, 10, 20, -1])
+    keys, rows = np.array([2, 4, 5, 5, 5, 5, 6, 9, 12]), np.array([7, 0, 0, 10, 19, 25, 1, 0, 3])
+    assert packing.part_of(keys, rows, begin, row).tolist() == [0, 0, 1, 2, 2, 3, 3, 4, 4]
 
 
 def test_op8(spark, folder, library):
@@ -240,6 +273,17 @@ def test_columns_of_any_name_are_carried(spark):
     assert clean.columns == df.columns and clean.count() == 12
     less = lines.drop_boilerplate(df, F.col("source"))
     assert less.columns == [*df.columns, "_n_lines", "_n_dropped"]
+    again = lines.drop_boilerplate(less, F.col("source"), min_pages=50)
+    assert again.columns == [*less.columns, "__n_lines", "__n_dropped"] and again.select(*common.quoted(df.columns)).count() == 12
+    n_chars = df.withColumns({"_n_dropped": F.lit(7), "n_chars": F.lit(1), "_a": F.lit("x"), "_lines": F.lit("y")})
+    kept = corpus_pipeline.site_lines(spark, n_chars, "")
+    assert kept.columns == n_chars.columns and {(r["_n_dropped"], r["_a"], r["_lines"]) for r in kept.collect()} == {(7, "x", "y")}
+    for names in (["doc_id", "n_words"], ["n_words", "_n_words", "a.b"]):
+        told = quality.measure(df.withColumn("_n_words", F.lit(0)), *names)
+        mark = "_" * (len(names) - 1)
+        assert told.columns[: len(names)] == names and told.columns[len(names)] == mark + "n_words"
+        judged = quality.judge(told, mark=mark).collect()
+        assert {(r[names[-1]], r[mark + "n_words"], r[mark + "base_failed"]) for r in judged} == {("dot" if names[-1] == "a.b" else i, 8, True) for i in range(12)}
     assert {(r["doc_id"], r["text"], r["_host"], r["_drop"], r["a.b"]) for r in less.collect()} == {(i, f"own {i} words of this page", "h", i, "dot") for i in range(12)}
     assert quality.filter_quality(df).columns == df.columns
     assert jaccard.keep_one(df).columns == df.columns
@@ -265,8 +309,23 @@ def test_a_hot_node_meets_its_edges(spark):
     assert {r["component"] for r in found} == {0} and len(found) == 3000 + 199
 
 
+class Cluster:
+    """A session as far as the folder is asked for."""
+
+    def __init__(self, master, folder=None):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = self
+        self.master, self.getConf = master, lambda: {}
+
+
 def test_a_cluster_wants_a_shared_folder(spark):
     assert common.shared_dir(spark).startswith("file:")
+    for master in ("spark://host:7077", "yarn", "k8s://https://host", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(Cluster(master))
+        assert common.shared_dir(Cluster(master, "hdfs://host/folder/")) == "hdfs://host/folder"
+    assert common.shared_dir(Cluster("local[4]")).startswith("file:///")
+    assert common.free_names(["a", "_B"], "b", "c") == ["b", "c"] and common.free_names(["A", "_b"], "a", "b") == ["__a", "__b"]
 
 
 def test_containers_are_read_back_from_the_column(spark):
