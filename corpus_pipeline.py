@@ -51,7 +51,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a source repeats over its distinct documents go; n_chars follows the text."""
     clean = lines.drop_boilerplate(docs, F.col("source"), copies_once=True)
-    fresh = F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    dropped = F.col(clean.columns[-1])
+    fresh = F.when(dropped > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", fresh).select(*common.quoted(docs.columns))
 
 
