@@ -9,7 +9,7 @@ from plectrum.functions import language, spanish
 from plectrum.functions.fidelity import critical_tokens
 from plectrum.functions.text import fingerprint, log_fingerprint, normalized, units
 from plectrum.operators import chunks, metrics, navigation, plan, serving, tables
-from plectrum.plans import files, oracle, playback, reports, spoken
+from plectrum.plans import files, oracle, playback, reports, spoken, streams
 from plectrum.plans.shared import Query, events, table
 from plectrum.sources import html, markdown, text
 
@@ -299,7 +299,7 @@ _QUERIES: tuple[Query, ...] = (
 )
 
 
-_MODULES = (files, playback, reports, spoken)
+_MODULES = (files, playback, reports, spoken, streams)
 
 
 def queries() -> dict[str, Query]:

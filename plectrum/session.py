@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Settings that the plans in this package assume or profit from.  A cluster overrides the sizes.
@@ -24,3 +27,18 @@ def build_session(master: str | None = None, app: str = "plectrum", **conf: str)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one where it is unset and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_plectrum_folder", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not base:
+        base = spark._plectrum_folder = "file://" + tempfile.mkdtemp(prefix="plectrum-")
+    return base.rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one."""
+    return f"{shared_folder(spark)}/plectrum/{name}-{uuid.uuid4().hex}"
