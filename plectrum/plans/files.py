@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plectrum.sources import archives, formats, html, layout, markdown, wav
+from plectrum.session import fresh_folder
+from plectrum.sources import archives, folder, formats, html, layout, markdown, wav
 from plectrum.sources.text import decoded
 from plectrum.plans.shared import Registered, table
 
@@ -296,3 +297,27 @@ def markdown_made(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = markdown.markdown_blocks(docs.select("doc_id", source.alias("content")))
     return out.select("doc_id", F.col("ord").cast("long").alias("ord"), "type", "text", "level", "list_level")
+
+
+def _document_files(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as files: text, Markdown, one without an extension that begins like a page description, others."""
+    docs, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    name = F.concat(F.lit("d"), (k % 10).cast("string"), F.lit("/"), k.cast("string"), F.element_at(F.array(*map(F.lit, (".txt", ".MD", "", ".bin"))), (k % 4 + 1).cast("int")))
+    content = F.encode(F.concat(F.when(k % 8 == 2, "%PDF-").otherwise(""), F.coalesce("text", F.lit(""))), "UTF-8")
+    place = fresh_folder(spark, "documents")
+    folder.write_files(docs.select(name.alias("name"), content.alias("content")), place)
+    return place
+
+
+@query(
+    """
+with f as (select doc_id, case when doc_id % 8 = 2 then '%PDF-' else '' end || coalesce(text, '') as body from documents)
+select 'd' || doc_id % 10 || '/' || doc_id || (['.txt', '.MD', '', '.bin'])[doc_id % 4 + 1] as name, case doc_id % 4 when 0 then 'txt' when 1 then 'markdown' else 'pdf' end as format,
+  octet_length(encode(body)) as size, case when octet_length(encode(body)) = 0 then 'empty_file' when doc_id % 4 = 2 then 'unsupported_type' end as reject, sha256(body) as fingerprint
+from f where (doc_id % 4 < 2 or doc_id % 8 = 2) and octet_length(encode(body)) >= 600"""
+)
+def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written as files and read by the data source: those of a known format of 600 bytes and more, by pushed filters."""
+    found = folder.documents(spark, _document_files(spark, sf_dir)).where("format IS NOT NULL AND size >= 600")
+    name = F.concat_ws("/", F.slice(F.split("path", "/"), -2, 2))
+    return found.select(name.alias("name"), "format", "size", "reject", F.sha2("content", 256).alias("fingerprint"))
