@@ -2,40 +2,20 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plectrum.functions.spanish import let
-from plectrum.functions.text import normalized, rounded, word_tokens
+from plectrum.functions.text import normalized, rounded, units, word_tokens
+from plectrum.operators.ranks import at_ranks, percentiles
+from plectrum.operators.similar import similar_pairs
 
 
 def dice_pairs(left: DataFrame, right: DataFrame, least: float, digits: int = 4) -> DataFrame:
-    """(left_id, right_id, dice) of pairs at or above least, from tables (id, text).
-
-    Word counts meet word by word; sums are taken before pairs are formed.  Sizes bound the similarity: texts
-    are dealt to size classes, a word meets its own class and the two beside it, and no pair out of reach is formed.
-    Texts without a word have no pair here.
-    """
-    factor = math.log((2 - least) / least) * (1 + 1e-9) if least < 1 else 0.01  # a little wide, for sizes at its very edge
-    size_class = lambda n: F.floor(F.log(n.cast("double")) / factor)
-
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        words = df.select(F.col("id").alias(name), F.explode(word_tokens(F.coalesce("text", F.lit("")))).alias("word"))
-        each = words.groupBy(name, "word").agg(F.count(F.lit(1)).alias(f"n_{name}"))
-        size = df.select(F.col("id").alias(name), F.size(word_tokens(F.coalesce("text", F.lit("")))).cast("long").alias(f"size_{name}"))
-        return each.join(size.dropDuplicates([name]), name)
-
-    a, b = counted(left, "left_id"), counted(right, "right_id")
-    reach = 2 * F.least("size_left_id", "size_right_id") >= F.lit(least) * (F.col("size_left_id") + F.col("size_right_id"))
-    a = a.withColumn("class", size_class(F.col("size_left_id")))
-    near = F.array(*[size_class(F.col("size_right_id")) + k for k in (-1, 0, 1)])
-    met = a.join(b.withColumn("class", F.explode(near)), ["word", "class"]).where(reach)
-    total = met.groupBy("left_id", "right_id", "size_left_id", "size_right_id").agg(F.sum(F.least("n_left_id", "n_right_id")).alias("shared"))
-    dice = 2 * F.col("shared") / (F.col("size_left_id") + F.col("size_right_id"))
-    return total.where(dice >= least).select("left_id", "right_id", rounded(dice, digits).alias("dice"))
+    """(left_id, right_id, dice) of pairs at or above least, from tables (id, text); texts without a word have no pair here."""
+    found = similar_pairs(left, right, least)
+    return found.select("left_id", "right_id", rounded(F.col("dice"), digits).alias("dice"))
 
 
 def dice(a: Column, b: Column) -> Column:
@@ -96,10 +76,12 @@ def greedy_match(scores: DataFrame, least: float = 0.55) -> DataFrame:
 def upper_percentiles(df: DataFrame, value: str, ps: tuple[float, ...], *by: str) -> DataFrame:
     """by, p, value: sorted[min(n - 1, floor(n * p))] by counts of distinct values, so a group of many equal values is few rows.
 
-    Values are counted where they lie and only counts are shuffled and cumulated.
+    Values are counted where they lie and only counts are shuffled and cumulated; without groups see :mod:`ranks`.
     """
+    if not by:
+        return percentiles(df, {value: ps}).select("p", F.col("value").cast(df.schema[value].dataType).alias(value))
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    w = Window.partitionBy(*by)
     ranked = counted.withColumns({"_to": F.sum("_c").over(w.orderBy(value)), "_n": F.sum("_c").over(w)})
     each = ranked.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps])))
     at = F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.col("p")))
@@ -159,22 +141,26 @@ def balance(a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), rounded(F.greatest(a, b) / F.least(a, b), 2)).otherwise(F.lit(float("nan")))
 
 
-def stratified_sample(df: DataFrame, text: str, order: str, wanted: int) -> DataFrame:
-    """Systematic picks from short (<120), middle (<=260) and long texts, duplicates out, first wins.
+def stratified_sample(df: DataFrame, text: str, order: list[str], wanted: int) -> DataFrame:
+    """Systematic picks from short (<120), middle (<=260) and long texts, duplicates out, first wins; adds ``stratum``.
 
-    The feature is a sample: quotas are ceil(.3), ceil(.4) and the rest of wanted.
+    The feature is a sample: quotas are ceil(.3), ceil(.4) and the rest of wanted.  Texts travel as digests with the
+    number of their first row; ranks within a stratum come from counts by ranges, and only the picked rows are read again.
+    order: whole numbers that name a row, the first of them not null.
     """
-    from plectrum.functions.text import units
-
     size = units(F.col(text))
     label = F.when(size < 120, "short").when(size <= 260, "mid").otherwise("long")
-    rest = [c for c in df.columns if c != text]
-    first = df.groupBy(text).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), order).alias("_first"))
-    first = first.select(text, *[F.col("_first").getField(c).alias(c) for c in rest]).withColumn("stratum", label)
-    w = Window.partitionBy("stratum")
-    ranked = first.withColumns({"_i": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    place = F.struct(*[F.col(c).cast("long").alias(f"o{i}") for i, c in enumerate(order)])
+    first = df.where(F.col(text).isNotNull()).groupBy(F.sha2(text, 256).alias("_d"), label.alias("stratum")).agg(F.min(place).alias("_o"))
     short, mid = -(-3 * wanted // 10), -(-4 * wanted // 10)
-    quota = F.when(F.col("stratum") == "short", short).when(F.col("stratum") == "mid", mid).otherwise(max(0, wanted - short - mid))
-    q = F.least(quota, F.col("_n")).cast("int")
-    picks = F.transform(F.sequence(F.lit(0), F.greatest(q - 1, F.lit(0))), lambda i: F.floor(i * F.col("_n") / q))
-    return ranked.where((q > 0) & F.array_contains(picks, F.col("_i").cast("long"))).drop("_i", "_n")
+    quota = F.when(F.col("key") == "short", short).when(F.col("key") == "mid", mid).otherwise(max(0, wanted - short - mid))
+    q = F.least(quota, F.col("n")).cast("int")
+    spaced = F.when(q > 0, F.transform(F.sequence(F.lit(0), q - 1), lambda i: F.floor(i * F.col("n") / q))).otherwise(F.array().cast("array<long>"))
+    picked = at_ranks(first.select(F.col("stratum").alias("key"), F.col("_o.o0").alias("value"), F.col("_o").alias("tie"), F.lit(1).cast("long").alias("count")), spaced)
+    names = picked.select(F.col("key").alias("stratum"), *[F.col(f"tie.o{i}").alias(f"_o{i}") for i in range(len(order))])  # ``wanted`` rows at most
+    same = [F.col(c).cast("long").eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(order)]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    found = df.join(F.broadcast(names), on).where(label == F.col("stratum"))
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], "stratum").dropDuplicates(["stratum", *order])

@@ -153,8 +153,8 @@ def inflight_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = text.line_blocks(table(spark, sf_dir, "documents")).where("text <> ''").withColumn("place", F.struct("doc_id", "ord"))
-    return metrics.stratified_sample(lines, "text", "place", 40).select("stratum", "place.doc_id", F.col("place.ord").cast("long").alias("ord"), "text")
+    lines = text.line_blocks(table(spark, sf_dir, "documents")).where("text <> ''")
+    return metrics.stratified_sample(lines, "text", ["doc_id", "ord"], 40).select("stratum", "doc_id", F.col("ord").cast("long").alias("ord"), "text")
 
 
 def mock_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
