@@ -34,9 +34,13 @@ def rounded(x: Column, digits: int) -> Column:
     return F.floor(x * 10**digits + F.lit(0.5)) / 10**digits
 
 
+#: A word: a run of letters and numbers.
+WORD = r"[\p{L}\p{N}]+"
+
+
 def word_tokens(text: Column) -> Column:
     """Runs of letters and numbers of the lower-cased text."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
 
 def fingerprint(content: Column) -> Column:

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plectrum.functions.spanish import let
-from plectrum.functions.text import word_tokens
+from plectrum.functions.text import WORD, word_tokens
+from plectrum.session import fresh_folder
 
 #: Buckets that words are counted in: a broadcast of some megabytes at most.
 BUCKETS = 1 << 17
@@ -72,10 +73,31 @@ def records(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return df.select(*(by or []), "id", numbered_words(F.col("text")).alias("words")).where(F.size("words") > 0)
 
 
+def _sizes(df: DataFrame) -> DataFrame:
+    return df.select(F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD)).alias("n")).where("n > 0")
+
+
+def _ends(sizes: DataFrame) -> tuple[int, int]:
+    low, high = sizes.agg(F.min("n"), F.max("n")).first()
+    return (low, high) if high else (1, 0)
+
+
+def _kept(df: DataFrame, by: list[str], low: int, high: int, least: float) -> DataFrame:
+    """The records of texts whose size is within reach of the sizes from low to high, as a table: words are cut once."""
+    ratio = least / (2 - least)
+    n = F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD))
+    near = df.where((n > 0) & (n >= F.lit(low * ratio - 1)) & (n * F.lit(ratio) <= F.lit(high + 1)))
+    folder = fresh_folder(df.sparkSession, "word-records")
+    made = records(near, by)
+    made.write.parquet(folder)
+    return df.sparkSession.read.schema(made.schema).parquet(folder)
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, least: float, by: list[str] | None = None) -> DataFrame:
     """by, left_id, right_id, dice of the pairs at or above least (above 0), from tables by, id, text with one row an id; pairs agree in ``by``."""
     by = by or []
-    a, b = records(left, by), records(right, by)
+    a = _kept(left, by, *_ends(_sizes(right)), least)
+    b = _kept(right, by, *_ends(a.select(F.size("words").alias("n"))), least)
     pairs = meetings(a, b, least, by).distinct()
     full = pairs.join(a.select(*by, F.col("id").alias("left_id"), F.col("words").alias("x")), [*by, "left_id"]).join(b.select(*by, F.col("id").alias("right_id"), F.col("words").alias("y")), [*by, "right_id"])
     dice = 2 * F.size(F.array_intersect("x", "y")) / (F.size("x") + F.size("y"))
