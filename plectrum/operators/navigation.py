@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plectrum.functions.text import units
+from plectrum.operators.lookup import first_holding
 
 #: UTF-16 units of a heading that must stand in a chunk, and of a label in a block.
 HEADING_UNITS, LABEL_UNITS = 60, 30
@@ -71,19 +72,10 @@ def head_units(text: Column, n: int) -> Column:
 
 
 def labelled_headings(toc: DataFrame, blocks: DataFrame) -> DataFrame:
-    """blocks with type ``heading`` and level 1 where a contents label begins: the first block that has its first 30 units.
-
-    Only blocks that share the label's first word can hold it, so they meet by document and word first.
-    """
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), 0))
-    needle = head_units(F.lower("label"), LABEL_UNITS)
-    asked = toc.select("doc_id", "pos", needle.alias("needle")).where("needle <> ''")
-    # the last word of a cut label may be cut too, and a label's first word may end another word of the block
-    inner = F.regexp_extract_all("needle", F.lit(r"(?<=[^\p{L}\p{N}])[\p{L}\p{N}]+(?=[^\p{L}\p{N}])"), 0)
-    asked = asked.withColumn("word", F.coalesce(F.get(inner, F.lit(0)), F.lit("")))
-    whole = blocks.select("doc_id", "ord", F.lower("text").alias("low"), F.explode(F.array_union(words(F.col("text")), F.array(F.lit("")))).alias("word"))
-    hit = asked.join(whole, ["doc_id", "word"]).where(F.contains("low", F.col("needle")))
-    first = hit.groupBy("doc_id", "pos").agg(F.min("ord").alias("ord")).select("doc_id", "ord").distinct().withColumn("_head", F.lit(True))
+    """blocks with type ``heading`` and level 1 where a contents label begins: the first block that has its first 30 units."""
+    needles = toc.select("doc_id", F.col("pos").alias("key"), head_units(F.lower("label"), LABEL_UNITS).alias("needle"))
+    texts = blocks.select("doc_id", F.col("ord").alias("place"), F.lower("text").alias("text"))
+    first = first_holding(needles, texts).select("doc_id", F.col("place").alias("ord")).distinct().withColumn("_head", F.lit(True))
     out = blocks.join(first, ["doc_id", "ord"], "left")
     return out.withColumns({"type": F.when(F.col("_head"), "heading").otherwise(F.col("type")), "level": F.when(F.col("_head"), 1).otherwise(F.col("level"))}).drop("_head")
 
@@ -91,14 +83,14 @@ def labelled_headings(toc: DataFrame, blocks: DataFrame) -> DataFrame:
 def heading_chunks(headings: DataFrame, chunks: DataFrame) -> DataFrame:
     """doc_id, ord, title, chunk: the first chunk whose text has the heading's first 60 units, whatever the case.
 
-    headings: doc_id, ord, text; those found nowhere drop out.  A document's headings and chunks meet by its id.
+    headings: doc_id, ord, text; those found nowhere drop out.
     """
-    needle = F.lower(head_units(F.col("text"), HEADING_UNITS))
     title = F.trim(F.regexp_replace("text", "[:.]+$", ""))
+    needle = F.lower(head_units(F.col("text"), HEADING_UNITS))
     heads = headings.select("doc_id", "ord", title.alias("title"), needle.alias("needle")).where("title <> ''")
-    own = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk", F.lower("text").alias("low")))).alias("c"))
-    found = F.get(F.filter("c", lambda c: F.contains(c["low"], F.col("needle"))), F.lit(0))["chunk"]
-    return heads.join(own, "doc_id").select("doc_id", "ord", "title", found.alias("chunk")).where("chunk IS NOT NULL")
+    texts = chunks.select("doc_id", F.col("chunk").alias("place"), F.lower("text").alias("text"))
+    found = first_holding(heads.select("doc_id", F.col("ord").alias("key"), "needle"), texts)
+    return heads.join(found.select("doc_id", F.col("key").alias("ord"), F.col("place").alias("chunk")), ["doc_id", "ord"]).select("doc_id", "ord", "title", "chunk")
 
 
 def chapters(placed: DataFrame, documents: DataFrame) -> DataFrame:

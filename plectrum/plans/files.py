@@ -113,7 +113,7 @@ def audio_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-with t as (select conv_id, turn, coalesce(role, '') as role, least(length(coalesce(text, '')), 40) as n from conversations),
+with t as (select conv_id, turn, coalesce(role, '') as role, length(coalesce(text, '')) as n from conversations),
 l as (select conv_id as doc_id, turn, case role when 'system' then 16.0 else 10.0 end as h, 'w' || turn || ' of ' || role || ' ' || n as text, 100 + turn * 60 as y from t),
 k as (select doc_id, turn, h, text, y, row_number() over (partition by doc_id order by turn) - 1 as place from l),
 b as (select doc_id, arg_min(h, (-c, p)) as body from (select doc_id, h, count(*) as c, min(place) as p from k group by 1, 2) group by 1),
@@ -123,7 +123,7 @@ select doc_id, row_number() over (partition by doc_id order by kind, turn) - 1 a
 )
 def page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as lines of three items each, slightly out of line, and a small page number at the foot."""
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.least(F.length(F.coalesce("text", F.lit(""))), F.lit(40)).alias("n"))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
     high = F.when(F.col("role") == "system", 16.0).otherwise(10.0)
     y = (100 + F.col("turn") * 60).cast("double")
     item = lambda s, x, wide, dy: F.struct(s.alias("str"), F.lit(x).alias("x"), F.lit(wide).alias("width"), (y + dy).alias("y_top"), high.alias("height"))

@@ -140,21 +140,40 @@ def plan_stats_made(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "blocks_total", "segments", "muted_noise", "transformed", "unchanged", "rejected", hits("numbers").alias("numbers"), hits("pause").alias("pauses"), hits("currencies").alias("currencies"))
 
 
-@query(
-    """
-with recursive t as (select conv_id as doc_id, row_number() over (partition by conv_id order by turn) as i, turn, regexp_replace(trim(substr(coalesce(text, ''), 1, 150), chr(32) || chr(9) || chr(10) || chr(13)), '[^ -~]', 'x', 'g') as piece from conversations),
+_PACKED = """
+with recursive t as (select conv_id as doc_id, row_number() over (partition by conv_id order by turn) as i, turn, regexp_replace(trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)), '[^ -~]', 'x', 'g') as piece from conversations),
 h as (select *, row_number() over (partition by doc_id order by i) as r from t where piece <> ''),
 c as (
   select doc_id, r, 0 as chunk, length(piece) as n from h where r = 1 union all
-  select h.doc_id, h.r, case when c.n + length(piece) + 1 > 400 then c.chunk + 1 else c.chunk end, case when c.n + length(piece) + 1 > 400 then length(piece) else c.n + 1 + length(piece) end from c join h on h.doc_id = c.doc_id and h.r = c.r + 1)
-select doc_id, chunk, string_agg(piece, ' ' order by r) as text, string_agg('s' || turn, ',' order by r) as segments from c join h using (doc_id, r) group by 1, 2"""
-)
-def chunk_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The beginnings of a conversation's turns, packed into chunks of 400 units."""
+  select h.doc_id, h.r, case when c.n + length(piece) + 1 > 400 then c.chunk + 1 else c.chunk end, case when c.n + length(piece) + 1 > 400 then length(piece) else c.n + 1 + length(piece) end from c join h on h.doc_id = c.doc_id and h.r = c.r + 1)"""
+
+
+def _turn_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    piece = F.regexp_replace(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 150), r"^[ \t\n\r]+|[ \t\n\r]+\z", ""), "[^ -~]", "x")
-    parts = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.lit(0).alias("part"), _text("s", F.col("turn")).alias("segment_id"), piece.alias("piece")).where("piece <> ''")
-    return chunks.pack(parts, 400).select("doc_id", "chunk", "text", F.array_join("segment_ids", ",").alias("segments"))
+    piece = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"^[ \t\n\r]+|[ \t\n\r]+\z", ""), "[^ -~]", "x")
+    return turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.lit(0).alias("part"), _text("s", F.col("turn")).alias("segment_id"), piece.alias("piece")).where("piece <> ''")
+
+
+@query(_PACKED + "\nselect doc_id, chunk, string_agg(piece, ' ' order by r) as text, string_agg('s' || turn, ',' order by r) as segments from c join h using (doc_id, r) group by 1, 2")
+def chunk_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's turns, whole, packed into chunks of 400 units; a longer turn is a chunk of its own."""
+    return chunks.pack(_turn_pieces(spark, sf_dir), 400).select("doc_id", "chunk", "text", F.array_join("segment_ids", ",").alias("segments"))
+
+
+@query(
+    _PACKED.replace("length(piece)", "length(piece) + 150")
+    + """,
+k as (select doc_id, chunk, rtrim(string_agg(piece || repeat(' ', 150), ' ' order by r)) as text, string_agg('s' || turn, ',' order by r) as segments from c join h using (doc_id, r) group by 1, 2),
+m as (
+  select doc_id, chunk, 0 as merged, length(text) as n from k where chunk = 0 union all
+  select k.doc_id, k.chunk, case when j then m.merged else m.merged + 1 end, case when j then m.n + 1 + length(k.text) else length(k.text) end
+  from m join k on k.doc_id = m.doc_id and k.chunk = m.chunk + 1, lateral (select (m.n < 200 or length(k.text) < 200) and m.n + 1 + length(k.text) <= 400 as j))
+select doc_id, merged as chunk, string_agg(text, ' ' order by chunk) as text, string_agg(segments, ',' order by chunk) as segments from m join k using (doc_id, chunk) group by 1, 2"""
+)
+def chunk_turns_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with wide ends that fall away in a chunk: a chunk of under 200 units then joins the one before it where both fit."""
+    parts = _turn_pieces(spark, sf_dir).withColumn("piece", F.concat("piece", F.repeat(F.lit(" "), 150)))
+    return chunks.pack(parts, 400, 200).select("doc_id", "chunk", "text", F.array_join("segment_ids", ",").alias("segments"))
 
 
 @query(

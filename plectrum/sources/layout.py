@@ -2,15 +2,17 @@
 
 Items (doc_id, page, page_width, page_height, seq, str, x, y_top, width, height) are what a page reader
 gives; lengths are in points from the top left.  Grouping items into lines compares each with
-the first item of the line, so a page is folded in order, in Arrow batches; all else is native.
+the first item of the line, so sorted partitions are read through once, page after page; all else is native.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plectrum.functions.text import SPACE, blank, rounded, trim
 
@@ -28,20 +30,22 @@ def lines(items: DataFrame) -> DataFrame:
     A gap of more than .45 of the height before it becomes a blank.
     """
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y_top", "x", "seq"], kind="stable")
-        y, near = page["y_top"].to_numpy(), np.maximum(page["height"].to_numpy() * 0.5, 2)
-        number, anchor, at = np.zeros(len(page), "int64"), None, -1
-        for i in range(len(page)):
-            if anchor is None or abs(y[i] - anchor) > near[i]:
-                anchor, at = y[i], at + 1
-            number[i] = at
-        return page[["doc_id", "page", "page_height", "seq", "str", "x", "y_top", "width", "height"]].assign(line=number)
-
-    kind = items.schema["doc_id"].dataType.simpleString()
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, anchor, at = None, 0.0, 0
+        for batch in batches:
+            doc_, page_, y_, height_ = (batch.column(c).to_pylist() for c in ("doc_id", "page", "y_top", "height"))
+            out = []
+            for key, y, height in zip(zip(doc_, page_, strict=True), y_, height_, strict=True):
+                if key != page:
+                    page, anchor, at = key, y, 0
+                elif abs(y - anchor) > max(height * 0.5, 2):
+                    anchor, at = y, at + 1
+                out.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "line"])
+
     told = items.where(~blank(F.col("str"))).select("doc_id", "page", "page_height", "seq", "str", "x", "y_top", "width", "height")
-    schema = f"doc_id {kind}, page long, page_height double, seq long, str string, x double, y_top double, width double, height double, line long"
-    numbered = told.groupBy("doc_id", "page").applyInPandas(fold, schema)
+    ordered = told.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "y_top", "x", "seq")
+    numbered = ordered.mapInArrow(number, StructType([*told.schema.fields, *StructType.fromDDL("line long").fields]))
     # the order of the sort above decides between equal places
     run = F.sort_array(F.collect_list(F.struct("x", "y_top", "seq", "width", "height", "str")))
     own = numbered.groupBy("doc_id", "page", "line").agg(F.first("page_height").alias("page_height"), F.min("y_top").alias("y"), run.alias("r"))
