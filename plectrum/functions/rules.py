@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ class Rule:
     value_preserving: bool = True
     #: Records come by source in this order, as if each had been a rule of its own.
     in_order: tuple[str, ...] = ()
+    #: A hit holds one of these in lower case; none: any text may have a hit.
+    needs: tuple[str, ...] = ()
 
 
 def _group(hit: Column, pattern: str, k: int) -> Column:
@@ -135,36 +138,38 @@ _PERCENT, _POINTS = rf"({_GROUPED}(?:,\d+)?){S}*%", rf"(\d+(?:,\d+)?){S}*(?:p\.{
 
 # The rules' patterns; their order is part of the meaning.
 RULES: tuple[Rule, ...] = (
-    Rule("abbreviations", _ABBREVIATION, lambda h: F.try_element_at(es._map(dict(ABBREVIATIONS)), h), in_order=tuple(k for k, _ in ABBREVIATIONS)),
-    Rule("numero-sign", rf"(?iu)nº|núm(?=[.{SPACE}])", lambda h: F.lit("número")),
-    Rule("acronyms", rf"(?<![A-Za-z0-9])(?:{'|'.join(ACRONYMS)}|(?<=\()UE(?=\))){RIGHT}", lambda h: F.array_join(F.split(h, ""), " ")),
+    Rule("abbreviations", _ABBREVIATION, lambda h: F.try_element_at(es._map(dict(ABBREVIATIONS)), h), in_order=tuple(k for k, _ in ABBREVIATIONS), needs=("núm", "apdo", "pág", "párr.", "disp.", "ee.")),
+    Rule("numero-sign", rf"(?iu)nº|núm(?=[.{SPACE}])", lambda h: F.lit("número"), needs=("nº", "núm")),
+    Rule("acronyms", rf"(?<![A-Za-z0-9])(?:{'|'.join(ACRONYMS)}|(?<=\()UE(?=\))){RIGHT}", lambda h: F.array_join(F.split(h, ""), " "), needs=(*map(str.lower, ACRONYMS), "(ue)")),
     Rule(
         "provision-abbrev",
         rf"{_PROVISION}(?=\d)",
         lambda h: F.concat(F.try_element_at(es._map({"A": "disposición adicional", "T": "disposición transitoria", "F": "disposición final"}), F.upper(_group(h, f"^{_PROVISION}$", 1))), F.lit(" ")),
         digits=True,
+        needs=("d.",),
     ),
-    Rule("legal-references", _ARTICLE, _article, digits=True),
-    Rule("keyword-references", _KEYWORD + RIGHT, _keyword),
-    Rule("roman-headings", _ROMAN + f"(?={S})", _roman),
-    Rule("dates", rf"{LEFT}(\d{{1,2}})/(0?[1-9]|1[0-2])/(\d{{4}}){RIGHT}", _date(r"^(\d+)/(\d+)/(\d+)$", 1, 2, 3), digits=True),
-    Rule("dates-iso", rf"{LEFT}(\d{{4}})-(0[1-9]|1[0-2])-(3[01]|[12]\d|0[1-9])(?![0-9A-Za-z-])", _date(r"^(\d+)-(\d+)-(\d+)$", 3, 2, 1), digits=True),
-    Rule("dates-hyphen", rf"{LEFT}(\d{{1,2}})-(0?[1-9]|1[0-2])-(\d{{4}})(?![0-9A-Za-z-])", _date(r"^(\d+)-(\d+)-(\d+)$", 1, 2, 3), digits=True),
-    Rule("currencies", rf"(?<![0-9A-Za-z,.]){_MONEY}{RIGHT}", _money, digits=True),
-    Rule("percentages", LEFT + _PERCENT + RIGHT, lambda h: F.concat(es.decimal_words(_group(h, _PERCENT, 1)), F.lit(" por ciento")), digits=True),
-    Rule("basis-points", f"(?iu){LEFT}{_POINTS}{RIGHT}", lambda h: F.concat(es.decimal_words(_group(h, f"(?iu){_POINTS}", 1)), F.lit(" puntos básicos")), digits=True),
+    Rule("legal-references", _ARTICLE, _article, digits=True, needs=("art",)),
+    Rule("keyword-references", _KEYWORD + RIGHT, _keyword, needs=("apartado", "párrafo", "número", "secci", "regla", "cifra", "letra", "inciso")),
+    Rule("roman-headings", _ROMAN + f"(?={S})", _roman, needs=("anexo", "título", "capítulo", "secci", "disposici")),
+    Rule("dates", rf"{LEFT}(\d{{1,2}})/(0?[1-9]|1[0-2])/(\d{{4}}){RIGHT}", _date(r"^(\d+)/(\d+)/(\d+)$", 1, 2, 3), digits=True, needs=("/",)),
+    Rule("dates-iso", rf"{LEFT}(\d{{4}})-(0[1-9]|1[0-2])-(3[01]|[12]\d|0[1-9])(?![0-9A-Za-z-])", _date(r"^(\d+)-(\d+)-(\d+)$", 3, 2, 1), digits=True, needs=("-",)),
+    Rule("dates-hyphen", rf"{LEFT}(\d{{1,2}})-(0?[1-9]|1[0-2])-(\d{{4}})(?![0-9A-Za-z-])", _date(r"^(\d+)-(\d+)-(\d+)$", 1, 2, 3), digits=True, needs=("-",)),
+    Rule("currencies", rf"(?<![0-9A-Za-z,.]){_MONEY}{RIGHT}", _money, digits=True, needs=("€", "euro", "eur")),
+    Rule("percentages", LEFT + _PERCENT + RIGHT, lambda h: F.concat(es.decimal_words(_group(h, _PERCENT, 1)), F.lit(" por ciento")), digits=True, needs=("%",)),
+    Rule("basis-points", f"(?iu){LEFT}{_POINTS}{RIGHT}", lambda h: F.concat(es.decimal_words(_group(h, f"(?iu){_POINTS}", 1)), F.lit(" puntos básicos")), digits=True, needs=("p.", "bps", "pb")),
     Rule(
         "settlement",
         rf"{WORD_START}([TD])\+(\d{{1,2}})(?![A-Za-z0-9_])",
         lambda h: F.concat(F.substring(h, 1, 1), F.lit(" más "), es.integer_words(F.substring(h, 3, 2))),
         digits=True,
+        needs=("t+", "d+"),
     ),
-    Rule("ordinals", rf"(\d+)(\.?){S}?([ºª°]){RIGHT}", _ordinal, digits=True),
-    Rule("time", r"(?<![\d:])(\d{1,2}):([0-5]\d)(?![\d:])", _time, digits=True),
-    Rule("slash-citations", rf"{LEFT}([0-9]{{1,4}})/([0-9]{{1,4}}){RIGHT}", lambda h: F.replace(h, F.lit("/"), F.lit(", ")), digits=True),
-    Rule("ranges", LEFT + _RANGE + RIGHT, _range, digits=True),
-    Rule("lei", rf"(?iu){LEFT}[A-Z0-9]{{20}}{RIGHT}", es.spelled, gate=rf"(?i){WORD_START}LEI(?![A-Za-z0-9_])"),
-    Rule("isin", rf"(?iu){LEFT}[A-Z]{{2}}[A-Z0-9]{{10}}{RIGHT}", es.spelled, gate=rf"(?i){WORD_START}ISIN(?![A-Za-z0-9_])"),
+    Rule("ordinals", rf"(\d+)(\.?){S}?([ºª°]){RIGHT}", _ordinal, digits=True, needs=("º", "ª", "°")),
+    Rule("time", r"(?<![\d:])(\d{1,2}):([0-5]\d)(?![\d:])", _time, digits=True, needs=(":",)),
+    Rule("slash-citations", rf"{LEFT}([0-9]{{1,4}})/([0-9]{{1,4}}){RIGHT}", lambda h: F.replace(h, F.lit("/"), F.lit(", ")), digits=True, needs=("/",)),
+    Rule("ranges", LEFT + _RANGE + RIGHT, _range, digits=True, needs=("–", "—", "-")),
+    Rule("lei", rf"(?iu){LEFT}[A-Z0-9]{{20}}{RIGHT}", es.spelled, gate=rf"(?i){WORD_START}LEI(?![A-Za-z0-9_])", needs=("lei",)),
+    Rule("isin", rf"(?iu){LEFT}[A-Z]{{2}}[A-Z0-9]{{10}}{RIGHT}", es.spelled, gate=rf"(?i){WORD_START}ISIN(?![A-Za-z0-9_])", needs=("isin",)),
     Rule("numbers", rf"(?<![0-9A-Za-z.])[0-9]+(?:\.[0-9]{{3}})*(?:,[0-9]+)?{RIGHT}(?!\.[0-9])", es.decimal_words, digits=True),
 )
 RULE_IDS = tuple(dict.fromkeys(r.id for r in RULES))
@@ -182,15 +187,50 @@ def _record(rule: Rule) -> Callable[[Column, Column], Column]:
     return lambda hit, new: F.struct(F.lit(rule.id).alias("rule"), hit.alias("source"), new.alias("replacement"))
 
 
-def _step(rule: Rule, state: Column) -> Column:
-    """The state (spoken, records, digits) after one rule."""
+#: Characters whose lower case is not what a pattern without regard to case takes them for.
+_ODD_CASE = ("ſ", "ı", "\u212a", "İ")
+
+
+def _may_fire(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """For each rule whether an unchanged text can have a hit at all: by substrings of its lower case, found without patterns."""
+
+    def of(low: Column) -> Column:
+        odd = F.contains(text, F.lit(_ODD_CASE[0]))
+        for c in _ODD_CASE[1:]:
+            odd = odd | F.contains(text, F.lit(c))
+
+        def each(strange: Column) -> Column:
+            told = []
+            for rule in rules:
+                can = F.lit(not rule.needs)
+                for literal in rule.needs:
+                    can = can | F.contains(low, F.lit(literal))
+                told.append(can | strange)
+            return F.array(*told)
+
+        return es.let(odd, each)
+
+    return es.let(F.lower(text), of)
+
+
+def _start(text: Column, rules: tuple[Rule, ...]) -> Column:
+    own = F.coalesce(text, F.lit(""))
+    return F.struct(own.alias("spoken"), F.array().cast(RECORD).alias("records"), own.rlike("[0-9]").alias("digits"), _may_fire(own, rules).alias("may"))
+
+
+def _step(rule: Rule, place: int, state: Column) -> Column:
+    """The state (spoken, records, digits, may) after one rule, the place-th of its chain.
+
+    Until a rule has changed the text, rules that cannot fire on it are passed over; what a rule writes may be a hit of
+    any later one.
+    """
 
     def on(before: Column) -> Column:
         hits = F.regexp_extract_all(before["spoken"], F.lit(rule.pattern), 0)
-        if rule.digits:
-            hits = F.when(before["digits"], hits)
         if rule.gate:
             hits = F.when(before["spoken"].rlike(rule.gate), hits)
+        able = (F.size(before["records"]) > 0) | F.get(before["may"], F.lit(place))
+        hits = F.when(before["digits"] & able if rule.digits else able, hits)
 
         def rewritten(found: Column) -> Column:
             def after(new: Column) -> Column:
@@ -199,7 +239,7 @@ def _step(rule: Rule, state: Column) -> Column:
                 told = F.filter(F.zip_with(found, new, _record(rule)), lambda x: x["source"] != x["replacement"])
                 if rule.in_order:
                     told = es.let(told, lambda all_told: F.concat(*[F.filter(all_told, _from(source)) for source in rule.in_order]))
-                return F.struct(spoken.alias("spoken"), F.concat(before["records"], told).alias("records"), before["digits"].alias("digits"))
+                return F.struct(spoken.alias("spoken"), F.concat(before["records"], told).alias("records"), before["digits"].alias("digits"), before["may"].alias("may"))
 
             return F.when(F.size(found) > 0, es.let(F.transform(found, _changed(rule)), after)).otherwise(before)
 
@@ -213,27 +253,39 @@ def fenced(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
 
 
+#: Chains by gateway and rules: building one takes seconds of calls to the JVM, and it is the same for every table.
+_CHAINS: dict[tuple[int, tuple[Rule, ...]], list[Column]] = {}
+
+
+def _chain(rules: tuple[Rule, ...]) -> list[Column]:
+    """The rules as expressions over ``_state``, a few in each."""
+    key = (id(SparkContext._gateway), rules)
+    if key not in _CHAINS:
+        made = []
+        for at in range(0, len(rules), RULES_A_STEP):
+            state = F.col("_state")
+            for place, rule in enumerate(rules[at : at + RULES_A_STEP], at):
+                state = _step(rule, place, state)
+            made.append(state)
+        _CHAINS[key] = made
+    return _CHAINS[key]
+
+
 def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with ``spoken`` (the rewritten text) and ``records`` (rule, source, replacement in order).
 
-    Values are bound, not repeated, so the plan grows linearly with the rules, and a text without a hit of
-    a rule passes it with one regex scan.  A few rules share each projection: one projection a rule takes
+    Values are bound, not repeated, so the plan grows linearly with the rules.  One look at the lower-cased text tells
+    which rules can fire on it, and an untouched text passes all others unread.  A few rules share each projection: one projection a rule takes
     long to analyse, one for all nests too deep.
     """
     keep = [F.col(f"`{c}`") for c in df.columns]
-    own = F.coalesce(F.col(text), F.lit(""))
-    state = F.struct(own.alias("spoken"), F.array().cast(RECORD).alias("records"), own.rlike("[0-9]").alias("digits"))
-    step = df.select(*keep, state.alias("_state"))
-    for at in range(0, len(rules), RULES_A_STEP):
-        state = F.col("_state")
-        for rule in rules[at : at + RULES_A_STEP]:
-            state = _step(rule, state)
+    step = df.select(*keep, _start(F.col(text), rules).alias("_state"))
+    for state in _chain(rules):
         step = step.select(*keep, state.alias("_state"))
     return fenced(step.select(*keep, F.col("_state.spoken").alias("spoken"), F.col("_state.records").alias("records")))
 
 
 def rewritten(rule_id: str, text: Column) -> Column:
     """The text after one rule alone."""
-    own = F.coalesce(text, F.lit(""))
-    state = F.struct(own.alias("spoken"), F.array().cast(RECORD).alias("records"), own.rlike("[0-9]").alias("digits"))
-    return _step(next(r for r in RULES if r.id == rule_id), state)["spoken"]
+    rule = next(r for r in RULES if r.id == rule_id)
+    return _step(rule, 0, _start(text, (rule,)))["spoken"]

@@ -11,8 +11,12 @@ SPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u
 LEFT, RIGHT, WORD_START = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])", "(?<![A-Za-z0-9_])"
 
 
+#: The same characters one by one.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def blank(text: Column) -> Column:

@@ -52,12 +52,12 @@ def split_long(text: str, limit: int) -> list[str]:
 def pieces(segments: DataFrame, limit: int) -> DataFrame:
     """Heard segments as pieces in order: doc_id, ord, part, segment_id, piece.  Only long texts see Python."""
 
-    def split(texts: pd.Series) -> pd.Series:
+    def split(texts: "pd.Series") -> "pd.Series":
         return texts.map(lambda t: split_long(t, limit))
 
     heard = segments.where(~F.col("muted") & ~blank(F.col("spoken_text")))
     long = units(F.col("spoken_text")) > limit
-    cut = F.pandas_udf(split, "array<string>", F.PandasUDFType.SCALAR)
+    cut = F.pandas_udf(split, "array<string>")
     short = heard.where(~long).select("doc_id", "ord", F.lit(0).alias("part"), "segment_id", F.col("spoken_text").alias("piece"))
     rest = heard.where(long).select("doc_id", "ord", "segment_id", cut("spoken_text").alias("p"))
     return short.unionByName(rest.select("doc_id", "ord", F.posexplode("p").alias("part", "piece"), "segment_id"))

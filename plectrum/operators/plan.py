@@ -26,9 +26,9 @@ def repeated_chrome(blocks: DataFrame) -> DataFrame:
     Only the first block of a text on a page is marked, headings and list items never.  All windows
     share the document key, so one exchange serves them.
     """
-    key = normalized(F.col("text"))
-    fit = ~F.col("type").isin("page-header", "page-footer") & (key != "") & (units(F.col("text")) <= 120)
-    step = blocks.withColumn("_key", F.when(fit, key))
+    short = (F.length("text") <= 120) & (units(F.col("text")) <= 120)  # the keys of long texts are never made
+    fit = ~F.col("type").isin("page-header", "page-footer") & short
+    step = blocks.withColumn("_key", F.when(fit, F.nullif(normalized(F.col("text")), F.lit(""))))
     doc, same = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "_key")
     step = step.withColumn("_pages", F.size(F.collect_set("page").over(doc)))
     step = step.withColumn("_first", F.row_number().over(Window.partitionBy("doc_id", "_key", "page").orderBy("ord")) == 1)

@@ -14,7 +14,8 @@ from plectrum.plans.shared import Query, events, table
 from plectrum.sources import html, markdown, text
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # a plan needs a document's blocks together: dealt out first, all its work has the cluster's width and no second exchange
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
     return plan.listen_plan(text.text_blocks(docs))
 
 

@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plectrum.functions.text import SPACE
+from plectrum.functions.text import trim
 
 
 def _western(raw: pd.Series) -> pd.Series:
@@ -34,8 +34,7 @@ def text_blocks(docs: DataFrame) -> DataFrame:
 
     Blank lines number the runs of the others, within each document's own array: nothing is shuffled.
     """
-    line = lambda x: F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", "")
-    lines = docs.select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n"), line).alias("l"))
+    lines = docs.select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n"), trim).alias("l"))
     # starts of runs: a line with text after none
     starts = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: (F.get("l", i) != "") & ((i == 0) | (F.get("l", i - 1) == "")))
     ends = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: (F.get("l", i) != "") & ((i == F.size("l") - 1) | (F.get("l", i + 1) == "")))
