@@ -3,6 +3,9 @@
 Texts become the sets of their words and word beginnings (hashed).  Labelled texts with identity
 terms are copied with the term swapped for another of its group, and the training adds the mean
 squared score change between a text and its swaps, so that a mere group mention moves no score.
+The terms are those of a list and those learned from the sample: words that the model weighs, yet whose toxic texts are
+explained by the rest of the text, since in texts that are otherwise harmless the word is harmless too.  A learned term
+is swapped for the word that stands in the most similar context and weighs nothing, and for the most similar other term.
 Features are those that tell the classes apart in a bounded sample of labelled rows (SAMPLE rows and SAMPLE_BYTES a
 class, by hash order, never a held-out row); the weights are a ridge logistic fit by Newton steps.
 
@@ -140,22 +143,124 @@ def swaps(texts: list[str]) -> tuple[list[int], list[str]]:
     return source, out
 
 
-def fit(texts: list[str], toxic: list[int], penalty: float = SWAP_PENALTY, ridge: float = RIDGE) -> Model:
-    """Newton steps on logistic loss + ridge + penalty times the mean squared score change by swaps."""
-    y = np.array(toxic, "f8")
-    share = float(y.mean()) if len(y) else 0.0
-    if not 0 < share < 1:
-        return Model(np.zeros(0, "u8"), np.zeros(0), 30.0 if share else -30.0)
-    column = pa.array(texts, pa.string())
-    features = select(column, y)
-    dense = lambda t: _dense(pa.array(t, pa.string()), features)
-    x = np.hstack([_dense(column, features), np.ones((len(texts), 1))])
-    source, swapped = swaps(texts)
+#: A learned term stands in so many sampled texts at least, LOW_TEXTS of which are harmless but for the term.
+TERM_TEXTS, LOW_TEXTS, HARMLESS = 8, 5, 0.2
+#: Words without weight that may take a term's place, and buckets of the words around a word.
+STAND_INS, CONTEXT = 4000, 512
+
+
+@dataclass
+class Mentions:
+    """Where weighed words stand: a row a text, word and feature.
+
+    ``alone``: no other word of the text has the feature, and the word carries it in half of its texts at least: a beginning
+    that many words share is no one word's own.
+    """
+
+    text: np.ndarray
+    word: np.ndarray
+    feature: np.ndarray
+    alone: np.ndarray
+
+
+def mentions(texts: pa.Array, features: np.ndarray) -> Mentions:
+    """The words of the texts that have a feature, by themselves or by a beginning."""
+    rows = [np.zeros((0, 3), "u8")]
+    for place, run in _runs(texts):
+        words = Words(run, LETTERS)
+        whole, told = words.hashes(), []
+        for h in _hashed(words):
+            at = np.minimum(np.searchsorted(features, h), max(len(features) - 1, 0))
+            hit = np.flatnonzero(features[at] == h) if len(features) else np.zeros(0, "i8")
+            told.append(np.stack([(words.owner[hit] + place).astype("u8"), whole[hit], at[hit].astype("u8")], 1))
+        rows.append(np.unique(np.concatenate(told), axis=0))
+    text, word, feature = np.concatenate(rows).T
+    text, feature = text.astype("i8"), feature.astype("i8")
+    key = text * max(len(features), 1) + feature
+    _, back, n = np.unique(key, return_inverse=True, return_counts=True)
+    _, carried, by_word = np.unique(np.stack([word, feature.astype("u8")], 1), axis=0, return_inverse=True, return_counts=True)
+    texts_of = np.bincount(np.unique(key) % max(len(features), 1), minlength=max(len(features), 1))
+    return Mentions(text, word, feature, (n[back] == 1) & (2 * by_word[carried.ravel()] >= texts_of[feature]))
+
+
+def learned_terms(found: Mentions, weights: np.ndarray, logits: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The hashes of weighed words whose toxic texts are explained by their context."""
+    if not len(found.text):
+        return np.zeros(0, "u8")
+    pairs, at = np.unique(np.stack([found.word, found.text.astype("u8")], 1), axis=0, return_inverse=True)
+    own = np.bincount(at.ravel(), np.where(found.alone, weights[found.feature], 0), len(pairs))
+    text = pairs[:, 1].astype("i8")
+    rest = 1 / (1 + np.exp(-np.clip(logits[text] - own, -30, 30)))  # the score without the word
+    words, of = np.unique(pairs[:, 0], return_inverse=True)
+    low = rest < HARMLESS
+    count = lambda w: np.bincount(of.ravel(), w, len(words))
+    n, n_low, bad, due = count(np.ones(len(of.ravel()))), count(low.astype("f8")), count(low * toxic[text]), count(low * rest)
+    return words[(count(np.abs(own)) > 0) & (n >= TERM_TEXTS) & (n_low >= LOW_TEXTS) & (bad <= due + 1)]
+
+
+def contexts(texts: pa.Array, terms: np.ndarray, weighed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms and the most frequent words without weight (sorted hashes), and the words within two of each, by bucket."""
+    seen, n = np.zeros(0, "u8"), np.zeros(0)
+    for _, run in _runs(texts):
+        own, c = np.unique(Words(run, LETTERS).hashes(), return_counts=True)
+        seen, at = np.unique(np.concatenate([seen, own]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, c]), len(seen))
+    free = np.flatnonzero(~np.isin(seen, weighed) & (n >= TERM_TEXTS))
+    top = seen[free[np.lexsort((seen[free], -n[free]))][:STAND_INS]]
+    words = np.unique(np.concatenate([terms, top]))
+    around = np.zeros(len(words) * CONTEXT)
+    for _, run in _runs(texts):
+        w = Words(run, LETTERS)
+        h = w.hashes()
+        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+        here = np.flatnonzero(words[at] == h)
+        for step in (-2, -1, 1, 2):
+            there = here + step
+            fine = (there >= 0) & (there < len(h))
+            fine[fine] = w.owner[there[fine]] == w.owner[here[fine]]
+            around += np.bincount(at[here[fine]] * CONTEXT + (h[there[fine]] % np.uint64(CONTEXT)).astype("i8"), minlength=len(around))
+    profile = np.sqrt(around.reshape(len(words), CONTEXT))
+    profile /= np.maximum(np.linalg.norm(profile, axis=1, keepdims=True), 1e-12)
+    profile -= profile.mean(axis=0)
+    return words, profile / np.maximum(np.linalg.norm(profile, axis=1, keepdims=True), 1e-12)
+
+
+def learned_changes(texts: pa.Array, found: Mentions, terms: np.ndarray, size: int) -> np.ndarray:
+    """The change of the features of each text when a learned term in it is swapped, a row a swap."""
+    if not len(terms):
+        return np.zeros((0, size))
+    words, profile = contexts(texts, terms, np.unique(found.word))
+    is_term = np.isin(words, terms)
+    if is_term.all():  # no word without weight is frequent enough
+        return np.zeros((0, size))
+    near = profile[np.searchsorted(words, terms)] @ profile[is_term].T
+    near[np.arange(len(terms)), np.searchsorted(words[is_term], terms)] = -2.0
+    twin = words[is_term][near.argmax(axis=1)]
+    gives = {int(t): found.feature[found.word == t] for t in terms}
+    held: dict[int, np.ndarray] = {}
+    order = np.argsort(found.text, kind="stable")
+    cut = np.flatnonzero(np.diff(found.text[order])) + 1
+    for part in np.split(order, cut):
+        held[int(found.text[part[0]])] = np.unique(found.feature[part])
+    rows = []
+    mine = np.isin(found.word, terms)
+    pairs = np.unique(np.stack([found.text[mine].astype("u8"), found.word[mine]], 1), axis=0)
+    for text, term in pairs.tolist():
+        here = (found.text == text) & (found.word == term) & found.alone
+        gone = np.zeros(size)
+        gone[found.feature[here]] = -1  # swapped for a word without weight
+        rows.append(gone)
+        other = int(twin[np.searchsorted(terms, np.uint64(term))])
+        if len(terms) > 1 and other != term:
+            new = gone.copy()
+            new[np.setdiff1d(np.unique(gives[other]), np.setdiff1d(held[text], found.feature[here]))] += 1
+            rows.append(new)
+    return np.array(rows).reshape(-1, size)
+
+
+def _newton(x: np.ndarray, y: np.ndarray, pull: np.ndarray, ridge: float) -> np.ndarray:
+    """The weights, the intercept last, of logistic loss + ridge + the quadratic form ``pull``."""
     size = x.shape[1]
-    pull = np.zeros((size, size))
-    if swapped:
-        change = np.hstack([dense(swapped), np.ones((len(swapped), 1))]) - x[source]
-        pull = change.T @ change * (2 * penalty / len(swapped)) * len(texts) / 100
     keep = np.diag(np.append(np.full(size - 1, ridge), 1e-3))
     w = np.zeros(size)
     for _ in range(25):
@@ -166,6 +271,32 @@ def fit(texts: list[str], toxic: list[int], penalty: float = SWAP_PENALTY, ridge
         w -= step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-6:
             break
+    return w
+
+
+def fit(texts: list[str], toxic: list[int], penalty: float = SWAP_PENALTY, ridge: float = RIDGE) -> Model:
+    """Newton steps on logistic loss + ridge + penalty times the mean squared score change by swaps.
+
+    A first fit without the penalty tells which words are weighed, hence the learned terms.
+    """
+    y = np.array(toxic, "f8")
+    share = float(y.mean()) if len(y) else 0.0
+    if not 0 < share < 1:
+        return Model(np.zeros(0, "u8"), np.zeros(0), 30.0 if share else -30.0)
+    column = pa.array(texts, pa.string())
+    features = select(column, y)
+    x = np.hstack([_dense(column, features), np.ones((len(texts), 1))])
+    size = x.shape[1]
+    w = _newton(x, y, np.zeros((size, size)), ridge)
+    if penalty:
+        source, swapped = swaps(texts)
+        found = mentions(column, features)
+        changes = [learned_changes(column, found, learned_terms(found, w[:-1], x @ w, y), size)]
+        if swapped:
+            changes.append(np.hstack([_dense(pa.array(swapped, pa.string()), features), np.ones((len(swapped), 1))]) - x[source])
+        change = np.concatenate(changes)
+        if len(change):
+            w = _newton(x, y, change.T @ change * (2 * penalty / len(change)) * len(texts) / 100, ridge)
     return Model(features, w[:-1], float(w[-1]))
 
 
