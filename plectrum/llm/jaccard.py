@@ -341,6 +341,16 @@ def join(df: DataFrame, percent: int = PERCENT, budget: int = BUDGET, words: int
     )
 
 
+def with_group(df: DataFrame, name: str, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """df and, under a name that it must not have, the component of each row that is linked with another; null for the others."""
+    spark = df.sparkSession
+    grouped = written(join(df, percent, words=words), scratch(spark, "jaccard-groups"))
+    told = grouped.where("n_links > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias(name))
+    if told.count() <= BROADCAST_IDS:
+        told = F.broadcast(told)
+    return df.join(told, "doc_id", "left").select(*quoted([*df.columns, name]))
+
+
 def keep_one(df: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """df with one row of each group of linked rows: the least doc_id stays; rows outside groups all stay."""
     spark = df.sparkSession

@@ -6,9 +6,9 @@ For each host, the pages that contain a line are divided by the host's pages; a
 distinct lines.  A host has at most (lines a page) / ratio boilerplate lines; they meet the pages as
 one list a host, broadcast if their measured size is small, else by a join that AQE splits by skew.
 
-By default every row is a page, as in the SQL of op7.  With ``copies_once`` equal texts of a host count as one
-page, in the line counts and in the host's pages, so a text is not boilerplate for being copied often; the
-pipeline uses this, since the stage that drops copies comes after.  Near copies are pages of their own.
+By default every row is a page, as in the SQL of op7.  With ``page`` rows of a host that agree in it count as one
+page, in the line counts and in the host's pages, so a text is not boilerplate for being copied often.  The
+pipeline gives the group of near copies of each row, since the stage that drops them comes after.
 
 Edge cases: a null host is a host of its own; a null text stays null and counts as a page; blank lines are
 kept and never counted; a line repeated in one page counts once there; repeated rows are
@@ -44,22 +44,23 @@ def _real(line: Column) -> Column:
     return line.rlike(f"[^{SPACE_CLASS[1:]}")
 
 
-def boilerplate(df: DataFrame, host: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, text: str = "text", copies_once: bool = False) -> DataFrame:
+def boilerplate(df: DataFrame, host: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, text: str = "text", page: Column | None = None) -> DataFrame:
     """host, line hash (a, b), pages with the line, pages of the host; lines above the ratio only."""
-    pages = df.select(F.coalesce(host, F.lit("\0")).alias("_host"), F.col(*quoted([text])).alias("_text"))
+    told = [] if page is None else [page.alias("_page")]
+    pages = df.select(F.coalesce(host, F.lit("\0")).alias("_host"), F.col(*quoted([text])).alias("_text"), *told)
     lines = F.array_distinct(F.filter(F.split("_text", "\n"), _real))
-    page = [_hash(F.col("_text")).alias("_page")] if copies_once else []
-    counted = pages.select("_host", *page, F.explode(F.transform(lines, _hash)).alias("_h"))
-    if copies_once:
-        counted, pages = counted.distinct(), pages.select("_host", *page).distinct()
+    own = [] if page is None else ["_page"]
+    counted = pages.select("_host", *own, F.explode(F.transform(lines, _hash)).alias("_h"))
+    if own:
+        counted, pages = counted.distinct(), pages.select("_host", "_page").distinct()
     counted = counted.groupBy("_host", "_h.a", "_h.b").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages)
     totals = pages.groupBy("_host").agg(F.count(F.lit(1)).alias("host_pages"))
     return counted.join(totals, "_host").where(F.col("n_pages") > F.lit(ratio) * F.col("host_pages"))
 
 
-def drop_boilerplate(df: DataFrame, host: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, text: str = "text", copies_once: bool = False) -> DataFrame:
+def drop_boilerplate(df: DataFrame, host: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, text: str = "text", page: Column | None = None) -> DataFrame:
     """df with its texts less their host's boilerplate lines, plus _n_lines and _n_dropped."""
-    found = written(boilerplate(df, host, ratio, min_pages, text, copies_once), scratch(df.sparkSession, "boilerplate"))
+    found = written(boilerplate(df, host, ratio, min_pages, text, page), scratch(df.sparkSession, "boilerplate"))
     lists = found.groupBy("_host").agg(F.collect_list("a").alias("_a"), F.collect_list("b").alias("_b"))
     size = found.count() * 16 + found.select("_host").distinct().count() * 64
     if size <= BROADCAST_BYTES:

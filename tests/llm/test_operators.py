@@ -274,9 +274,9 @@ def test_lines_of_copies_are_not_boilerplate(spark):
     page = "a clean page\nof two lines"
     rows = [(i, page, "s") for i in range(8)] + [(i, f"banner\nown {i}", "s") for i in range(8, 40)] + [(40, page, "t")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
-    got = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(df, F.col("source"), copies_once=True).collect()}
+    got = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(df, F.col("source"), page=F.col("text")).collect()}
     assert got == {i: page if i < 8 or i == 40 else f"own {i}" for i in range(41)}
-    counts = {(r["n_pages"], r["host_pages"]) for r in lines.boilerplate(df, F.col("source"), copies_once=True).collect()}
+    counts = {(r["n_pages"], r["host_pages"]) for r in lines.boilerplate(df, F.col("source"), page=F.col("text")).collect()}
     assert counts == {(32, 33)}
 
 
