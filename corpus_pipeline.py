@@ -49,8 +49,14 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_own_scratch
 def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a source repeats over its distinct documents go; n_chars follows the text."""
-    clean = lines.drop_boilerplate(docs, F.col("source"), copies_once=True)
+    """Lines that a source repeats over its documents go; n_chars follows the text.
+
+    A group of near copies, as the next stage finds them, counts as one document: what only copies of one text share is that
+    text, which shall reach the next stage whole.  Sources of fewer than MIN_PAGES pages lose no line: a share of so few says nothing.
+    """
+    group = common.free_names(docs.columns, "_group")[0]
+    page = F.struct(group, F.when(F.col(group).isNull(), F.struct(F.xxhash64("text"), F.xxhash64(F.lit("second"), "text"))))
+    clean = lines.drop_boilerplate(jaccard.with_group(docs, group), F.col("source"), page=page)
     dropped = F.col(clean.columns[-1])
     fresh = F.when(dropped > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", fresh).select(*common.quoted(docs.columns))
