@@ -69,22 +69,26 @@ def gap_after(last_word: Column, is_last: Column) -> Column:
 
 
 def timeline(chunks: DataFrame, by: str, order: str, duration: str, gap: str) -> DataFrame:
-    """Each chunk's start: durations and gaps before it."""
+    """Each chunk's start: durations and gaps before it; an unknown duration (null) counts nothing but its gap."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return chunks.withColumn("start", F.coalesce(F.sum(F.col(duration) + F.col(gap)).over(w), F.lit(0.0)))
+    return chunks.withColumn("start", F.coalesce(F.sum(F.coalesce(F.col(duration), F.lit(0.0)) + F.col(gap)).over(w), F.lit(0.0)))
 
 
 def chunk_at(points: DataFrame, chunks: DataFrame, by: str, time: str, start: str, length: Column) -> DataFrame:
     """The chunk whose [start, start + length) holds each time; times past the end have none.
 
-    A backward as-of lookup: points and starts are merged in time order and the last start is carried
-    forward, one sort by key instead of a range join.
+    A chunk of unknown length (null) holds all times from its start on, so none after it is reached.  A backward as-of
+    lookup: points and starts are merged in time order and the last start is carried forward, one sort by key instead of
+    a range join.
     """
-    marks = chunks.select(by, F.col(start).alias("_t"), F.struct(F.col(start).alias("start"), length.alias("length"), "chunk").alias("_c"), F.lit(None).cast(points.schema.simpleString()).alias("_p"))
+    earlier = Window.partitionBy(by).orderBy(start, "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max(length.isNull()).over(earlier), F.lit(False))
+    known = chunks.withColumn("_past", reached).where(~F.col("_past")).drop("_past")
+    marks = known.select(by, F.col(start).alias("_t"), F.struct(F.col(start).alias("start"), length.alias("length"), "chunk").alias("_c"), F.lit(None).cast(points.schema.simpleString()).alias("_p"))
     asks = points.select(by, F.col(time).alias("_t"), F.lit(None).cast(marks.schema["_c"].dataType.simpleString()).alias("_c"), F.struct(*points.columns).alias("_p"))
     w = Window.partitionBy(by).orderBy("_t", F.col("_p").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     merged = marks.unionByName(asks).withColumn("_last", F.last("_c", ignorenulls=True).over(w)).where(F.col("_p").isNotNull())
-    inside = F.col("_t") < F.col("_last.start") + F.col("_last.length")
+    inside = F.col("_last").isNotNull() & (F.col("_last.length").isNull() | (F.col("_t") < F.col("_last.start") + F.col("_last.length")))
     return merged.select("_p.*", F.when(inside, F.col("_last.chunk")).alias("chunk"))
 
 
@@ -103,11 +107,11 @@ def cache_misses(wanted: DataFrame, cached: DataFrame, key: str, order: str) ->
 def engine_for(requests: DataFrame, engines: DataFrame) -> DataFrame:
     """requests (wanted, ...) plus engine: the wanted one if it is there, else the first in place.
 
-    engines: place, engine; a handful of rows.
+    engines: place, engine.  Spark broadcasts them if it measures them small.
     """
     first = engines.agg(F.min_by("engine", "place").alias("_first"))
     there = engines.select(F.col("engine").alias("wanted"), F.col("engine").alias("_there"))
-    hit = requests.join(F.broadcast(there), "wanted", "left").join(F.broadcast(first))
+    hit = requests.join(there, "wanted", "left").join(F.broadcast(first))  # one row
     return hit.withColumn("engine", F.coalesce("_there", "_first")).drop("_there", "_first")
 
 

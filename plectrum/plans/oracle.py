@@ -58,7 +58,7 @@ def _cardinal(n: str) -> str:
     return f"(case when {n} < 1000 then {below_thousand(n)} when {r} = 0 then {head} else {head} || ' ' || {below_thousand(r)} end)"
 
 
-_LISTEN_TIMED = f"""
+LISTEN_TIMED = f"""
 timed as (
   select *, least(3.0, greatest(1.0, {_units("coalesce(text, '')")} * 0.01::double)) as duration,
     case when lead(turn) over (partition by conv_id order by turn) is null then 0.0::double
@@ -175,11 +175,11 @@ select o_orderkey, case when w = 0 then {_cardinal('d')} || ' céntimos' else {_
         "toc_asof": """
 with toc as (select conv_id, turn as pos, role || '-' || turn as label from conversations where turn % 3 = 1)
 select c.conv_id, c.turn, arg_max(t.label, t.pos) as label from conversations c left join toc t on t.conv_id = c.conv_id and t.pos <= c.turn group by 1, 2""",
-        "timeline_prefix": f"with {_LISTEN_TIMED} select conv_id, turn, gap, floor(start * 1000 + 0.5) / 1000 as start from placed",
+        "timeline_prefix": f"with {LISTEN_TIMED} select conv_id, turn, gap, floor(start * 1000 + 0.5) / 1000 as start from placed",
         "active_chunk": f"""
-with {_LISTEN_TIMED}, p as (select conv_id, turn * 2.5::double as time from conversations)
+with {LISTEN_TIMED}, p as (select conv_id, turn * 2.5::double as time from conversations)
 select p.conv_id, p.time, min(x.turn) as chunk from p left join placed x on x.conv_id = p.conv_id and x.start <= p.time and p.time < x.start + (x.duration + x.gap) group by 1, 2""",
-        "timeline_totals": f"with {_LISTEN_TIMED} select conv_id, floor(sum(duration + gap) * 1000 + 0.5) / 1000 as seconds, count(*) as chunks from timed group by 1",
+        "timeline_totals": f"with {LISTEN_TIMED} select conv_id, floor(sum(duration + gap) * 1000 + 0.5) / 1000 as seconds, count(*) as chunks from timed group by 1",
         "chapters": """
 with h as (select conv_id, turn, floor((turn - 1) / 4)::bigint as start from conversations where role = 'user'),
 l as (select *, lag(start) over (partition by conv_id order by start, turn) as b from h)

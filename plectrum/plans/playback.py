@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plectrum.functions import requests
 from plectrum.functions.text import units
 from plectrum.operators import navigation, serving
+from plectrum.plans import oracle
 from plectrum.plans.shared import CAPITALS_SQL, Registered, capitals, events, table
 
 REGISTERED = Registered()
@@ -447,3 +448,27 @@ def rebuffers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often and how long playing stood still because the next audio came after the horizon."""
     log = events(spark, sf_dir).withColumn("length_ms", F.floor(F.col("value") * 20_000).cast("long"))
     return serving.rebuffers(log, "user_id", F.struct("ms", "event_id"), "ms", "length_ms")
+
+
+@query(
+    f"""
+with {oracle.LISTEN_TIMED}, u as (select conv_id, turn, case when turn % 5 <> 3 then duration end as duration, gap from timed),
+x as (select *, coalesce(sum(coalesce(duration, 0) + gap) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as start from u),
+p as (select conv_id, turn * 2.5::double as time from conversations)
+select p.conv_id, p.time, min(x.turn) as chunk from p left join x on x.conv_id = p.conv_id and (x.duration is null or p.time < x.start + (x.duration + x.gap)) group by 1, 2"""
+)
+def active_chunk_partly_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turn that sounds at each time while every fifth turn is still to come: the first of these holds all times after its start."""
+    from plectrum.plans.registry import timed
+
+    known = timed(spark, sf_dir).withColumn("duration", F.when(F.col("turn") % 5 != 3, F.col("duration"))).drop("start")
+    placed = serving.timeline(known, "conv_id", "turn", "duration", "gap").withColumn("chunk", F.col("turn"))
+    points = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") * 2.5).alias("time"))
+    return serving.chunk_at(points, placed, "conv_id", "time", "start", F.col("duration") + F.col("gap")).distinct()
+
+
+@query("select doc_id, substr(text, 1, 30) as p30, substr(text, 1, 60) as p60, substr(text, 1, 80) as p80, substr(sha256(text), 1, 12) as key12 from documents")
+def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortened texts and key of reports and logs."""
+    shown = [navigation.head_units(F.col("text"), n).alias(f"p{n}") for n in (30, 60, 80)]
+    return table(spark, sf_dir, "documents").select("doc_id", *shown, F.substring(F.sha2("text", 256), 1, 12).alias("key12"))

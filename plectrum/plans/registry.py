@@ -212,7 +212,7 @@ def toc_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return navigation.active_entry(turns, toc).select(F.col("doc_id").alias("conv_id"), F.col("ord").alias("turn"), "label")
 
 
-def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     n = units(F.coalesce("text", F.lit("")))
     last = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")).isNull()
@@ -224,23 +224,23 @@ def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timeline_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _timed(spark, sf_dir).select("conv_id", "turn", "gap", metrics.rounded(F.col("start"), 3).alias("start"))
+    return timed(spark, sf_dir).select("conv_id", "turn", "gap", metrics.rounded(F.col("start"), 3).alias("start"))
 
 
 def active_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which turn sounds at each two and a half seconds of a conversation."""
-    timed = _timed(spark, sf_dir).withColumn("chunk", F.col("turn"))
+    placed = timed(spark, sf_dir).withColumn("chunk", F.col("turn"))
     points = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") * 2.5).alias("time"))
-    return serving.chunk_at(points, timed, "conv_id", "time", "start", F.col("duration") + F.col("gap"))
+    return serving.chunk_at(points, placed, "conv_id", "time", "start", F.col("duration") + F.col("gap"))
 
 
 def timeline_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _timed(spark, sf_dir).groupBy("conv_id").agg(metrics.rounded(F.sum(F.col("duration") + F.col("gap")), 3).alias("seconds"), F.count(F.lit(1)).alias("chunks"))
+    return timed(spark, sf_dir).groupBy("conv_id").agg(metrics.rounded(F.sum(F.col("duration") + F.col("gap")), 3).alias("seconds"), F.count(F.lit(1)).alias("chunks"))
 
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as headings; two on one half-minute are one chapter."""
-    timed = _timed(spark, sf_dir).join(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"])
+    timed = timed(spark, sf_dir).join(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"])
     heads = timed.where("role = 'user'").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.floor((F.col("turn") - 1) / 4).cast("long").alias("start"))
     return serving.chapters(heads).select(F.col("doc_id").alias("conv_id"), F.col("ord").alias("turn"), "start")
 
