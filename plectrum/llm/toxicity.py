@@ -147,6 +147,8 @@ def swaps(texts: list[str]) -> tuple[list[int], list[str]]:
 TERM_TEXTS, LOW_TEXTS, HARMLESS = 8, 5, 0.2
 #: Words without weight that may take a term's place, and buckets of the words around a word.
 STAND_INS, CONTEXT = 4000, 512
+#: Swaps held at a time.
+SWAPS_HELD = 256
 
 
 @dataclass
@@ -165,36 +167,43 @@ class Mentions:
 
 def mentions(texts: pa.Array, features: np.ndarray) -> Mentions:
     """The words of the texts that have a feature, by themselves or by a beginning."""
-    rows = [np.zeros((0, 3), "u8")]
+    held: list[list[np.ndarray]] = [[np.zeros(0, "i4")], [np.zeros(0, "u8")], [np.zeros(0, "i2")]]
     for place, run in _runs(texts):
         words = Words(run, LETTERS)
-        whole, told = words.hashes(), []
+        whole, own = words.hashes(), []
         for h in _hashed(words):
             at = np.minimum(np.searchsorted(features, h), max(len(features) - 1, 0))
             hit = np.flatnonzero(features[at] == h) if len(features) else np.zeros(0, "i8")
-            told.append(np.stack([(words.owner[hit] + place).astype("u8"), whole[hit], at[hit].astype("u8")], 1))
-        rows.append(np.unique(np.concatenate(told), axis=0))
-    text, word, feature = np.concatenate(rows).T
-    text, feature = text.astype("i8"), feature.astype("i8")
-    key = text * max(len(features), 1) + feature
-    _, back, n = np.unique(key, return_inverse=True, return_counts=True)
-    _, carried, by_word = np.unique(np.stack([word, feature.astype("u8")], 1), axis=0, return_inverse=True, return_counts=True)
-    texts_of = np.bincount(np.unique(key) % max(len(features), 1), minlength=max(len(features), 1))
-    return Mentions(text, word, feature, (n[back] == 1) & (2 * by_word[carried.ravel()] >= texts_of[feature]))
+            own.append((words.owner[hit] + place, whole[hit], at[hit]))
+        text, word, feature = (np.concatenate(c) for c in zip(*own, strict=True))
+        order = np.lexsort((feature, word, text))
+        text, word, feature = text[order], word[order], feature[order]
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (word[1:] != word[:-1]) | (feature[1:] != feature[:-1])
+        for c, values in zip(held, (text[new], word[new], feature[new]), strict=True):
+            c.append(values.astype(c[0].dtype))
+    text, word, feature = (np.concatenate(c) for c in held)
+    text, feature, n = text.astype("i8"), feature.astype("i8"), max(len(features), 1)
+    _, back, sharers = np.unique(text * n + feature, return_inverse=True, return_counts=True)
+    _, number = np.unique(word, return_inverse=True)
+    _, carried, by_word = np.unique(number * n + feature, return_inverse=True, return_counts=True)
+    texts_of = np.bincount(np.unique(text * n + feature) % n, minlength=n)
+    return Mentions(text, word, feature, (sharers[back] == 1) & (2 * by_word[carried] >= texts_of[feature]))
 
 
 def learned_terms(found: Mentions, weights: np.ndarray, logits: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """The hashes of weighed words whose toxic texts are explained by their context."""
     if not len(found.text):
         return np.zeros(0, "u8")
-    pairs, at = np.unique(np.stack([found.word, found.text.astype("u8")], 1), axis=0, return_inverse=True)
-    own = np.bincount(at.ravel(), np.where(found.alone, weights[found.feature], 0), len(pairs))
-    text = pairs[:, 1].astype("i8")
+    words, number = np.unique(found.word, return_inverse=True)
+    most = int(found.text.max()) + 1
+    pairs, at = np.unique(number * most + found.text, return_inverse=True)
+    own = np.bincount(at, np.where(found.alone, weights[found.feature], 0), len(pairs))
+    text, of = pairs % most, pairs // most
     rest = 1 / (1 + np.exp(-np.clip(logits[text] - own, -30, 30)))  # the score without the word
-    words, of = np.unique(pairs[:, 0], return_inverse=True)
     low = rest < HARMLESS
-    count = lambda w: np.bincount(of.ravel(), w, len(words))
-    n, n_low, bad, due = count(np.ones(len(of.ravel()))), count(low.astype("f8")), count(low * toxic[text]), count(low * rest)
+    count = lambda w: np.bincount(of, w, len(words))
+    n, n_low, bad, due = count(np.ones(len(of))), count(low.astype("f8")), count(low * toxic[text]), count(low * rest)
     return words[(count(np.abs(own)) > 0) & (n >= TERM_TEXTS) & (n_low >= LOW_TEXTS) & (bad <= due + 1)]
 
 
@@ -225,37 +234,38 @@ def contexts(texts: pa.Array, terms: np.ndarray, weighed: np.ndarray) -> tuple[n
     return words, profile / np.maximum(np.linalg.norm(profile, axis=1, keepdims=True), 1e-12)
 
 
-def learned_changes(texts: pa.Array, found: Mentions, terms: np.ndarray, size: int) -> np.ndarray:
-    """The change of the features of each text when a learned term in it is swapped, a row a swap."""
+def learned_changes(texts: pa.Array, found: Mentions, terms: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The changes of the features of texts when a learned term in them is swapped, a row a swap, some hundred at a time."""
     if not len(terms):
-        return np.zeros((0, size))
+        return
     words, profile = contexts(texts, terms, np.unique(found.word))
     is_term = np.isin(words, terms)
     if is_term.all():  # no word without weight is frequent enough
-        return np.zeros((0, size))
+        return
     near = profile[np.searchsorted(words, terms)] @ profile[is_term].T
     near[np.arange(len(terms)), np.searchsorted(words[is_term], terms)] = -2.0
-    twin = words[is_term][near.argmax(axis=1)]
-    gives = {int(t): found.feature[found.word == t] for t in terms}
-    held: dict[int, np.ndarray] = {}
-    order = np.argsort(found.text, kind="stable")
-    cut = np.flatnonzero(np.diff(found.text[order])) + 1
-    for part in np.split(order, cut):
-        held[int(found.text[part[0]])] = np.unique(found.feature[part])
-    rows = []
-    mine = np.isin(found.word, terms)
-    pairs = np.unique(np.stack([found.text[mine].astype("u8"), found.word[mine]], 1), axis=0)
-    for text, term in pairs.tolist():
-        here = (found.text == text) & (found.word == term) & found.alone
-        gone = np.zeros(size)
-        gone[found.feature[here]] = -1  # swapped for a word without weight
-        rows.append(gone)
-        other = int(twin[np.searchsorted(terms, np.uint64(term))])
-        if len(terms) > 1 and other != term:
+    twin = np.searchsorted(terms, words[is_term][near.argmax(axis=1)])
+    mine = np.flatnonzero(np.isin(found.word, terms))
+    place = np.searchsorted(terms, found.word[mine])
+    pairs, of = np.unique(found.text[mine] * len(terms) + place, return_inverse=True)
+    gives = [np.unique(found.feature[mine[place == i]]) for i in range(len(terms))]
+    by_text = np.argsort(found.text, kind="stable")
+    first = np.searchsorted(found.text[by_text], pairs // len(terms), "left")
+    last = np.searchsorted(found.text[by_text], pairs // len(terms), "right")
+    for low in range(0, len(pairs), SWAPS_HELD):
+        some = np.arange(low, min(low + SWAPS_HELD, len(pairs)))
+        gone = np.zeros((len(some), size), "f4")  # swapped for a word without weight
+        hit = (of >= low) & (of < low + len(some)) & found.alone[mine]
+        gone[of[hit] - low, found.feature[mine[hit]]] = -1
+        yield gone
+        if len(terms) > 1:
             new = gone.copy()
-            new[np.setdiff1d(np.unique(gives[other]), np.setdiff1d(held[text], found.feature[here]))] += 1
-            rows.append(new)
-    return np.array(rows).reshape(-1, size)
+            for i in some:
+                fresh = gives[twin[pairs[i] % len(terms)]]
+                held = found.feature[by_text[first[i] : last[i]]]
+                row = new[i - low]
+                row[fresh[~np.isin(fresh, held[row[held] == 0])]] += 1
+            yield new
 
 
 def _newton(x: np.ndarray, y: np.ndarray, pull: np.ndarray, ridge: float) -> np.ndarray:
@@ -291,12 +301,15 @@ def fit(texts: list[str], toxic: list[int], penalty: float = SWAP_PENALTY, ridge
     if penalty:
         source, swapped = swaps(texts)
         found = mentions(column, features)
-        changes = [learned_changes(column, found, learned_terms(found, w[:-1], x @ w, y), size)]
+        pull, n = np.zeros((size, size)), len(swapped)
         if swapped:
-            changes.append(np.hstack([_dense(pa.array(swapped, pa.string()), features), np.ones((len(swapped), 1))]) - x[source])
-        change = np.concatenate(changes)
-        if len(change):
-            w = _newton(x, y, change.T @ change * (2 * penalty / len(change)) * len(texts) / 100, ridge)
+            change = np.hstack([_dense(pa.array(swapped, pa.string()), features), np.ones((len(swapped), 1))]) - x[source]
+            pull += change.T @ change
+        for change in learned_changes(column, found, learned_terms(found, w[:-1], x @ w, y), size):
+            pull += change.T @ change
+            n += len(change)
+        if n:
+            w = _newton(x, y, pull * (2 * penalty / n) * len(texts) / 100, ridge)
     return Model(features, w[:-1], float(w[-1]))
 
 
