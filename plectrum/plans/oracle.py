@@ -15,16 +15,16 @@ _MONTHS = "enero febrero marzo abril mayo junio julio agosto septiembre octubre
 _FIRST_TO_SEVENTH = "primero segundo tercero cuarto quinto sexto séptimo".split()
 
 #: ECMAScript white space for RE2.
-_WS = r"[\t\n\x0B\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+WS = r"[\t\n\x0B\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 _EVENTS = "(select event_id, user_id, event_type, value, epoch_us(ts) // 1000 as ms from events)"
 
 
-def _trim(x: str) -> str:
-    return f"regexp_replace(regexp_replace({x}, '^{_WS}+', ''), '{_WS}+$', '')"
+def trim(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{WS}+', ''), '{WS}+$', '')"
 
 
 def _norm(x: str) -> str:
-    return f"trim(regexp_replace(lower({x}), '{_WS}+', ' ', 'g'))"
+    return f"trim(regexp_replace(lower({x}), '{WS}+', ' ', 'g'))"
 
 
 def _units(x: str) -> str:
@@ -69,11 +69,11 @@ placed as (
   select *, coalesce(sum(duration + gap) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as start from timed)
 """
 
-_BLOCKS = f"""
+BLOCKS = f"""
 lines as (
   select doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n')) as raw,
          generate_subscripts(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n'), 1) as i from documents),
-clean as (select doc_id, i, {_trim("raw")} as l from lines),
+clean as (select doc_id, i, {trim("raw")} as l from lines),
 runs as (select *, sum(case when l = '' then 1 else 0 end) over (partition by doc_id order by i) as g from clean),
 blocks as (
   select doc_id, min(i) as a, max(i) as b, string_agg(l, ' ' order by i) as text from runs where l <> '' group by doc_id, g),
@@ -87,8 +87,8 @@ _DICE = r"""
 
 def sql() -> dict[str, str]:
     return {
-        "doc_blocks_txt": f"with {_BLOCKS} select doc_id, ord, text, 'L' || a || '-L' || b as source_ref from numbered",
-        "literal_plan": f"with {_BLOCKS} select doc_id, 's' || ord as segment_id, text as spoken_text, false as muted from numbered",
+        "doc_blocks_txt": f"with {BLOCKS} select doc_id, ord, text, 'L' || a || '-L' || b as source_ref from numbered",
+        "literal_plan": f"with {BLOCKS} select doc_id, 's' || ord as segment_id, text as spoken_text, false as muted from numbered",
         "chrome_repeat": """
 with b as (select user_id as doc_id, ms // 86400000 as page, event_id as ord, event_type = 'error' as head,
   ' ' || upper(event_type[1]) || event_type[2:] || '  ' || ms // 3600000 % 8 as text, event_type || ' ' || ms // 3600000 % 8 as key from (select *, epoch_us(ts) // 1000 as ms from events)),
@@ -99,11 +99,11 @@ select doc_id, ord, text from firsts semi join wide using (doc_id, key) where r
         "page_number_lines": """
 select l_returnflag, count(*) as n from lineitem where l_partkey % 5 in (0, 1, 2) group by 1""",
         "lang_detect": f"""
-with h as (select doc_id, lang, ' ' || regexp_replace(lower(coalesce(text, '')), '{_WS}+', ' ', 'g') || ' ' as hay from documents),
+with h as (select doc_id, lang, ' ' || regexp_replace(lower(coalesce(text, '')), '{WS}+', ' ', 'g') || ' ' as hay from documents),
 s as (select doc_id, lang, {_score(language.SPANISH)} + 2 * (length(hay) - length(regexp_replace(hay, '[{language.ACCENTS}]', '', 'g'))) as es_score, {_score(language.ENGLISH)} as en_score from h)
 select doc_id, lang, es_score, en_score, case when es_score >= en_score then 'es' else 'en' end as detected from s""",
         "lang_confusion": f"""
-with h as (select lang, ' ' || regexp_replace(lower(coalesce(text, '')), '{_WS}+', ' ', 'g') || ' ' as hay from documents),
+with h as (select lang, ' ' || regexp_replace(lower(coalesce(text, '')), '{WS}+', ' ', 'g') || ' ' as hay from documents),
 s as (select lang, {_score(language.SPANISH)} + 2 * (length(hay) - length(regexp_replace(hay, '[{language.ACCENTS}]', '', 'g'))) as a, {_score(language.ENGLISH)} as b from h)
 select lang, case when a >= b then 'es' else 'en' end as detected, count(*) as n from s group by 1, 2""",
         "dice_benchmark": f"""

@@ -13,7 +13,7 @@ from plectrum.plans import files, oracle, playback, reports, spoken, streams
 from plectrum.plans.shared import Query, events, table
 from plectrum.sources import html, markdown, text
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a plan needs a document's blocks together: dealt out first, all its work has the cluster's width and no second exchange
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
     return plan.listen_plan(text.text_blocks(docs))
@@ -21,11 +21,11 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listen plan of every document as speech chunks."""
-    return chunks.plan_chunks(_segments(spark, sf_dir), 400, 200)
+    return chunks.plan_chunks(segments(spark, sf_dir), 400, 200)
 
 
 def listen_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(spark, sf_dir).select(
+    return segments(spark, sf_dir).select(
         "doc_id", "segment_id", "spoken_text", F.size("transformations").cast("long").alias("n_transformations"), "fidelity_ok", "fallback", "muted"
     )
 
@@ -36,7 +36,7 @@ def literal_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = plan.plan_stats(_segments(spark, sf_dir))
+    out = plan.plan_stats(segments(spark, sf_dir))
     return out.withColumn("rule_hits", F.to_json("rule_hits"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plectrum.functions.fidelity import critical_tokens, fidelity
+from plectrum.functions import rules
 from plectrum.functions.rules import rewritten
 from plectrum.operators import chunks, evaluation, metrics, plan
 from plectrum.plans import oracle
@@ -277,3 +278,59 @@ def long_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.rtrim(F.repeat(F.lit("xxxxxxxxx "), (k % 150 + 1).cast("int")))
     segments = _orders(spark, sf_dir).select(k.alias("doc_id"), F.lit(0).alias("ord"), F.lit("s0").alias("segment_id"), said.alias("spoken_text"), F.lit(False).alias("muted"))
     return chunks.plan_chunks(segments, 400).select("doc_id", "chunk", "text")
+
+
+#: What a text must hold for any rule to fire on it, for both engines: of its lower case, and as it is.
+_TOUCHED = (
+    r"[0-9]|núm|nº|apdo|pág|párr\.|disp\.|ee\.|\(ue\)|apartado|párrafo|número|secci|regla|cifra|letra|inciso|anexo|título|capítulo|disposici|(^|[^a-z0-9_])(lei|isin)([^a-z0-9_]|$)",
+    "|".join(rules.ACRONYMS),
+)
+_UNTOUCHED_SQL = f"not regexp_matches(lower({{0}}), '{_TOUCHED[0]}') and not regexp_matches({{0}}, '{_TOUCHED[1]}')"
+
+
+def _untouched(text: Column) -> Column:
+    return ~F.lower(text).rlike(_TOUCHED[0]) & ~text.rlike(_TOUCHED[1])
+
+
+@query(
+    f"""
+with {oracle.BLOCKS} select doc_id, 's' || ord as segment_id, text as spoken_text, 0 as n_transformations, true as fidelity_ok, false as fallback, false as muted from numbered where {_UNTOUCHED_SQL.format("text")}"""
+)
+def listen_plan_untouched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the listen plan of all documents the segments that hold nothing a rule could take up: they are read as they stand."""
+    from plectrum.plans.registry import segments
+
+    out = segments(spark, sf_dir).where(_untouched(F.col("source_text")))
+    return out.select("doc_id", "segment_id", "spoken_text", F.size("transformations").cast("long").alias("n_transformations"), "fidelity_ok", "fallback", "muted")
+
+
+def _cut_after(mark: str) -> str:
+    """SQL: where a window ``w`` is cut by the last of its marks that white space and more follow; null without one."""
+    hit = f"'{mark}{oracle.WS}+{oracle.WS.replace('[', '[^', 1)}'"
+    tail = f"length(list_extract(regexp_split_to_array(w, {hit}), -1)) + length(list_extract(regexp_extract_all(w, {hit}), -1))"
+    return f"case when regexp_matches(w, {hit}) then length(w) - ({tail}) + 2 end"
+
+
+@query(
+    f"""
+with recursive {oracle.BLOCKS},
+plain as (select doc_id from numbered group by 1 having bool_and({_UNTOUCHED_SQL.format("text")})),
+cut as (
+  select doc_id, ord, 0 as part, null::varchar as piece, text as rest from numbered semi join plain using (doc_id) union all
+  select doc_id, ord, part + 1, {oracle.trim("substr(rest, 1, cut_at::int)")}, regexp_replace(substr(rest, cut_at::int + 1), '^{oracle.WS}+', '')
+  from (select *, coalesce({_cut_after("[.!?…]")}, {_cut_after(",")}, nullif(length(regexp_extract(w, '(?s)^(.* )', 1)), 0), 400) as cut_at
+    from (select *, substr(rest, 1, 400) as w from cut where length(rest) > 400))),
+parts as (select doc_id, ord, part, piece from cut where piece <> '' union all select doc_id, ord, part + 1, rest from cut where length(rest) <= 400 and rest <> ''),
+h as (select *, row_number() over (partition by doc_id order by ord, part) as r from parts),
+c as (
+  select doc_id, r, 0 as chunk, length(piece) as n from h where r = 1 union all
+  select h.doc_id, h.r, case when c.n + length(piece) + 1 > 400 then c.chunk + 1 else c.chunk end, case when c.n + length(piece) + 1 > 400 then length(piece) else c.n + 1 + length(piece) end from c join h on h.doc_id = c.doc_id and h.r = c.r + 1)
+select doc_id, chunk, string_agg(piece, ' ' order by r) as text from c join h using (doc_id, r) group by 1, 2"""
+)
+def chunk_pack_untouched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the chunks of all documents those of documents that no rule could take up: whole texts, split and packed."""
+    from plectrum.plans.registry import segments
+
+    plan_ = segments(spark, sf_dir)
+    plain = plan_.groupBy("doc_id").agg(F.every(_untouched(F.col("source_text"))).alias("_plain")).where("_plain").select("doc_id")
+    return chunks.plan_chunks(plan_, 400, 200).join(plain, "doc_id", "left_semi").select("doc_id", "chunk", "text")
