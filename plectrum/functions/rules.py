@@ -179,14 +179,6 @@ def _changed(rule: Rule) -> Callable[[Column], Column]:
     return lambda hit: F.coalesce(rule.replace(hit), hit)
 
 
-def _from(source: str) -> Callable[[Column], Column]:
-    return lambda x: x["source"] == source
-
-
-def _record(rule: Rule) -> Callable[[Column, Column], Column]:
-    return lambda hit, new: F.struct(F.lit(rule.id).alias("rule"), hit.alias("source"), new.alias("replacement"))
-
-
 #: Characters whose lower case is not what a pattern without regard to case takes them for.
 _ODD_CASE = ("ſ", "ı", "\u212a", "İ")
 
@@ -218,34 +210,44 @@ def _start(text: Column, rules: tuple[Rule, ...]) -> Column:
     return F.struct(own.alias("spoken"), F.array().cast(RECORD).alias("records"), own.rlike("[0-9]").alias("digits"), _may_fire(own, rules).alias("may"))
 
 
-def _step(rule: Rule, place: int, state: Column) -> Column:
-    """The state (spoken, records, digits, may) after one rule, the place-th of its chain.
+def _sql(text: str) -> str:
+    """A raw string literal."""
+    if "'" in text:
+        raise ValueError(f"a quote in {text!r}")
+    return f"r'{text}'"
+
+
+def _look(rule: Rule, place: int) -> str:
+    """SQL lambda: a state beside the rule's hits in it.
 
     Until a rule has changed the text, rules that cannot fire on it are passed over; what a rule writes may be a hit of
     any later one.
     """
+    tests = [f"(size(b.records) > 0 OR get(b.may, {place}))"]
+    if rule.digits:
+        tests.insert(0, "b.digits")
+    if rule.gate:
+        tests.append(f"b.spoken RLIKE {_sql(rule.gate)}")
+    return f"b -> named_struct('b', b, 'f', CASE WHEN {' AND '.join(tests)} THEN regexp_extract_all(b.spoken, {_sql(rule.pattern)}, 0) END)"
 
-    def on(before: Column) -> Column:
-        hits = F.regexp_extract_all(before["spoken"], F.lit(rule.pattern), 0)
-        if rule.gate:
-            hits = F.when(before["spoken"].rlike(rule.gate), hits)
-        able = (F.size(before["records"]) > 0) | F.get(before["may"], F.lit(place))
-        hits = F.when(before["digits"] & able if rule.digits else able, hits)
 
-        def rewritten(found: Column) -> Column:
-            def after(new: Column) -> Column:
-                gaps = F.split(before["spoken"], rule.pattern, -1)
-                spoken = F.array_join(F.zip_with(gaps, new, lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
-                told = F.filter(F.zip_with(found, new, _record(rule)), lambda x: x["source"] != x["replacement"])
-                if rule.in_order:
-                    told = es.let(told, lambda all_told: F.concat(*[F.filter(all_told, _from(source)) for source in rule.in_order]))
-                return F.struct(spoken.alias("spoken"), F.concat(before["records"], told).alias("records"), before["digits"].alias("digits"), before["may"].alias("may"))
+def _rewrite(rule: Rule) -> str:
+    """SQL lambda: the state after the rule, from the one before (b), the hits (f) and their replacements (n)."""
+    spoken = f"array_join(zip_with(split(z.b.spoken, {_sql(rule.pattern)}, -1), z.n, (g, n) -> concat(g, coalesce(n, ''))), '')"
+    told = f"filter(zip_with(z.f, z.n, (h, n) -> named_struct('rule', {_sql(rule.id)}, 'source', h, 'replacement', n)), t -> t.source <> t.replacement)"
+    if rule.in_order:
+        told = f"get(transform(array({told}), w -> concat({', '.join(f'filter(w, x -> x.source = {_sql(source)})' for source in rule.in_order)})), 0)"
+    return f"z -> CASE WHEN size(z.f) > 0 THEN named_struct('spoken', {spoken}, 'records', concat(z.b.records, {told}), 'digits', z.b.digits, 'may', z.b.may) ELSE z.b END"
 
-            return F.when(F.size(found) > 0, es.let(F.transform(found, _changed(rule)), after)).otherwise(before)
 
-        return es.let(hits, rewritten)
+def _step(rule: Rule, place: int, state: Column) -> Column:
+    """The state (spoken, records, digits, may) after one rule, the place-th of its chain."""
+
+    def with_new(y: Column) -> Column:
+        new = F.when(F.size(y["f"]) > 0, F.transform(y["f"], _changed(rule)))
+        return F.struct(y["b"].alias("b"), y["f"].alias("f"), new.alias("n"))
 
-    return es.let(state, on)
+    return es.sql_let(es.let(es.sql_let(state, _look(rule, place)), with_new), _rewrite(rule))
 
 
 def fenced(df: DataFrame) -> DataFrame:

@@ -54,28 +54,34 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def sql_let(value: Column, *bodies: str) -> Column:
+    """The bodies, SQL lambdas, one after the other on value: a call or two to the JVM each, however long they are."""
+    out = F.array(value)
+    for body in bodies:
+        out = F.call_function("transform", out, F.expr(body))
+    return F.get(out, F.lit(0))
+
+
+def _group_words() -> str:
+    """SQL lambda: the words of a struct of five groups of three digits, highest first, and of the words below a thousand."""
+    g = [f"get(x.g, {k})" for k in range(5)]
+    word = [f"get(x.small, {k})" for k in g]
+
+    def thousands(k: int) -> str:
+        return f"CASE WHEN {g[k]} = 1 THEN 'mil' WHEN {g[k]} > 1 THEN concat({word[k]}, ' mil') END, CASE WHEN {g[k + 1]} > 0 THEN {word[k + 1]} END"
+
+    billions = f"CASE WHEN {g[0]} = 1 THEN 'un billón' WHEN {g[0]} > 1 THEN concat({word[0]}, ' billones') END"
+    millions = f"CASE WHEN {g[1]} = 0 AND {g[2]} = 1 THEN 'un millón' WHEN {g[1]} + {g[2]} > 0 THEN concat_ws(' ', {thousands(1)}, 'millones') END"
+    return f"x -> CASE WHEN x.digits IS NOT NULL THEN coalesce(nullif(concat_ws(' ', {billions}, {millions}, {thousands(3)}), ''), '{DIGITS[0]}') END"
+
+
 def integer_words(digits: Column) -> Column:
     """The cardinal of a digit string of at most 15 significant digits, else null."""
-    plain = F.regexp_replace(digits, r"^0+(?=\d)", "")
-    padded = F.when(digits.rlike(r"^\d+$") & (F.length(plain) <= 15), F.lpad(plain, 15, "0"))
-    # the words and the five groups of three digits, highest first
-    groups = F.array(*[F.substring(padded, k, 3).cast("int") for k in range(1, 16, 3)])
-    bound = F.struct(padded.alias("digits"), groups.alias("g"), _list(below_thousand()).alias("small"))
-
-    def told(x: Column) -> Column:
-        g = [F.get(x["g"], F.lit(k)) for k in range(5)]
-        word = lambda k: F.get(x["small"], g[k])
-
-        def thousands(k: int) -> list[Column]:
-            head = F.when(g[k] == 1, F.lit("mil")).when(g[k] > 1, F.concat(word(k), F.lit(" mil")))
-            return [head, F.when(g[k + 1] > 0, word(k + 1))]
-
-        billions = F.when(g[0] == 1, F.lit("un billón")).when(g[0] > 1, F.concat(word(0), F.lit(" billones")))
-        millions = F.when((g[1] == 0) & (g[2] == 1), F.lit("un millón")).when(g[1] + g[2] > 0, F.concat_ws(" ", *thousands(1), F.lit("millones")))
-        words = F.concat_ws(" ", billions, millions, *thousands(3))
-        return F.when(x["digits"].isNotNull(), F.when(words == "", F.lit(DIGITS[0])).otherwise(words))
-
-    return let(bound, told)
+    plain = "regexp_replace(d, r'^0+(?=\\d)', '')"
+    padded = f"d -> CASE WHEN d RLIKE r'^\\d+$' AND length({plain}) <= 15 THEN lpad({plain}, 15, '0') END"
+    groups = ", ".join(f"CAST(substring(p, {k}, 3) AS INT)" for k in range(1, 16, 3))
+    bound = f"p -> named_struct('digits', p, 'g', array({groups}), 'small', split('{'|'.join(below_thousand())}', '[|]'))"
+    return sql_let(digits, padded, bound, _group_words())
 
 
 #: A literal with thousands groups and decimals: 1 whole part with points, 2 decimals.
