@@ -245,11 +245,11 @@ def text_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("doc_id", "encoding", F.sha2(decoded(F.col("content")), 256).alias("text_sha256"))
 
 
-_SAID = "regexp_replace(trim(regexp_replace(substr(coalesce(text, ''), 1, 80), '[^A-Za-z0-9 ]+', ' ', 'g')), ' +', ' ', 'g')"
+_SAID = "regexp_replace(trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]+', ' ', 'g')), ' +', ' ', 'g')"
 
 
 def _said() -> Column:
-    plain = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 80), "[^A-Za-z0-9 ]+", " ")
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]+", " ")
     return F.regexp_replace(F.trim(plain), " +", " ")
 
 
