@@ -2,8 +2,8 @@
 
 :func:`mux` stores a payload losslessly as 8-bit PCM samples of one audio track: frames of 576
 samples, one of every ``SYNC_EVERY`` a sync sample, sample tables in ``moov`` after ``mdat``.
-:func:`probe` walks the nested boxes of any such file, decodes stts, stsc, stsz, stco/co64 and stss
-and gives codec, duration and the byte range of every keyframe; payload bytes are only located.
+:func:`probe` walks the nested boxes of any such file, decodes stts, stsc, stsz/stz2, stco/co64 and stss, edit lists, and the
+fragments of moof (tfhd, trun, with the defaults of trex), and gives codec, duration and the byte range of every keyframe; payload bytes are only located.
 
 Edge cases: a null text is empty; an empty text is one frame of padding; boxes of 64-bit size, boxes
 reaching to the end of the file, unknown boxes and absent optional tables (stss: every sample is a keyframe) are
@@ -30,7 +30,7 @@ from plectrum.llm.tokens import text_slices
 FRAME, RATE, SYNC_EVERY = 576, 8000, 16
 
 #: Boxes that hold boxes (fixed values of the format).
-CONTAINERS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta")
+CONTAINERS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex")
 
 
 def _box(kind: bytes, *body: bytes) -> bytes:
@@ -96,6 +96,8 @@ class Track:
     offsets: np.ndarray | None = None  # of each sample
     sizes: np.ndarray | None = None
     syncs: np.ndarray | None = None  # 0-based samples
+    number: int = 0
+    edits: tuple[tuple[int, int], ...] = ()  # (duration of the presentation, start in the media or -1)
 
     @property
     def seconds(self) -> float:
@@ -130,9 +132,80 @@ def _table(data: memoryview, at: int, end: int, kind: str, columns: int = 1) ->
     return np.frombuffer(data, kind, n * columns, at + 4).astype("i8").reshape(n, columns)
 
 
+def _edits(data: memoryview, a: int, b: int) -> np.ndarray:
+    """The edit list's rows: duration (d), start in the media (t) and rate (r)."""
+    kind = np.dtype([("d", ">u8"), ("t", ">i8"), ("r", ">u4")] if data[a] == 1 else [("d", ">u4"), ("t", ">i4"), ("r", ">u4")])
+    (n,) = struct.unpack_from(">I", data, a + 4)
+    if a + 8 + n * kind.itemsize > b:
+        raise ValueError("a sample table is cut off")
+    return np.frombuffer(data, kind, n, a + 8)
+
+
+def _compact(data: memoryview, a: int, b: int) -> np.ndarray:
+    """Sizes of 4, 8 or 16 bits each."""
+    bits, n = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
+    if bits not in (4, 8, 16) or a + 12 + (n * bits + 7) // 8 > b:
+        raise ValueError("a sample table is cut off")
+    if bits == 4:
+        pairs = np.frombuffer(data, "u1", (n + 1) // 2, a + 12)
+        return np.stack([pairs >> 4, pairs & 15], 1).reshape(-1)[:n].astype("i8")
+    return np.frombuffer(data, ">u2" if bits == 16 else "u1", n, a + 12).astype("i8")
+
+
+#: Flags of fragment headers and runs: a field is there (fixed values of the format).
+_TFHD = ((0x1, "base", ">Q"), (0x2, "description", ">I"), (0x8, "duration", ">I"), (0x10, "size", ">I"), (0x20, "flags", ">I"))
+_TRUN = ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift"))
+_NO_SYNC = 0x10000
+
+
+def _fragment(data: memoryview, at: int, a: int, b: int, tracks: dict[int, Track], defaults: dict[int, dict[str, int]]) -> None:
+    """The samples of a movie fragment, which starts at ``at``, go to the ends of their tracks."""
+    previous = at  # where the data of the run before ended, for runs that name no place
+    for kind, low, high in _walk(data, a, b):
+        if kind != b"traf":
+            continue
+        head: dict[str, int] = {}
+        track, base, following = None, previous, None
+        for inner, x, y in _walk(data, low, high):
+            flags = struct.unpack_from(">I", data, x)[0] & 0xFFFFFF
+            if inner == b"tfhd":
+                number, place = struct.unpack_from(">I", data, x + 4)[0], x + 8
+                track, head = tracks.get(number), dict(defaults.get(number, {}))
+                for flag, name, form in _TFHD:
+                    if flags & flag:
+                        head[name] = struct.unpack_from(form, data, place)[0]
+                        place += struct.calcsize(form)
+                base = head.get("base", at if flags & 0x20000 else previous)
+            elif inner == b"trun" and track is not None:
+                n, place = struct.unpack_from(">I", data, x + 4)[0], x + 8
+                start = base if following is None else following
+                if flags & 0x1:
+                    start = base + struct.unpack_from(">i", data, place)[0]
+                    place += 4
+                first = None
+                if flags & 0x4:
+                    first = struct.unpack_from(">I", data, place)[0]
+                    place += 4
+                there = [name for flag, name in _TRUN if flags & flag]
+                if place + 4 * n * len(there) > y:
+                    raise ValueError("a sample table is cut off")
+                rows = np.frombuffer(data, ">u4", n * len(there), place).astype("i8").reshape(n, len(there))
+                told = {name: rows[:, i] if (i := there.index(name) if name in there else -1) >= 0 else np.full(n, head.get(name, 0), "i8") for name in ("duration", "size", "flags")}
+                if first is not None and n:
+                    told["flags"] = np.append(first, told["flags"][1:])
+                upto = np.cumsum(told["size"])
+                held = len(track.sizes)
+                track.offsets = np.append(track.offsets, start + upto - told["size"])
+                track.sizes = np.append(track.sizes, told["size"])
+                track.syncs = np.append(track.syncs, held + np.flatnonzero(told["flags"] & _NO_SYNC == 0))
+                track.duration += int(told["duration"].sum())
+                following = previous = start + int(upto[-1]) if n else start
+
+
 def probe(file: bytes) -> list[Track]:
     """The tracks of a container, from its boxes alone."""
     data, tracks = memoryview(file), []
+    defaults: dict[int, dict[str, int]] = {}
 
     def descend(at: int, end: int, track: Track | None, tables: dict[bytes, np.ndarray]) -> None:
         for kind, a, b in _walk(data, at, end):
@@ -143,11 +216,20 @@ def probe(file: bytes) -> list[Track]:
                 tracks.append(own)
             elif kind in CONTAINERS:
                 descend(a, b, track, tables)
+            elif kind == b"trex":
+                number, _, duration, size, flags = struct.unpack_from(">5I", data, a + 4)
+                defaults[number] = {"duration": duration, "size": size, "flags": flags}
             elif track is None:
                 continue
             elif kind == b"mdhd":
                 wide = data[a] == 1
                 track.timescale, track.duration = struct.unpack_from(">IQ" if wide else ">II", data, a + (20 if wide else 12))
+            elif kind == b"tkhd":
+                (track.number,) = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))
+            elif kind == b"elst":
+                track.edits = tuple((int(r["d"]), int(r["t"])) for r in _edits(data, a, b))
+            elif kind == b"stz2":
+                tables[b"stsz"] = _compact(data, a, b)
             elif kind == b"hdlr":
                 track.handler = bytes(data[a + 8 : a + 12]).decode("latin-1")
             elif kind == b"stsd":
@@ -163,6 +245,11 @@ def probe(file: bytes) -> list[Track]:
                 tables[kind] = _table(data, a + 4, b, ">u4")[:, 0] - 1
 
     descend(0, len(data), None, {})
+    numbered, at = {t.number: t for t in tracks}, 0
+    for kind, a, b in _walk(data, 0, len(data)):
+        if kind == b"moof":
+            _fragment(data, at, a, b, numbered, defaults)
+        at = b
     return tracks
 
 
