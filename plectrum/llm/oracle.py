@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plectrum.llm.chat import PROBE, Template
+from plectrum.llm.fill_middle import MIDDLE, PREFIX, SALT, SUFFIX
 from plectrum.llm.jaccard import PERCENT, WORDS
 from plectrum.llm.lines import MIN_PAGES, RATIO
 from plectrum.llm.quality import RULES, STOP_WORDS
@@ -109,5 +110,21 @@ from pages left join bad using (host)
 """
 
 
+def _fill_middle() -> str:
+    """Lines from a split, cuts by sums of line lengths."""
+    number = lambda i: f"('0x' || substr(digest, {1 + 8 * i}, 8))::bigint"
+    before = lambda k: f"(case when {k} = n then length(t) else {k} + coalesce(list_sum(list_transform(s[1:{k}], lambda x: length(x))), 0) end)::bigint"
+    return f"""
+with d as (select row_number() over () as row, doc_id, coalesce(text, '') as t, string_split(coalesce(text, ''), chr(10)) as s, sha256('{SALT}:' || coalesce(doc_id::varchar, '')) as digest from documents),
+l as (select *, (len(s) - (s[-1] = '')::int)::bigint as n, {number(0)} as h1, {number(1)} as h2, {number(3)} as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b from l),
+p as (select *, {before("a")} as lo, {before("b")} as hi,
+    case when t = '' or contains(t, '{PREFIX}') or contains(t, '{SUFFIX}') or contains(t, '{MIDDLE}') then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from c),
+o as (select *, '{PREFIX}' || substr(t, 1, lo) as x, '{SUFFIX}' || substr(t, hi + 1) as y, '{MIDDLE}' || substr(t, lo + 1, hi - lo) as z from p)
+select doc_id, n, form, case when form <> 'plain' then lo end as prefix_chars, case when form <> 'plain' then hi - lo end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then x || y || z else y || x || z end) as output_sha256, sha256(t) as restored_sha256 from o
+"""
+
+
 def sql() -> dict[str, str]:
-    return {"op1_chat_format": _chat(), "op3_quality_rules": _quality(), "op7_line_dedup": LINES, "op10_ngram_jaccard": _jaccard()}
+    return {"op1_chat_format": _chat(), "op3_quality_rules": _quality(), "op7_line_dedup": LINES, "op10_ngram_jaccard": _jaccard(), "op12_fill_middle": _fill_middle()}
