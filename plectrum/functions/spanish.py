@@ -80,8 +80,9 @@ def integer_words(digits: Column) -> Column:
     plain = "regexp_replace(d, r'^0+(?=\\d)', '')"
     padded = f"d -> CASE WHEN d RLIKE r'^\\d+$' AND length({plain}) <= 15 THEN lpad({plain}, 15, '0') END"
     groups = ", ".join(f"CAST(substring(p, {k}, 3) AS INT)" for k in range(1, 16, 3))
-    bound = f"p -> named_struct('digits', p, 'g', array({groups}), 'small', split('{'|'.join(below_thousand())}', '[|]'))"
-    return sql_let(digits, padded, bound, _group_words())
+    bound = f"named_struct('digits', p, 'g', array({groups}), 'small', split('{'|'.join(below_thousand())}', '[|]'))"
+    # the list stands in an array made in place: what a transform gives back is copied
+    return sql_let(digits, padded, f"p -> get(transform(array({bound}), {_group_words()}), 0)")
 
 
 #: A literal with thousands groups and decimals: 1 whole part with points, 2 decimals.
