@@ -240,8 +240,7 @@ def timeline_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as headings; two on one half-minute are one chapter."""
-    timed = timed(spark, sf_dir).join(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"])
-    heads = timed.where("role = 'user'").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.floor((F.col("turn") - 1) / 4).cast("long").alias("start"))
+    heads = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.floor((F.col("turn") - 1) / 4).cast("long").alias("start"))
     return serving.chapters(heads).select(F.col("doc_id").alias("conv_id"), F.col("ord").alias("turn"), "start")
 
 
