@@ -43,9 +43,9 @@ def file_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id")
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (k % n + 1).cast("int"))
     head = F.when(k % 4 == 0, F.lit("%PDF-1.7")).when(k % 4 == 1, F.lit("PK\x03\x04")).otherwise(F.col("html"))
-    size = F.length("html") * F.when(k % 50 == 7, 0).when(k % 50 == 8, 100_000).otherwise(1)
+    size = F.length("html").cast("long") * F.when(k % 50 == 7, 0).when(k % 50 == 8, 100_000).otherwise(1)
     name = F.concat(F.lit("p."), k.cast("string"), pick(_NAMES, 9))
-    files = table(spark, sf_dir, "pages").select("page_id", name.alias("name"), pick(_MIMES, 7).alias("mime"), F.substring(F.encode(head, "UTF-8"), 1, 8).alias("head"), size.cast("long").alias("size"))
+    files = table(spark, sf_dir, "pages").select("page_id", name.alias("name"), pick(_MIMES, 7).alias("mime"), F.substring(F.encode(head, "UTF-8"), 1, 8).alias("head"), size.alias("size"))
     fmt = formats.detect_format(F.col("name"), F.col("mime"), F.col("head"))
     parser = F.concat(F.lit("own-"), F.coalesce(F.col("format"), F.lit("none")))
     return files.withColumn("format", fmt).select(

@@ -25,3 +25,10 @@ def test_chapters(spark, tmp_path):
     turns = [(c, t, "user" if t % 2 else "assistant", "hola") for c in (1, 2) for t in range(12)]
     got = same_as_sql(spark, tmp_path, "chapters", {"conversations": (turns, "conv_id long, turn long, role string, text string")})
     assert sorted(got)[:3] == [(1, 1, 0), (1, 5, 1), (1, 9, 2)]
+
+
+def test_file_formats_of_large_pages(spark, tmp_path):
+    # 50,000 characters times 100,000 are more than 31 bits hold
+    pages = [(i, "http://x", "x" * (50_000 if i == 8 else 10)) for i in range(60)]
+    got = same_as_sql(spark, tmp_path, "file_formats", {"pages": (pages, "page_id long, url string, html string")})
+    assert next(r for r in got if r[0] == 8)[2] == "file_too_large"
