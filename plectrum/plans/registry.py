@@ -55,7 +55,8 @@ def chrome_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_number_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as page lines of five shapes; three of them are page numbers."""
     n, k = F.col("l_linenumber").cast("string"), F.col("l_partkey")
-    shapes = (n, F.concat(F.lit(" Pág. "), n, F.lit(" de "), k.cast("string")), F.concat(n, F.lit(" - "), n), F.concat(F.lit("page "), n), F.concat(n, F.lit(" de 12345")))
+    pages = (k % 10_000).cast("string")  # a count of pages has four digits at most
+    shapes = (n, F.concat(F.lit(" Pág. "), n, F.lit(" de "), pages), F.concat(n, F.lit(" - "), n), F.concat(F.lit("page "), n), F.concat(n, F.lit(" de 12345")))
     lines = table(spark, sf_dir, "lineitem").select("l_returnflag", F.get(F.array(*shapes), (k % 5).cast("int")).alias("text"))
     return lines.where(plan.is_page_number(F.col("text"))).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 

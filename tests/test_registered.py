@@ -32,3 +32,9 @@ def test_file_formats_of_large_pages(spark, tmp_path):
     pages = [(i, "http://x", "x" * (50_000 if i == 8 else 10)) for i in range(60)]
     got = same_as_sql(spark, tmp_path, "file_formats", {"pages": (pages, "page_id long, url string, html string")})
     assert next(r for r in got if r[0] == 8)[2] == "file_too_large"
+
+
+def test_page_number_lines_of_large_keys(spark, tmp_path):
+    lines = [(i, k, i % 7 + 1, "ANR"[i % 3]) for i, k in enumerate([*range(30), *range(9_990, 10_020), *range(1_199_980, 1_200_000)])]
+    schema = "l_orderkey long, l_partkey long, l_linenumber long, l_returnflag string"
+    same_as_sql(spark, tmp_path, "page_number_lines", {"lineitem": (lines, schema)})
