@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from plectrum.functions.spanish import let
 from plectrum.functions.text import normalized, rounded, units, word_tokens
@@ -55,22 +59,28 @@ def dice_of_groups(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
 def greedy_match(scores: DataFrame, least: float = 0.55) -> DataFrame:
     """One-to-one matches in reference order: the best free candidate, the first of equals.
 
-    scores: doc_id, ref (order), got (order), dice.  Assignments depend on one another, so a document
-    is one group.
+    scores: doc_id, ref (order), got (order), dice.  Assignments depend on one another, so a document's candidates are
+    sorted in its partition and taken as they are read: what is held is the matches of one document.
     """
-
-    def assign(group: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for ref, own in group[group["dice"] >= least].sort_values(["ref", "dice", "got"], ascending=[True, False, True]).groupby("ref", sort=True):
-            for got, d in zip(own["got"], own["dice"], strict=True):
-                if got not in used:
+    schema = StructType([scores.schema["doc_id"], *StructType.fromDDL("ref long, got long, dice double").fields])
+    kinds = to_arrow_schema(schema)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, done, used, first = None, None, set(), True
+        for batch in batches:
+            taken = []
+            for i, (key, ref, got) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if first or key != doc:
+                    doc, done, used, first = key, None, set(), False
+                if ref != done and got not in used:
                     used.add(got)
-                    out.append((group["doc_id"].iloc[0], ref, got, d))
-                    break
-        return pd.DataFrame(out, columns=["doc_id", "ref", "got", "dice"])
+                    done = ref
+                    taken.append(i)
+            yield batch.take(pa.array(taken, "int32")).cast(kinds)
 
-    kind = scores.schema["doc_id"].dataType.simpleString()
-    return scores.groupBy("doc_id").applyInPandas(assign, f"doc_id {kind}, ref long, got long, dice double")
+    fine = scores.where((F.col("dice") >= least) & ~F.isnan("dice") & F.col("ref").isNotNull())
+    own = fine.select("doc_id", F.col("ref").cast("long").alias("ref"), F.col("got").cast("long").alias("got"), F.col("dice").cast("double").alias("dice"))
+    return own.repartition("doc_id").sortWithinPartitions("doc_id", "ref", F.desc("dice"), "got").mapInArrow(assign, schema)
 
 
 def upper_percentiles(df: DataFrame, value: str, ps: tuple[float, ...], *by: str) -> DataFrame:

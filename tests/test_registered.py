@@ -38,3 +38,21 @@ def test_page_number_lines_of_large_keys(spark, tmp_path):
     lines = [(i, k, i % 7 + 1, "ANR"[i % 3]) for i, k in enumerate([*range(30), *range(9_990, 10_020), *range(1_199_980, 1_200_000)])]
     schema = "l_orderkey long, l_partkey long, l_linenumber long, l_returnflag string"
     same_as_sql(spark, tmp_path, "page_number_lines", {"lineitem": (lines, schema)})
+
+
+def test_greedy_match_takes_sorted_rows_and_no_group_at_a_time(spark):
+    import random
+
+    from plectrum.operators.metrics import greedy_match
+
+    rng = random.Random(3)
+    rows = [(d, r, g, rng.choice((0.5, 0.6, 0.6, 0.7, 0.9))) for d in (None, *range(40)) for r in range(6) for g in rng.sample(range(8), 4)]
+    wanted, taken, done = [], set(), set()
+    for d, r, g, x in sorted(rows, key=lambda t: (t[0] is not None, t[0] or 0, t[1], -t[3], t[2])):
+        if x >= 0.55 and (d, r) not in done and (d, g) not in taken:
+            wanted.append((d, r, g, x))
+            done.add((d, r))
+            taken.add((d, g))
+    out = greedy_match(spark.createDataFrame(rows, "doc_id long, ref long, got long, dice double"))
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, wanted))
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
