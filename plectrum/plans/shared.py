@@ -38,6 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Thin rows that much work waits for, dealt out by keys over four times the cluster's width: a file of few bytes would be one task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log with its time in milliseconds."""
     ms = F.unix_millis(F.col("ts").cast("timestamp"))

@@ -10,7 +10,7 @@ from plectrum.functions import rules
 from plectrum.functions.rules import rewritten
 from plectrum.operators import chunks, evaluation, metrics, plan
 from plectrum.plans import oracle
-from plectrum.plans.shared import Registered, table
+from plectrum.plans.shared import Registered, spread, table
 
 REGISTERED = Registered()
 query = REGISTERED.query
@@ -84,7 +84,7 @@ def rule_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "time": _text(k % 24, ":", _two(k % 60)), "slash-citations": _text(k % 1000, "/", k % 77), "ranges": _text(k % 1000, "–", k % 77), "lei": _text("LEI ", F.lpad(k.cast("string"), 20, "B")),
         "isin": _text("ISIN ES", F.lpad(k.cast("string"), 10, "0")), "numbers": grouped,
     }
-    return _orders(spark, sf_dir).select("o_orderkey", *[rewritten(r, t).alias(r.replace("-", "_")) for r, t in texts.items()], grouped.alias("grouped"))
+    return spread(_orders(spark, sf_dir), "o_orderkey").select("o_orderkey", *[rewritten(r, t).alias(r.replace("-", "_")) for r, t in texts.items()], grouped.alias("grouped"))
 
 
 @query(
@@ -102,7 +102,7 @@ def fidelity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     spoken = F.when(v == 1, F.replace(source, F.lit("salvo que "), F.lit(""))).when(v == 2, _text(source, " 999999")).when(v > 2, words).otherwise(source)
     record = F.array(F.struct(F.lit("currencies").alias("rule"), k.cast("string").alias("source"), F.lit("muchos").alias("replacement")))
     records = F.when(v == 3, record).otherwise(F.array().cast(plan.TRANSFORMATIONS))
-    rows = _orders(spark, sf_dir).select("o_orderkey", fidelity(source, spoken, records).alias("f"), critical_tokens(source).alias("t"))
+    rows = spread(_orders(spark, sf_dir), "o_orderkey").select("o_orderkey", fidelity(source, spoken, records).alias("f"), critical_tokens(source).alias("t"))
     said = lambda c: F.array_join(F.transform(c, lambda t: t["text"]), ",")
     tokens = F.array_join(F.transform("t", lambda t: F.concat(t["kind"], F.lit(":"), t["text"])), ",")
     return rows.select("o_orderkey", "f.ok", said(F.col("f.lost")).alias("lost"), said(F.col("f.invented")).alias("invented"), tokens.alias("tokens"))
@@ -114,7 +114,7 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(k % 4 == 0, "heading").when(k % 4 == 2, "page-footer").otherwise("paragraph")
     said = F.when(k % 4 == 0, _text("Nota ", k, ".")).when(k % 4 == 1, _text("Pago de ", k + 2, " euros")).when(k % 4 == 2, _text("Pie ", k)).otherwise("sin cambios")
     at = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    return _orders(spark, sf_dir).select(F.col("o_custkey").alias("doc_id"), at.alias("ord"), kind.alias("type"), said.alias("text"), F.lit(1).alias("page"))
+    return spread(_orders(spark, sf_dir), "o_custkey").select(F.col("o_custkey").alias("doc_id"), at.alias("ord"), kind.alias("type"), said.alias("text"), F.lit(1).alias("page"))
 
 
 _MADE = f"""

@@ -56,3 +56,9 @@ def test_greedy_match_takes_sorted_rows_and_no_group_at_a_time(spark):
     out = greedy_match(spark.createDataFrame(rows, "doc_id long, ref long, got long, dice double"))
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, wanted))
     assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rule_outputs_of_one_small_file_are_made_by_the_whole_cluster(spark, tmp_path):
+    spark.createDataFrame([(k, k % 7) for k in range(1, 200)], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("rule_outputs", "fidelity_checks"):
+        assert entry.queries()[name](spark, str(tmp_path)).rdd.getNumPartitions() >= 4
