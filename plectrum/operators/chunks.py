@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from plectrum.functions.text import SPACE, blank, units
+from plectrum.session import small_batches
 
 _CLASS = "[" + re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), SPACE) + "]"
 _NOT = "[^" + _CLASS[1:]
@@ -55,6 +56,7 @@ def pieces(segments: DataFrame, limit: int) -> DataFrame:
     def split(texts: "pd.Series") -> "pd.Series":
         return texts.map(lambda t: split_long(t, limit))
 
+    small_batches(segments.sparkSession)
     heard = segments.where(~F.col("muted") & ~blank(F.col("spoken_text")))
     long = units(F.col("spoken_text")) > limit
     cut = F.pandas_udf(split, "array<string>")

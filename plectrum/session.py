@@ -29,6 +29,18 @@ def build_session(master: str | None = None, app: str = "plectrum", **conf: str)
     return builder.getOrCreate()
 
 
+#: Rows that a Python worker takes at once: audio and texts are large, and the default of ten thousand rows fills its memory.
+ARROW_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Small batches for Python workers, where the session does not set its own; the setting stays, since results are lazy."""
+    told = spark.conf.getAll
+    for key, value in ARROW_ROWS.items():
+        if key not in told:
+            spark.conf.set(key, value)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one where it is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_plectrum_folder", None)

@@ -62,3 +62,22 @@ def test_rule_outputs_of_one_small_file_are_made_by_the_whole_cluster(spark, tmp
     spark.createDataFrame([(k, k % 7) for k in range(1, 200)], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     for name in ("rule_outputs", "fidelity_checks"):
         assert entry.queries()[name](spark, str(tmp_path)).rdd.getNumPartitions() >= 4
+
+
+def test_audio_and_long_texts_go_to_python_in_small_batches(spark):
+    from plectrum.operators import chunks
+    from plectrum.sources import wav
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.getAll.get(key)
+    rows = spark.range(2).selectExpr("id AS doc_id", "0 AS chunk", "0 AS ord", "'s0' AS segment_id", "'uno' AS spoken_text", "false AS muted")
+    try:
+        for build in (lambda: wav.export(wav.with_audio(rows, "spoken_text")), lambda: chunks.plan_chunks(rows)):
+            spark.conf.unset(key)
+            build()
+            assert int(spark.conf.get(key)) <= 512
+        spark.conf.set(key, "77")
+        chunks.plan_chunks(rows)
+        assert spark.conf.get(key) == "77"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
