@@ -72,6 +72,21 @@ def test_epochs_are_forgotten_when_idle(spark):
     assert sorted(r["kind"] for r in got) == ["a", "b", "c", "new life"]
 
 
+MANY = [(None, 1000, 2**60 + 9999, None)] + [(2**60 + i, 1000 + i % 7, 2**60 + i, "x") for i in range(1500)]
+
+
+def many(spark):
+    """1501 keys in two batches, one of them missing, with numbers that doubles do not hold."""
+    rows = [(u, ms + b, e, k, b) for b in (0, 1) for u, ms, e, k in MANY]
+    return spark.createDataFrame(rows, LOG)
+
+
+def test_keys_share_windows(spark):
+    got, held = run(many(spark), lambda s: states.rate_limit(s, "user", "ms", "id", 1, 60_000, "2 hours"), "many-windows")
+    assert {(r["user"], r["ms"], r["id"], r["kind"], r["place"], r["allowed"]) for r in got} == {(u, ms + b, e, k, b + 1, b == 0) for b in (0, 1) for u, ms, e, k in MANY}
+    assert len(got) == 2 * len(MANY) and held == [held[0]] * 2 and held[0] <= states.BUCKETS  # one look at the state serves the keys of a bucket
+
+
 def test_an_empty_log_gives_no_rows(spark):
     df = spark.createDataFrame([], LOG)
     assert replay.replayed(df, "batch", lambda s: states.rate_limit(s, "user", "ms", "id", 2), "none").count() == 0
