@@ -52,11 +52,17 @@ def literal_plan(blocks: DataFrame) -> DataFrame:
     )
 
 
-def listen_plan(blocks: DataFrame, detect_chrome: bool = True, rules=RULES) -> DataFrame:
-    """Rewritten segments; one that loses or invents a critical literal falls back to its source."""
+def listen_plan(blocks: DataFrame, detect_chrome: bool = True, rules=RULES, only: Column | None = None) -> DataFrame:
+    """Rewritten segments; one that loses or invents a critical literal falls back to its source.
+
+    ``only``: the blocks whose segments are wanted.  All are numbered and looked at for furniture; the rules run on these alone,
+    since a filter of the plan is not carried below its fences.
+    """
     marked = repeated_chrome(blocks) if detect_chrome else blocks.withColumn("chrome", F.lit(False))
     typed = F.col("type").isin(*LAYOUT_NOISE)
     step = _segment_ids(marked).withColumn("_noise", typed | F.col("chrome"))
+    if only is not None:
+        step = step.where(only)
     # muted blocks pass the rules as empty text
     step = apply_rules(step.withColumn("_in", F.when(~F.col("_noise"), F.col("text"))), "_in", rules)
     pausing = (F.col("type") == "heading") & (F.col("spoken") != "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plectrum.functions import language, spanish
@@ -13,10 +13,10 @@ from plectrum.plans import files, oracle, playback, reports, spoken, streams
 from plectrum.plans.shared import Query, events, table
 from plectrum.sources import html, markdown, text
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def segments(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
     # a plan needs a document's blocks together: dealt out first, all its work has the cluster's width and no second exchange
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
-    return plan.listen_plan(text.text_blocks(docs))
+    return plan.listen_plan(text.text_blocks(docs), only=only)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,7 +300,7 @@ def listen_plan_untouched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the listen plan of all documents the segments that hold nothing a rule could take up: they are read as they stand."""
     from plectrum.plans.registry import segments
 
-    out = segments(spark, sf_dir).where(_untouched(F.col("source_text")))
+    out = segments(spark, sf_dir, only=_untouched(F.col("text")))
     return out.select("doc_id", "segment_id", "spoken_text", F.size("transformations").cast("long").alias("n_transformations"), "fidelity_ok", "fallback", "muted")
 
 

@@ -100,3 +100,24 @@ def test_a_reference_without_a_note_stays(spark):
     rows = [(1, 0, "paragraph", "Véase [2] y [1].", 1, None), (1, 1, "footnote", "1 uno", 1, None), (2, 0, "paragraph", "Sin [1] notas", 1, None)]
     out = {(r["doc_id"], r["ord"]): r["spoken_text"] for r in product_plan(spark.createDataFrame(rows, BLOCKS)).collect()}
     assert out == {(1, 0): "Véase [dos] y [uno]. Nota uno: uno uno", (2, 0): "Sin [uno] notas"}
+
+
+def test_a_choice_of_blocks_is_made_before_the_rules(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("d", i, "paragraph", t, p) for i, (t, p) in enumerate([("Pie", 1), ("uno", 1), ("art. 5", 2), ("Pie", 2), ("Pie", 3), ("dos", 3)])]
+    blocks = spark.createDataFrame(rows, "doc_id string, ord int, type string, text string, page int")
+    all_, some = listen_plan(blocks), listen_plan(blocks, only=~F.col("text").rlike("[0-9]"))
+    assert sorted(map(str, some.collect())) == sorted(map(str, all_.where("NOT source_text RLIKE '[0-9]'").collect())) and some.where("muted").count() == 3
+
+
+def test_literals_of_both_texts_stand_and_ordinals_need_not(spark):
+    from pyspark.sql import functions as F
+
+    from plectrum.functions.fidelity import contains_at_boundary, critical_tokens, standing
+
+    t = "no deberá pagar 15 euros \U0001d54f salvo que 5ºx; xdeberá 1.500,5 y deberá"
+    row = spark.range(1).select(critical_tokens(F.lit(t)).alias("c"), standing(critical_tokens(F.lit(t))).alias("s"), contains_at_boundary(F.lit("15"), F.lit("15")).alias("b")).first()
+    places = {"no deberá": 0, "deberá": t.index("deberá"), "15": t.index("15"), "salvo que": t.index("salvo que") + 1, "5": t.index("5º") + 1, "5º": t.index("5º") + 1, "1.500,5": t.index("1.5") + 1}
+    want = sorted([*((at, x) for x, at in places.items()), (t.rindex("deberá") + 1, "deberá")])  # one character of two units
+    assert sorted((x["index"], x["text"]) for x in row["c"]) == want and "5º" not in row["s"] and len(row["s"]) == 7 and row["b"]
