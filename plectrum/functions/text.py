@@ -30,7 +30,8 @@ def normalized(text: Column) -> Column:
 
 def units(text: Column) -> Column:
     """The length in UTF-16 code units."""
-    return (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int")
+    plain = F.octet_length(text) == F.length(text)  # ASCII alone is not encoded again
+    return F.when(plain, F.length(text)).otherwise((F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int"))
 
 
 def rounded(x: Column, digits: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plectrum.functions.fidelity import contains_at_boundary, critical_tokens
+from plectrum.functions.fidelity import contains_at_boundary, critical_tokens, standing
 from plectrum.functions.rules import RULES
 from plectrum.functions.spanish import let
 from plectrum.functions.text import normalized, rounded, word_tokens
@@ -47,13 +47,16 @@ def muted_meaning(text: Column, muted_by: Column) -> Column:
 
     Page numbers and furniture found by its place may carry numbers; nothing muted may carry a legal term or an identifier.
     """
-    tokens = critical_tokens(text)
-    of = lambda *kinds: F.filter(tokens, lambda t: t["kind"].isin(*kinds))
-    meaningful, numbers = of("legal-term", "isin", "lei"), of("number", "ordinal")
-    by_place = (muted_by == "layout-classification") & (F.size(of("legal-term")) == 0)
-    harmless = is_page_number(text) | F.coalesce(by_place, F.lit(False))
-    bad = (F.size(meaningful) > 0) | ((F.size(numbers) > 0) & ~harmless)
-    return F.when(bad, F.coalesce(F.get(meaningful, F.lit(0))["text"], F.get(numbers, F.lit(0))["text"]))
+
+    def of_tokens(tokens: Column) -> Column:
+        of = lambda *kinds: F.filter(tokens, lambda t: t["kind"].isin(*kinds))
+        meaningful, numbers = of("legal-term", "isin", "lei"), of("number", "ordinal")
+        by_place = (muted_by == "layout-classification") & (F.size(of("legal-term")) == 0)
+        harmless = is_page_number(text) | F.coalesce(by_place, F.lit(False))
+        bad = (F.size(meaningful) > 0) | ((F.size(numbers) > 0) & ~harmless)
+        return F.when(bad, F.coalesce(F.get(meaningful, F.lit(0))["text"], F.get(numbers, F.lit(0))["text"]))
+
+    return let(critical_tokens(text), of_tokens)
 
 
 _CHECK = "array<struct<kind:string,token:string,category:string>>"
@@ -66,10 +69,10 @@ def _checks() -> Column:
     entry = lambda kind, token, category: F.struct(kind.alias("kind"), token.alias("token"), category.alias("category"))
     none = F.lit(None).cast("string")
 
-    def kept(t: Column) -> Column:
+    def kept(t: Column, said: Column) -> Column:
         def told(covering: Column) -> Column:
             covered = F.exists(covering, lambda r: r["rule"].isin(*preserving))
-            legal, verbatim = t["kind"] == "legal-term", contains_at_boundary(spoken, t["text"])
+            legal, verbatim = t["kind"] == "legal-term", F.array_contains(said, t["text"]) | contains_at_boundary(spoken, t["text"])
             category = (
                 F.when(legal & verbatim, F.coalesce(_lookup(LEGAL_CATEGORY, t["text"]), F.lit("legal-terms")))
                 .when(~legal & verbatim, F.concat(t["kind"], F.lit("-verbatim")))
@@ -79,10 +82,19 @@ def _checks() -> Column:
 
         return let(F.filter(records, lambda r: contains_at_boundary(r["source"], t["text"])), told)
 
-    def known(t: Column) -> Column:
-        return contains_at_boundary(source, t["text"]) | F.exists(records, lambda r: contains_at_boundary(r["replacement"], t["text"]))
+    def known(t: Column, there: Column) -> Column:
+        return F.array_contains(there, t["text"]) | contains_at_boundary(source, t["text"]) | F.exists(records, lambda r: contains_at_boundary(r["replacement"], t["text"]))
+
+    def both(x: Column) -> Column:
+        invented = F.filter(x["after"], lambda t: ~known(t, x["there"]))
+        return F.concat(F.transform(x["before"], lambda t: kept(t, x["said"])), F.transform(invented, lambda t: entry(F.lit("invented"), t["text"], none)))
+
+    def told(before: Column) -> Column:
+        after = F.when(source == spoken, before).otherwise(critical_tokens(spoken))  # most texts are read as they stand
+        return F.struct(before.alias("before"), after.alias("after"))
 
-    heard = F.concat(F.transform(critical_tokens(source), kept), F.transform(F.filter(critical_tokens(spoken), lambda t: ~known(t)), lambda t: entry(F.lit("invented"), t["text"], none)))
+    stand = lambda y: F.struct(y["before"].alias("before"), y["after"].alias("after"), standing(y["before"]).alias("there"), standing(y["after"]).alias("said"))
+    heard = let(let(let(critical_tokens(source), told), stand), both)
     silent = let(muted_meaning(source, F.col("muted_by")), lambda m: F.when(m.isNotNull(), F.array(entry(F.lit("muted-meaning"), m, none))))
     return F.coalesce(F.when(F.col("muted"), silent).otherwise(heard), F.array().cast(_CHECK))
 
