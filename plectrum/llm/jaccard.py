@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -60,10 +61,11 @@ def sketch_bits(df: DataFrame, least: int = 20, most: int = 24) -> int:
     return max(least, min(most, round(math.log2(max(size, 1) / 64))))
 
 
-def build_sketch(df: DataFrame, uri: str, bits: int, words: int = WORDS) -> str:
-    """Counts of shingles over all documents by the low bits of their hash, as one flat file.
+def build_sketch(df: DataFrame, uri: str, bits: int, words: int = WORDS) -> tuple[str, ...]:
+    """Counts of shingles over all documents by the low bits of their hash: the flat files of CHUNKS chunks, in order.
 
-    Tasks send saturating 8-bit counts in compressed chunks; each chunk's sums saturate at 16 bits.
+    Tasks send saturating 8-bit counts in compressed chunks; each chunk's sums saturate at 16 bits and are written by the
+    task that made them, under a name of its own, so that the driver gets the names alone.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,33 +84,34 @@ def build_sketch(df: DataFrame, uri: str, bits: int, words: int = WORDS) -> str:
                 old = sums.get(chunk)
                 sums[chunk] = part.astype("u2") if old is None else np.minimum(old.astype("u4") + part, 65535).astype("u2")
         for chunk, part in sums.items():
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "counts": [part.tobytes()]})
+            name = f"{uri}-{chunk}-{uuid.uuid4().hex}"
+            with open_for_write(name) as f:
+                f.write(part.astype("<u2").tobytes())
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "name": [name]})
 
-    schema = "chunk int, counts binary"
-    summed = df.select("text").mapInArrow(count, schema).repartition(CHUNKS, "chunk").mapInArrow(merge, schema)
-    found = {r["chunk"]: bytes(r["counts"]) for r in summed.collect()}  # 2 ** (bits + 1) bytes
-    empty = bytes((2 << bits) // CHUNKS)
-    with open_for_write(uri) as f:
-        for chunk in range(CHUNKS):
-            f.write(found.get(chunk, empty))
-    return uri
+    summed = df.select("text").mapInArrow(count, "chunk int, counts binary").repartition(CHUNKS, "chunk").mapInArrow(merge, "chunk int, name string")
+    found = {r["chunk"]: r["name"] for r in summed.collect()}  # a name a chunk
+    if len(found) < CHUNKS:  # no task has counted anything
+        with open_for_write(uri) as f:
+            f.write(bytes((2 << bits) // CHUNKS))
+    return tuple(found.get(chunk, uri) for chunk in range(CHUNKS))
 
 
-_SKETCHES: dict[str, np.ndarray] = {}
+_SKETCHES: dict[tuple[str, ...], np.ndarray] = {}
 
 
-def _sketch(uri: str) -> np.ndarray:
-    if uri not in _SKETCHES:
+def _sketch(names: tuple[str, ...]) -> np.ndarray:
+    if names not in _SKETCHES:
         _SKETCHES.clear()
-        _SKETCHES[uri] = np.frombuffer(read_or_map(uri), "<u2")
-    return _SKETCHES[uri]
+        _SKETCHES[names] = np.concatenate([np.frombuffer(read_or_map(name), "<u2") for name in names])
+    return _SKETCHES[names]
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def signed(df: DataFrame, sketch: str, bits: int, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+def signed(df: DataFrame, sketch: tuple[str, ...], bits: int, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n (set size), fp (128-bit digest of the set), prefix (its rarest shingles in order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -339,9 +339,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE,
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
+    """The model of the labelled sample, fit by one task: the sample is bounded, and the driver gets the weights alone."""
     named = docs.select("doc_id", F.col(*quoted([text])).alias("text"))
-    rows = labelled_sample(named, labels).select("text", "toxic").toPandas()
-    return fit(rows["text"].fillna("").tolist(), rows["toxic"].tolist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for batch in batches:
+            texts += batch.column("text").fill_null("").to_pylist()
+            toxic += batch.column("toxic").to_pylist()
+        model = fit(texts, toxic)
+        yield pa.RecordBatch.from_pydict({"features": [model.features.view("i8")], "weights": [model.weights], "bias": [model.bias]})
+
+    sample = labelled_sample(named, labels).repartition(1).sortWithinPartitions("doc_id")
+    told = sample.select("text", "toxic").mapInArrow(run, "features array<long>, weights array<double>, bias double").first()
+    if told is None:  # no sample, no task
+        return fit([], [])
+    return Model(np.array(told["features"], "i8").view("u8"), np.array(told["weights"], "f8"), told["bias"])
 
 
 def score(df: DataFrame, model: Model, *keep: str) -> DataFrame:
