@@ -67,6 +67,12 @@ def feed(rows: DataFrame, batch: str, start: Callable[[DataFrame, str], Streamin
     return folder
 
 
+def _width(spark: SparkSession) -> dict[str, str]:
+    """State in two partitions a core at most: each takes a worker of Python and a store that is opened and saved in every batch, however little it holds."""
+    asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return {"spark.sql.shuffle.partitions": str(min(asked, 2 * spark.sparkContext.defaultParallelism))}
+
+
 def replayed(rows: DataFrame, batch: str, build: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """What the stream ``build`` makes of the rows emits over all batches."""
     spark = rows.sparkSession
@@ -78,7 +84,8 @@ def replayed(rows: DataFrame, batch: str, build: Callable[[DataFrame], DataFrame
         sink = out.writeStream.format("parquet").option("path", checkpoint.rsplit("/", 1)[0] + "/out").outputMode("append")
         return sink.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    folder = feed(rows, batch, start, name)
+    with settings(spark, _width(spark)):
+        folder = feed(rows, batch, start, name)
     if not schema:
         return spark.createDataFrame([], build(_empty_stream(rows.drop(batch), folder)).schema)
     return spark.read.schema(schema[0]).parquet(folder + "/out")

@@ -1,6 +1,7 @@
 """Keyed state with timers, the write-through cache and versioned tables."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,17 @@ def test_keys_share_windows(spark):
     assert len(got) == 2 * len(MANY) and held == [held[0]] * 2 and held[0] <= states.BUCKETS  # one look at the state serves the keys of a bucket
 
 
+def test_state_lies_in_two_partitions_a_core_however_many_are_asked_for(spark):
+    rows = spark.createDataFrame([(u, 1000 + b, u, "a", b) for b in (0, 1) for u in range(40)], LOG)
+    with replay.settings(spark, {"spark.sql.shuffle.partitions": "40"}):
+        out = replay.replayed(rows, "batch", lambda s: states.ring(s, "user", "ms", "id", 5), "width")
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    folder = Path(out.inputFiles()[0].removeprefix("file://")).parents[1]
+    stores = [p for p in (folder / "checkpoint" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert len(stores) == 2 * spark.sparkContext.defaultParallelism == 8
+    assert sorted((r["user"], r["n"]) for r in out.collect()) == [(u, n) for u in range(40) for n in (1, 2)]
+
+
 def test_an_empty_log_gives_no_rows(spark):
     df = spark.createDataFrame([], LOG)
     assert replay.replayed(df, "batch", lambda s: states.rate_limit(s, "user", "ms", "id", 2), "none").count() == 0
