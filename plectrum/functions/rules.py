@@ -183,31 +183,18 @@ def _changed(rule: Rule) -> Callable[[Column], Column]:
 _ODD_CASE = ("ſ", "ı", "\u212a", "İ")
 
 
-def _may_fire(text: Column, rules: tuple[Rule, ...]) -> Column:
-    """For each rule whether an unchanged text can have a hit at all: by substrings of its lower case, found without patterns."""
-
-    def of(low: Column) -> Column:
-        odd = F.contains(text, F.lit(_ODD_CASE[0]))
-        for c in _ODD_CASE[1:]:
-            odd = odd | F.contains(text, F.lit(c))
-
-        def each(strange: Column) -> Column:
-            told = []
-            for rule in rules:
-                can = F.lit(not rule.needs)
-                for literal in rule.needs:
-                    can = can | F.contains(low, F.lit(literal))
-                told.append(can | strange)
-            return F.array(*told)
-
-        return es.let(odd, each)
-
-    return es.let(F.lower(text), of)
+def _may_fire(rules: tuple[Rule, ...]) -> str:
+    """SQL lambda: for each rule whether a text (t) can have a hit at all, by its digits and by substrings of its lower case, found without patterns."""
+    needs = ", ".join(f"array({', '.join(map(_sql, rule.needs or ('',)))})" for rule in rules)  # an empty one stands in every text
+    digits = ", ".join("true" if rule.digits else "false" for rule in rules)
+    odd = " OR ".join(f"contains(t, {_sql(c)})" for c in _ODD_CASE)
+    each = f"transform(array({needs}), (own, i) -> (x.digits OR NOT get(array({digits}), i)) AND (x.odd OR exists(own, n -> contains(x.low, n))))"
+    return f"t -> get(transform(array(named_struct('low', lower(t), 'odd', {odd}, 'digits', t RLIKE '[0-9]')), x -> {each}), 0)"
 
 
 def _start(text: Column, rules: tuple[Rule, ...]) -> Column:
     own = F.coalesce(text, F.lit(""))
-    return F.struct(own.alias("spoken"), F.array().cast(RECORD).alias("records"), own.rlike("[0-9]").alias("digits"), _may_fire(own, rules).alias("may"))
+    return F.struct(own.alias("spoken"), F.array().cast(RECORD).alias("records"), es.sql_let(own, _may_fire(rules)).alias("may"), F.lit(0).alias("seen"))
 
 
 def _sql(text: str) -> str:
@@ -220,12 +207,10 @@ def _sql(text: str) -> str:
 def _look(rule: Rule, place: int) -> str:
     """SQL lambda: a state beside the rule's hits in it.
 
-    Until a rule has changed the text, rules that cannot fire on it are passed over; what a rule writes may be a hit of
-    any later one.
+    ``may`` tells of the text that had ``seen`` records; once a rule has changed it, every rule looks until the state is told anew,
+    since what a rule writes may be a hit of any later one.
     """
-    tests = [f"(size(b.records) > 0 OR get(b.may, {place}))"]
-    if rule.digits:
-        tests.insert(0, "b.digits")
+    tests = [f"(size(b.records) > b.seen OR get(b.may, {place}))"]
     if rule.gate:
         tests.append(f"b.spoken RLIKE {_sql(rule.gate)}")
     return f"b -> named_struct('b', b, 'f', CASE WHEN {' AND '.join(tests)} THEN regexp_extract_all(b.spoken, {_sql(rule.pattern)}, 0) END)"
@@ -237,11 +222,11 @@ def _rewrite(rule: Rule) -> str:
     told = f"filter(zip_with(z.f, z.n, (h, n) -> named_struct('rule', {_sql(rule.id)}, 'source', h, 'replacement', n)), t -> t.source <> t.replacement)"
     if rule.in_order:
         told = f"get(transform(array({told}), w -> concat({', '.join(f'filter(w, x -> x.source = {_sql(source)})' for source in rule.in_order)})), 0)"
-    return f"z -> CASE WHEN size(z.f) > 0 THEN named_struct('spoken', {spoken}, 'records', concat(z.b.records, {told}), 'digits', z.b.digits, 'may', z.b.may) ELSE z.b END"
+    return f"z -> CASE WHEN size(z.f) > 0 THEN named_struct('spoken', {spoken}, 'records', concat(z.b.records, {told}), 'may', z.b.may, 'seen', z.b.seen) ELSE z.b END"
 
 
 def _step(rule: Rule, place: int, state: Column) -> Column:
-    """The state (spoken, records, digits, may) after one rule, the place-th of its chain."""
+    """The state (spoken, records, may, seen) after one rule, the place-th of its chain."""
 
     def with_new(y: Column) -> Column:
         new = F.when(F.size(y["f"]) > 0, F.transform(y["f"], _changed(rule)))
@@ -250,6 +235,12 @@ def _step(rule: Rule, place: int, state: Column) -> Column:
     return es.sql_let(es.let(es.sql_let(state, _look(rule, place)), with_new), _rewrite(rule))
 
 
+def _told_anew(rules: tuple[Rule, ...]) -> str:
+    """SQL lambda: a state whose text has changed with what can fire on the text as it now is."""
+    may = f"get(transform(array(b.spoken), {_may_fire(rules)}), 0)"
+    return f"b -> CASE WHEN size(b.records) > b.seen THEN named_struct('spoken', b.spoken, 'records', b.records, 'may', {may}, 'seen', size(b.records)) ELSE b END"
+
+
 def fenced(df: DataFrame) -> DataFrame:
     """df behind a one-row generator: predicates on its columns are not inlined into what computes them."""
     return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
@@ -264,11 +255,14 @@ def _chain(rules: tuple[Rule, ...]) -> list[Column]:
     key = (id(SparkContext._gateway), rules)
     if key not in _CHAINS:
         made = []
+        anew = _told_anew(rules)
         for at in range(0, len(rules), RULES_A_STEP):
-            state = F.col("_state")
-            for place, rule in enumerate(rules[at : at + RULES_A_STEP], at):
+            own, state = rules[at : at + RULES_A_STEP], F.col("_state")
+            for place, rule in enumerate(own, at):
                 state = _step(rule, place, state)
-            made.append(state)
+            fires = " OR ".join(f"get(_state.may, {place})" for place in range(at, at + len(own)))
+            # a state that no rule here can touch is passed on as it is: bound values are copied at every binding
+            made.append(F.when(F.expr(fires), es.sql_let(state, anew)).otherwise(F.col("_state")))
         _CHAINS[key] = made
     return _CHAINS[key]
 
@@ -276,8 +270,8 @@ def _chain(rules: tuple[Rule, ...]) -> list[Column]:
 def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with ``spoken`` (the rewritten text) and ``records`` (rule, source, replacement in order).
 
-    Values are bound, not repeated, so the plan grows linearly with the rules.  One look at the lower-cased text tells
-    which rules can fire on it, and an untouched text passes all others unread.  A few rules share each projection: one projection a rule takes
+    Values are bound, not repeated, so the plan grows linearly with the rules.  One look at the lower-cased text, taken again when a
+    step has changed it, tells which rules can fire on it, and a text passes all other steps unread.  A few rules share each projection: one projection a rule takes
     long to analyse, one for all nests too deep.
     """
     keep = [F.col(f"`{c}`") for c in df.columns]

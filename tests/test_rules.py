@@ -66,3 +66,20 @@ def test_decimals_romans_and_dates(spark):
         es.roman_value(F.lit("civil")).alias("d"), es.date_words(F.lit("29"), F.lit("02"), F.lit("2023")).alias("e"), es.date_words(F.lit("05"), F.lit("1"), F.lit("2023")).alias("f"),
     ).first()
     assert tuple(row) == ("mil doscientos treinta y cuatro coma cero cinco", None, 14, 153, None, "5 de enero de 2023")
+
+
+def test_each_step_stands_alone_and_is_passed_over_where_nothing_fires(spark):
+    from plectrum.functions.rules import RULES, RULES_A_STEP, apply_rules
+
+    texts = {0: "sin cambios", 1: "véase el núm. 5 y la letra b)", 2: "Pago de 1.234 euros el 3/4/2020", 3: "CNMV: art. 12.3 de 5 %"}
+    text = F.element_at(F.create_map(*[F.lit(x) for pair in texts.items() for x in pair]), F.col("id").cast("int"))
+    out = apply_rules(spark.range(4).select("id", text.alias("text")))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # nested in one projection, each binding of a step copied the values of all steps before it
+    assert sum(" AS _state#" in line for line in plan.splitlines()) >= len(RULES) // RULES_A_STEP
+    assert {r["id"]: (r["spoken"], [t["rule"] for t in r["records"]]) for r in out.collect()} == {
+        0: ("sin cambios", []),
+        1: ("véase el número cinco y la letra be", ["abbreviations", "keyword-references", "keyword-references"]),
+        2: ("Pago de mil doscientos treinta y cuatro euros el tres de abril de dos mil veinte", ["dates", "currencies", "numbers", "numbers"]),
+        3: ("C N M V: artículo doce, apartado tres de cinco por ciento", ["acronyms", "legal-references", "percentages"]),
+    }
