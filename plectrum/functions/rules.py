@@ -281,7 +281,21 @@ def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
     return fenced(step.select(*keep, F.col("_state.spoken").alias("spoken"), F.col("_state.records").alias("records")))
 
 
+#: Stands for a hit while a text is cut at its hits; texts that hold it themselves are cut by the pattern.
+_CUT = "\ue000"
+
+
 def rewritten(rule_id: str, text: Column) -> Column:
-    """The text after one rule alone."""
+    """The text after one rule alone: no records and no look at what other rules need, so that a hit costs its pattern and its words."""
     rule = next(r for r in RULES if r.id == rule_id)
-    return _step(rule, 0, _start(text, (rule,)))["spoken"]
+    pattern = _sql(rule.pattern)
+    hits = f"regexp_extract_all(t, {pattern}, 0)"
+    found = f"t -> named_struct('t', t, 'f', {f'CASE WHEN t RLIKE {_sql(rule.gate)} THEN {hits} END' if rule.gate else hits})"
+    # split() compiles a pattern for every text, a single character it finds without one
+    gaps = f"CASE WHEN contains(z.t, '{_CUT}') THEN split(z.t, {pattern}, -1) ELSE split(regexp_replace(z.t, {pattern}, '{_CUT}'), '{_CUT}', -1) END"
+    joined = f"z -> CASE WHEN size(z.n) > 0 THEN array_join(zip_with({gaps}, z.n, (g, n) -> concat(g, coalesce(n, ''))), '') ELSE z.t END"
+
+    def with_new(y: Column) -> Column:
+        return F.struct(y["t"].alias("t"), F.transform(y["f"], _changed(rule)).alias("n"))
+
+    return es.sql_let(es.let(es.sql_let(F.coalesce(text, F.lit("")), found), with_new), joined)

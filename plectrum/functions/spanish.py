@@ -111,8 +111,9 @@ def letter_name(letter: Column) -> Column:
 
 def spelled(code: Column) -> Column:
     """Letters and digits one by one."""
-    names = _map({k: v for k, v in LETTERS.items() if k != "ñ"} | {str(i): d for i, d in enumerate(DIGITS)})
-    return F.array_join(F.transform(F.split(F.lower(code), ""), lambda c: F.try_element_at(names, c)), " ")
+    names = {k: v for k, v in LETTERS.items() if k != "ñ"} | {str(i): d for i, d in enumerate(DIGITS)}
+    by_code = F.split(F.lit("|".join(names.get(chr(c), "") for c in range(ord("0"), ord("z") + 1))), r"\|")
+    return F.array_join(F.transform(F.split(F.lower(code), ""), lambda c: F.nullif(F.get(by_code, F.ascii(c) - ord("0")), F.lit(""))), " ")
 
 
 def roman_value(roman: Column) -> Column:
