@@ -9,7 +9,8 @@
    Lists are never collected: a window over each list emits one edge a member.
 3. The components of these candidate edges are the units of comparison.  A unit above a budget is
    split into blocks by set size, and blocks meet in pairs, but for pairs that the size
-   bound skips; so no task holds an unbounded group and no pair is a row.
+   bound skips; so no task holds an unbounded group and no pair is a row.  The texts of a block are stored
+   once, in a file that all its tasks read: with B blocks they would else be shuffled some B times.
 4. In a unit, block-skipping index lists by size and position find whether a set has any
    possible partner, and its overlaps with all others are derived from those of a similar set
    already done: only lists of shingles in which the two differ are read.  Each task gives one row a set
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from plectrum.llm.bytewise import NOT_SPACE, Words
 from plectrum.llm.common import documents, open_for_write, quoted, read_or_map, scratch, written
 from plectrum.llm.components import components, roots
-from plectrum.llm.tokens import text_slices
+from plectrum.llm.tokens import give_back, text_slices
 
 PERCENT = 90
 #: Words in a shingle.
@@ -156,8 +157,8 @@ def candidate_edges(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     return led.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
 
 
-def units(reps: DataFrame, labels: DataFrame, budget: int, percent: int = PERCENT) -> DataFrame:
-    """rep, copies, unit, low, high, side: every set of a candidate component in its tasks.
+def units(reps: DataFrame, labels: DataFrame, budget: int, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """rep, copies, unit, block, large: every set of a candidate component in its block; and unit, low, high: the tasks of the large ones.
 
     A small component is one task.  Of a large one, each block meets itself (low = high) and each
     block within the size bound.
@@ -168,16 +169,14 @@ def units(reps: DataFrame, labels: DataFrame, budget: int, percent: int = PERCEN
     sizes, by_size = members.groupBy("unit", "n").agg(F.sum("n").alias("total")), Window.partitionBy("unit").orderBy("n")
     small = F.sum("total").over(Window.partitionBy("unit")) <= budget
     first = F.floor((F.sum("total").over(by_size) - F.col("total")) / budget)
-    places = sizes.select("unit", "n", F.when(small, 0).otherwise(first).cast("long").alias("first"), F.when(small, 1).otherwise(F.ceil(F.col("total") / budget)).cast("long").alias("many"))
+    places = sizes.select("unit", "n", F.when(small, 0).otherwise(first).cast("long").alias("first"), F.when(small, 1).otherwise(F.ceil(F.col("total") / budget)).cast("long").alias("many"), (~small).alias("large"))
     block = F.col("first") + F.pmod(F.xxhash64("rep"), F.col("many"))
-    ranked = members.join(places, ["unit", "n"]).select("rep", "n", "copies", "unit", block.alias("block"))
+    ranked = members.join(places, ["unit", "n"]).select("rep", "n", "copies", "unit", block.alias("block"), "large")
     ranked = written(ranked, scratch(reps.sparkSession, "jaccard-blocks"))
-    spans = ranked.groupBy("unit", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    spans = ranked.where("large").groupBy("unit", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     x, y = spans.alias("x"), spans.alias("y")
     meet = x.join(y, (F.col("x.unit") == F.col("y.unit")) & (F.col("x.block") <= F.col("y.block")) & ((F.col("x.block") == F.col("y.block")) | (F.col("x.most") * 100 >= F.col("y.least") * percent)))
-    meet = meet.select(F.col("x.unit").alias("unit"), F.col("x.block").alias("low"), F.col("y.block").alias("high"))
-    tasks = meet.select("unit", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
-    return ranked.join(tasks, ["unit", "block"]).select("rep", "copies", "unit", "low", "high", "block")
+    return ranked.select("rep", "copies", "unit", "block", "large"), meet.select(F.col("x.unit").alias("unit"), F.col("x.block").alias("low"), F.col("y.block").alias("high"))
 
 
 def links_in_unit(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, np.ndarray]]:
@@ -274,43 +273,107 @@ def links_in_unit(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCE
     return out
 
 
-def compare(tasks: DataFrame, docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """node, root, links: for every set with links, in each of its tasks."""
-    if tasks.count() <= BROADCAST_ROWS:  # at most some 20 MB
-        tasks = F.broadcast(tasks)
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(tasks, "rep")
+LINKS = "node long, root long, links long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sets, reps, copies, sides = None, [], [], [], []
-
-        def finish() -> Iterator[pa.RecordBatch]:
-            if len(sets) < 2:
-                return
-            found = links_in_unit(sets, np.array(sides), percent)
-            if not found:
-                return
-            ids, many = np.array(reps), np.array(copies)
-            node = ids[[i for i, _ in found]]
-            a = np.repeat(node, [len(p) for _, p in found])
-            nodes, top = roots(a, ids[np.concatenate([p for _, p in found])])
-            links = [int(many[p].sum()) for _, p in found]
-            yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "root": pa.array(top[np.searchsorted(nodes, node)], pa.int64()), "links": pa.array(links, pa.int64())})
 
+def _links(sets: list[np.ndarray], reps: list[int], copies: list[int], sides: list[int], percent: int) -> Iterator[pa.RecordBatch]:
+    """node, root, links of the sets of one task that have links."""
+    found = links_in_unit(sets, np.array(sides), percent) if len(sets) > 1 else []
+    if not found:
+        return
+    ids, many = np.array(reps), np.array(copies)
+    node = ids[[i for i, _ in found]]
+    a = np.repeat(node, [len(p) for _, p in found])
+    nodes, top = roots(a, ids[np.concatenate([p for _, p in found])])
+    links = [int(many[p].sum()) for _, p in found]
+    yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "root": pa.array(top[np.searchsorted(nodes, node)], pa.int64()), "links": pa.array(links, pa.int64())})
+
+
+def _texts(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """The members with their texts, by unit and block."""
+    if members.count() <= BROADCAST_ROWS:  # at most some 20 MB
+        members = F.broadcast(members)
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep")
+    return texts.repartition("unit", "block").sortWithinPartitions("unit", "block", "rep").select("unit", "block", "rep", "copies", "text")
+
+
+def compare(members: DataFrame, docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """node, root, links: for every set with links, of units that are one task each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sets, reps, copies = None, [], [], []
         for batch in text_slices(batches, most=SLICE):
             made = Words(batch.column("text"), NOT_SPACE).shingles(words)
-            columns = [batch.column(c).to_pylist() for c in ("unit", "low", "high", "rep", "copies", "block")]
-            for s, unit, low, high, rep, n, block in zip(made, *columns, strict=True):
-                if (unit, low, high) != key:
-                    yield from finish()
-                    key, sets, reps, copies, sides = (unit, low, high), [], [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("unit", "rep", "copies")]
+            for s, unit, rep, n in zip(made, *columns, strict=True):
+                if unit != key:
+                    yield from _links(sets, reps, copies, [0] * len(sets), percent)
+                    key, sets, reps, copies = unit, [], [], []
                 sets.append(s)
                 reps.append(rep)
                 copies.append(n)
-                sides.append(block)
-        yield from finish()
+        yield from _links(sets, reps, copies, [0] * len(sets), percent)
+
+    return _texts(members, docs).mapInArrow(run, LINKS)
+
+
+def stored_blocks(members: DataFrame, docs: DataFrame, uri: str) -> DataFrame:
+    """unit, block, name: a file below uri with the texts of each block."""
+    schema = pa.schema({"rep": pa.int64(), "copies": pa.int64(), "text": pa.string()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, file, writer, made = None, None, None, []
+        for batch in text_slices(batches, most=SLICE):
+            unit, block = batch.column("unit").to_numpy(), batch.column("block").to_numpy()
+            cuts = np.flatnonzero((unit[1:] != unit[:-1]) | (block[1:] != block[:-1])) + 1
+            for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if (unit[at], block[at]) != key:
+                    if writer is not None:
+                        writer.close()
+                        file.close()
+                    key = (unit[at], block[at])
+                    made.append((int(unit[at]), int(block[at]), f"{uri}/{uuid.uuid4().hex}"))
+                    file = open_for_write(made[-1][2])
+                    writer = pa.ipc.new_stream(file, schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                writer.write_batch(pa.RecordBatch.from_arrays([batch.column(c).slice(at, to - at).cast(schema.field(c).type) for c in schema.names], schema=schema))
+        if writer is not None:
+            writer.close()
+            file.close()
+        columns = list(zip(*made, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["unit", "block", "name"])
+
+    return _texts(members, docs).mapInArrow(run, "unit long, block long, name string")
+
+
+def compare_blocks(meet: DataFrame, names: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """node, root, links: for every set with links, in each of its tasks over two blocks (or one) of a large unit."""
+    spark = meet.sparkSession
+    low, high = (names.select("unit", F.col("block").alias(side), F.col("name").alias(f"{side}_name")) for side in ("low", "high"))
+    tasks = written(meet.join(low, ["unit", "low"]).join(high, ["unit", "high"]).select("unit", "low", "high", "low_name", "high_name"), scratch(spark, "jaccard-tasks"))
+    # a number of its own, since rows so small would be put together in one partition
+    width = max(1, min(tasks.count(), max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+
+    def block(name: str) -> tuple[list[np.ndarray], list[int], list[int]]:
+        sets, reps, copies = [], [], []
+        for batch in pa.ipc.open_stream(pa.py_buffer(read_or_map(name))):
+            sets += Words(batch.column("text"), NOT_SPACE).shingles(words)
+            reps += batch.column("rep").to_pylist()
+            copies += batch.column("copies").to_pylist()
+        return sets, reps, copies
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, None  # the lower block stays while tasks share it
+        for batch in batches:
+            for low_name, high_name in zip(batch.column("low_name").to_pylist(), batch.column("high_name").to_pylist(), strict=True):
+                if low_name != held:
+                    first = None
+                    held, first = low_name, block(low_name)
+                second = block(high_name) if high_name != low_name else ([], [], [])
+                sides = [0] * len(first[0]) + [1] * len(second[0])
+                yield from _links(first[0] + second[0], first[1] + second[1], first[2] + second[2], sides, percent)
+        give_back()
 
-    dealt = texts.repartition("unit", "low", "high").sortWithinPartitions("unit", "low", "high", "rep")
-    return dealt.select("unit", "low", "high", "rep", "copies", "block", "text").mapInArrow(run, "node long, root long, links long")
+    return tasks.repartition(width).sortWithinPartitions("unit", "low", "high").select("low_name", "high_name").mapInArrow(run, LINKS)
 
 
 def join(df: DataFrame, percent: int = PERCENT, budget: int = BUDGET, words: int = WORDS) -> DataFrame:
@@ -326,8 +389,13 @@ def join(df: DataFrame, percent: int = PERCENT, budget: int = BUDGET, words: int
     least = known.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("x"), F.count(F.lit(1)).alias("copies"))
     reps = written(least.select("fp", F.col("x.doc_id").alias("rep"), F.col("x.n").alias("n"), F.col("x.prefix").alias("prefix"), "copies"), scratch(spark, "jaccard-reps"))
     labels = components(candidate_edges(reps, percent), "jaccard-candidates")
-    tasks = written(units(reps, labels, budget, percent), scratch(spark, "jaccard-tasks"))
-    found = written(compare(tasks, df, percent, words), scratch(spark, "jaccard-links"))
+    members, meet = units(reps, labels, budget, percent)
+    found = compare(members.where("NOT large").drop("large"), df, percent, words)
+    large = members.where("large").drop("large")
+    if not large.isEmpty():
+        names = written(stored_blocks(large, df, scratch(spark, "jaccard-texts")), scratch(spark, "jaccard-names"))
+        found = found.unionByName(compare_blocks(meet, names, percent, words))
+    found = written(found, scratch(spark, "jaccard-links"))
     if found.groupBy("node").agg(F.count_distinct("root").alias("n")).where("n > 1").isEmpty():
         top = found.groupBy("node").agg(F.min("root").alias("component"))
     else:  # some sets were compared in several tasks
